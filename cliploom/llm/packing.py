@@ -119,7 +119,9 @@ class Encoder:
         return [every[i] if i in every else next(rest) for i in range(len(texts))]
 
 
-encoder = lru_cache(maxsize=2)(Encoder)
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def piece_lengths(n: int, limit: int = LIMIT) -> list[int]:
