@@ -6,9 +6,16 @@ from importlib import import_module
 
 #: Query name to the module that holds query() and, where SQL can express it, ORACLE_SQL.
 MODULES = {
+    "op1_histogram_shards": "sharding",
     "op2_power_of_two_packing": "packing",
+    "op3_bootstrapped_pii": "pii",
     "op4_suffix_repetition": "quality",
+    "op5_phrase_automata": "phrases",
+    "op6_bagminhash": "minhash",
+    "op7_template_leaks": "templates",
     "op8_markov_secrets": "secrets",
+    "op9_edit_join_lines": "lines",
+    "op10_host_paths": "html",
 }
 
 

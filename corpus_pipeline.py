@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cliploom.llm import common, packing, quality
+from cliploom.llm import common, lines, minhash, packing, quality, templates
 
 STAGES = [
     ("quality", quality.stage),
+    ("line dedup", lines.stage),
+    ("near dedup", minhash.stage),
+    ("benchmark decontamination", templates.stage),
     ("packing", packing.stage),
 ]
 
@@ -21,5 +24,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = common.stash(docs, name)
+            docs = common.stash(docs, name.replace(" ", "-"))
     return docs
