@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from cliploom.plans.queries import ORACLES, QUERIES
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
