@@ -61,7 +61,7 @@ def progress_stream(events: DataFrame, by: str = "episode_id") -> DataFrame:
         for stage, percent, ts in zip(rows["stage"], rows["percent"], rows["ts"]):
             stage = str(stage).strip().lower()
             stage = stage if stage in STAGES else "processing"
-            percent, at = min(100, max(0, int(percent))), int(ts.timestamp())
+            percent, at_s = min(100, max(0, int(percent))), int(ts.timestamp())
             if _accept(last, stage, percent, at_s):
                 last = (stage, percent, at_s)
                 out.append((key[0], *last))
