@@ -39,9 +39,11 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SIDE_WORDS = frozenset(
     "ad ads advert advertisement adverts adsense banner breadcrumb breadcrumbs comment comments commentary consent cookie cookies dialog "
     "discussion disqus footer gdpr header links login masthead menu modal nav navbar navigation newsletter notice notices notification "
-    "pagination pager popup privacy promo promoted promotion recommended related replies reply respond share sharing sidebar sidebars "
+    "pagination pager popup privacy promo promoted promotion recommended related replies reply respond search share sharing sidebar sidebars "
     "signup skip social sponsor sponsored subscribe subscription tags toolbar topbar tracking widget".split()
 )
+#: Names that say how the page is laid out around an element ("has-sidebar"), not what the element is.
+LAYOUT = re.compile(r"(?:has|with|no|without)[-_]")
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|</?[A-Za-z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?:>|$)|[^<]+|<", re.S)
@@ -70,7 +72,8 @@ def is_side(name: str, found: dict[str, str]) -> bool:
         return True
     if name in ("html", "body", "main", "article"):
         return False
-    words = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}").lower())
+    names = re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{found.get('class', '')} {found.get('id', '')}").lower().split()
+    words = {w for n in names if not LAYOUT.match(n) for w in re.split(r"[^a-z]+", n)}
     return not SIDE_WORDS.isdisjoint(words)
 
 
