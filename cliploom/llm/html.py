@@ -46,7 +46,7 @@ SIDE_WORDS = frozenset(
 LAYOUT = re.compile(r"(?:has|with|no|without)[-_]")
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|</?[A-Za-z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?:>|$)|[^<]+|<", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|</?[A-Za-z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?:>|$)|</?[A-Za-z][^>]*(?:>|$)|[^<]+|<", re.S)
 NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
 RAW_END = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "textarea", "title", "noscript", "iframe")}
