@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,7 @@ EDITS = 2
 EXACT_CHARS = 16
 EDIT_CHARS = 40
 SPACE = " \t\r\v\f"
+PLACES = np.arange(0, 64, 4, dtype=np.uint64)
 #: Candidate lines whose ids are broadcast at most when their texts are fetched; more are joined by a shuffle.
 BROADCAST_LINES = 200_000
 
@@ -67,6 +69,12 @@ def probe_keys(line: str, edits: int = EDITS) -> list[int]:
     return out
 
 
+def letters(line: str) -> int:
+    """How often characters of each of 16 kinds occur, modulo 16, four bits each (as a signed number)."""
+    counts = np.bincount(np.frombuffer(line.encode("utf-32-le"), np.uint32) & 15, minlength=16) & 15
+    return int((counts.astype(np.uint64) << PLACES).sum(dtype=np.uint64).astype(np.int64))
+
+
 def within(s: str, t: str, edits: int = EDITS) -> bool:
     """Whether `edits` insertions, deletions and substitutions turn s into t.
 
@@ -111,10 +119,10 @@ def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(line) >= EXACT_CHARS:
                     edit = len(line) >= EDIT_CHARS
                     digest = hashlib.md5(line.encode("utf-8")).digest()
-                    rows.append((doc_id, text_key, no, digest, index_keys(line) if edit else [], probe_keys(line) if edit else []))
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                    rows.append((doc_id, text_key, no, digest, letters(line) if edit else 0, index_keys(line) if edit else [], probe_keys(line) if edit else []))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "line_no", "line", "own", "probes"])
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "line_no", "line", "letters", "own", "probes"])
 
 
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,26 +135,41 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
 
 
+#: Least number of characters by which two lines' letter counts p and q differ (they are known modulo 16).
+DIFFERENCE = """aggregate(sequence(0, 60, 4), 0, (n, i) -> n + least(
+    abs(cast((shiftrightunsigned(p, i) & 15) - (shiftrightunsigned(q, i) & 15) as int)),
+    16 - abs(cast((shiftrightunsigned(p, i) & 15) - (shiftrightunsigned(q, i) & 15) as int))))"""
+
+
 def similar(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different lines within EDITS edits."""
-    different = lines.where(F.size("own") > 0).groupBy("line").agg(F.any_value("own").alias("own"), F.any_value("probes").alias("probes"))
-    index = different.select(F.explode("own").alias("key"), F.col("line").alias("x"))
-    probes = different.select(F.explode("probes").alias("key"), F.col("line").alias("y"))
-    met = index.join(probes, "key").where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    """Pairs (a, b) of different lines within EDITS edits.
+
+    Lines go through the key join by a short number. An edit changes letter counts by two at most, so the join itself
+    passes over pairs that differ by more: lines of one origin with other words meet on a key, but make no pair.
+    """
+    different = lines.where(F.size("own") > 0).groupBy("line").agg(*(F.any_value(c).alias(c) for c in ("letters", "own", "probes")))
+    different = different.select(F.xxhash64("line").alias("short"), "letters", "own", "probes")
+    index = different.select(F.explode("own").alias("key"), F.col("short").alias("x"), F.col("letters").alias("p"))
+    probes = different.select(F.explode("probes").alias("other"), F.col("short").alias("y"), F.col("letters").alias("q"))
+    close = (F.col("key") == F.col("other")) & (F.col("x") != F.col("y")) & (F.expr(DIFFERENCE) <= 2 * EDITS)
+    met = index.join(probes, close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     met = stash(met, "met")
-    wanted = met.select(F.col("a").alias("line")).union(met.select("b")).distinct()
+    wanted = met.select(F.col("a").alias("short")).union(met.select("b")).distinct()
     few = wanted.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
     texts = docs.select(F.explode(F.split("text", "\n")).alias("body")).select(F.btrim("body", F.lit(SPACE)).alias("body"))
-    texts = texts.where(F.length("body") >= EDIT_CHARS).select(F.unhex(F.md5("body")).alias("line"), "body")
-    texts = stash(texts.join(F.broadcast(wanted) if few else wanted, "line", "left_semi").dropDuplicates(["line"]), "bodies")
-    both = met.join(texts.toDF("a", "s"), "a").join(texts.toDF("b", "t"), "b")
-    return both.select("a", "b", "s", "t").mapInArrow(verify, "a binary, b binary")
+    texts = texts.where(F.length("body") >= EDIT_CHARS).select(F.unhex(F.md5("body")).alias("line"), "body").withColumn("short", F.xxhash64("line"))
+    texts = stash(texts.join(F.broadcast(wanted) if few else wanted, "short", "left_semi").dropDuplicates(["line"]), "bodies")
+    left = texts.select(F.col("short").alias("a"), F.col("line").alias("line_a"), F.col("body").alias("s"))
+    right = texts.select(F.col("short").alias("b"), F.col("line").alias("line_b"), F.col("body").alias("t"))
+    both = met.join(left, "a").join(right, "b")
+    both = both.select(F.least("line_a", "line_b").alias("a"), F.greatest("line_a", "line_b").alias("b"), "s", "t")
+    return both.mapInArrow(verify, "a binary, b binary")
 
 
 def drops(docs: DataFrame) -> DataFrame:
     """Per document with a line that goes or is linked (doc_id, text_key): the line numbers that go, links, first document."""
     docs = keyed(docs)
-    lines = stash(docs.mapInArrow(read, "doc_id long, text_key long, line_no int, line binary, own array<long>, probes array<long>"), "lines")
+    lines = stash(docs.mapInArrow(read, "doc_id long, text_key long, line_no int, line binary, letters long, own array<long>, probes array<long>"), "lines")
     links = stash(similar(docs, lines), "links")
     degree = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("line")).agg(F.count("*").alias("n"))
     linked = components(links).withColumnRenamed("node", "line").join(degree, "line")
