@@ -31,7 +31,7 @@ EDITS = 2
 EXACT_CHARS = 16
 EDIT_CHARS = 40
 SPACE = " \t\r\v\f"
-PLACES = np.arange(0, 64, 4, dtype=np.uint64)
+PLACES = np.arange(0, 32, 4)
 #: Candidate lines whose ids are broadcast at most when their texts are fetched; more are joined by a shuffle.
 BROADCAST_LINES = 200_000
 
@@ -58,21 +58,22 @@ def index_keys(line: str, edits: int = EDITS) -> list[int]:
 
 
 def probe_keys(line: str, edits: int = EDITS) -> list[int]:
-    """Keys under which lines within `edits` edits, no longer than this one, may be indexed."""
-    n, out = len(line), []
+    """Keys under which lines within `edits` edits, no longer than this one, may be indexed; its own ones come first."""
+    n, out = len(line), index_keys(line, edits)
+    own = set(out)
     for other in range(n - edits, n + 1):
         more = n - other
         for i, (a, size) in enumerate(segments(other, edits)):
             low = max(0, a - i, a + more - (edits - i))
             high = min(n - size, a + i, a + more + (edits - i))
-            out += {key(other, i, line[p : p + size]) for p in range(low, high + 1)}
+            out += {key(other, i, line[p : p + size]) for p in range(low, high + 1)} - own
     return out
 
 
 def letters(line: str) -> int:
-    """How often characters of each of 16 kinds occur, modulo 16, four bits each (as a signed number)."""
-    counts = np.bincount(np.frombuffer(line.encode("utf-32-le"), np.uint32) & 15, minlength=16) & 15
-    return int((counts.astype(np.uint64) << PLACES).sum(dtype=np.uint64).astype(np.int64))
+    """How often characters of each of 8 kinds occur, modulo 16, four bits each."""
+    counts = np.bincount(np.frombuffer(line.encode("utf-32-le"), np.uint32) & 7, minlength=8) & 15
+    return int((counts << PLACES).sum())
 
 
 def within(s: str, t: str, edits: int = EDITS) -> bool:
@@ -119,10 +120,10 @@ def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(line) >= EXACT_CHARS:
                     edit = len(line) >= EDIT_CHARS
                     digest = hashlib.md5(line.encode("utf-8")).digest()
-                    rows.append((doc_id, text_key, no, digest, letters(line) if edit else 0, index_keys(line) if edit else [], probe_keys(line) if edit else []))
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                    rows.append((doc_id, text_key, no, digest, letters(line) if edit else 0, probe_keys(line) if edit else []))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
         columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "line_no", "line", "letters", "own", "probes"])
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "line_no", "line", "letters", "probes"])
 
 
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +137,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 #: Least number of characters by which two lines' letter counts p and q differ (they are known modulo 16).
-DIFFERENCE = """aggregate(sequence(0, 60, 4), 0, (n, i) -> n + least(
+DIFFERENCE = """aggregate(sequence(0, 28, 4), 0, (n, i) -> n + least(
     abs(cast((shiftrightunsigned(p, i) & 15) - (shiftrightunsigned(q, i) & 15) as int)),
     16 - abs(cast((shiftrightunsigned(p, i) & 15) - (shiftrightunsigned(q, i) & 15) as int))))"""
 
@@ -147,9 +148,9 @@ def similar(docs: DataFrame, lines: DataFrame) -> DataFrame:
     Lines go through the key join by a short number. An edit changes letter counts by two at most, so the join itself
     passes over pairs that differ by more: lines of one origin with other words meet on a key, but make no pair.
     """
-    different = lines.where(F.size("own") > 0).groupBy("line").agg(*(F.any_value(c).alias(c) for c in ("letters", "own", "probes")))
-    different = different.select(F.xxhash64("line").alias("short"), "letters", "own", "probes")
-    index = different.select(F.explode("own").alias("key"), F.col("short").alias("x"), F.col("letters").alias("p"))
+    different = lines.where(F.size("probes") > 0).groupBy("line").agg(*(F.any_value(c).alias(c) for c in ("letters", "probes")))
+    different = different.select(F.xxhash64("line").alias("short"), "letters", "probes")
+    index = different.select(F.explode(F.slice("probes", 1, EDITS + 1)).alias("key"), F.col("short").alias("x"), F.col("letters").alias("p"))
     probes = different.select(F.explode("probes").alias("other"), F.col("short").alias("y"), F.col("letters").alias("q"))
     close = (F.col("key") == F.col("other")) & (F.col("x") != F.col("y")) & (F.expr(DIFFERENCE) <= 2 * EDITS)
     met = index.join(probes, close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -169,7 +170,7 @@ def similar(docs: DataFrame, lines: DataFrame) -> DataFrame:
 def drops(docs: DataFrame) -> DataFrame:
     """Per document with a line that goes or is linked (doc_id, text_key): the line numbers that go, links, first document."""
     docs = keyed(docs)
-    lines = stash(docs.mapInArrow(read, "doc_id long, text_key long, line_no int, line binary, letters long, own array<long>, probes array<long>"), "lines")
+    lines = stash(docs.mapInArrow(read, "doc_id long, text_key long, line_no int, line binary, letters long, probes array<long>"), "lines")
     links = stash(similar(docs, lines), "links")
     degree = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("line")).agg(F.count("*").alias("n"))
     linked = components(links).withColumnRenamed("node", "line").join(degree, "line")
