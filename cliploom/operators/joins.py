@@ -156,14 +156,20 @@ def lexicon_match(docs: DataFrame, lexicon: DataFrame, key: str, text: str = "te
 
 def trend_hits(docs: DataFrame, terms: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, category, term, weight) where the term or one of its aliases is among the text's words, or, for phrases,
-    in the joined words. Phrases are cut into words and counted, then checked in place."""
-    words = docs.select(key, F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}0-9']+"), 0).alias("ws"))
+    in the joined words. Words are matched by a join; each of the few phrases is one expression over the text."""
+    ws = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}0-9']+"), 0)
     spelled = terms.select("category", "term", "weight", F.explode(F.array_union(F.array("term"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("form"))
-    spelled = spelled.withColumn("form", F.lower("form")).withColumn("head", F.element_at(F.split("form", " "), 1))
-    hits = words.select(key, "ws", F.explode(F.array_distinct("ws")).alias("head")).join(spelled, "head")
-    whole = F.concat(F.lit(" "), F.array_join("ws", " "), F.lit(" "))
-    hits = hits.where(whole.contains(F.concat(F.lit(" "), F.col("form"), F.lit(" "))))
-    return hits.select(key, "category", "term", "weight").distinct()
+    spelled = spelled.withColumn("form", F.lower("form"))
+    single = docs.select(key, F.explode(F.array_distinct(ws)).alias("form")).join(spelled.where(~F.contains("form", F.lit(" "))), "form")
+    hits = single.select(key, "category", "term", "weight")
+    phrases = spelled.where(F.contains("form", F.lit(" "))).collect()
+    if phrases:
+        whole = F.concat(F.lit(" "), F.array_join(ws, " "), F.lit(" "))
+        row = lambda r: F.struct(F.lit(r.category).alias("category"), F.lit(r.term).alias("term"), F.lit(r.weight).cast("double").alias("weight"))
+        rows = docs.select(key, whole.alias("whole"))
+        found = F.array_compact(F.array(*(F.when(F.contains("whole", F.lit(f" {r.form} ")), row(r)) for r in phrases)))
+        hits = hits.unionByName(rows.select(key, found.alias("x")).select(key, F.explode("x").alias("x")).select(key, "x.category", "x.term", "x.weight"))
+    return hits.distinct()
 
 
 NEGATIONS = ("not", "no", "never", "isn't", "wasn't", "don't", "didn't", "can't", "won't")
