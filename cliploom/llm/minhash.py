@@ -8,10 +8,12 @@ A range's process stops once its time is past the document's slowest place.
 
 Places are banded; documents that agree on a band meet. Equal texts are settled first and count as one node. In
 each band the members are held against the most central one (that meets most others, as an original does among its
-copies), those that are not similar to it against the most central of the rest, and so on for `PIVOTS` rounds, so
-that a large group makes no pairs. Every link is verified on the whole multisets: similarity `LEAST` or more.
-A class is what links connect. Two members that are similar to each other, but to none of the pivots of the bands
-they share, are not linked; the README has how often that happens.
+copies), those that are not similar to it against the most central of the rest, and so on for `PIVOTS` rounds. Then
+every pair of a band whose members are in different classes is tested, whether a pivot took them or not, but for pairs
+that cannot be similar by their sizes, by the triangle inequality over their distances to the band's pivots, or by
+their sketches: each shingle of a multiset turns one of `SKETCH` x 64 bits, so two multisets differ in as many
+shingles as bits at least. Every link is verified on the whole multisets:
+similarity `LEAST` or more. A class is what links connect, the same as if all pairs of each band had been tested.
 
 A similar pair shares no band with a probability of (1 - LEAST ** ROWS) ** BANDS, 0.00003, or less.
 
@@ -22,11 +24,12 @@ equal to each other and null ones are classes of their own. Rows are told apart
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cliploom.llm.common import WordTable, sizes_of, slices, stash, table
@@ -38,9 +41,12 @@ LEAST = 0.8
 BANDS = 20
 ROWS = 4
 SIZE = BANDS * ROWS
-#: Rounds of pivots in each band.
+#: Rounds of pivots in each band, before all pairs of what is still in different classes.
 PIVOTS = 4
-
+#: Words of 64 bits of a sketch.
+SKETCH = 16
+#: Members of a band that one task holds against the others.
+SALT = 512
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -130,7 +136,7 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The multiset of each text as a set: a shingle's k-th occurrence is hashed with k."""
+    """The multiset of each text as a set, where a shingle's k-th occurrence is hashed with k, and its sketch."""
     for batch in batches:
         texts = batch.column("text").to_pylist()
         for i, j in slices(sizes_of(texts)):
@@ -142,9 +148,20 @@ def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 items = np.where(nth > 0, mixed(hashes ^ (nth.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))), hashes).view(np.int64)
             cut = np.searchsorted(owner, np.arange(j - i + 1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node").slice(i, j - i), pa.array([items[a:b] for a, b in zip(cut[:-1], cut[1:])], pa.list_(pa.int64()))],
-                names=["node", "bag"],
-            )
+                [
+                    batch.column("node").slice(i, j - i), pa.array([items[a:b] for a, b in zip(cut[:-1], cut[1:])], pa.list_(pa.int64())),
+                    pa.array(list(sketches(owner, items, j - i)), pa.list_(pa.int64())),
+                ],
+                names=["node", "bag", "sketch"],
+            )
+
+
+def sketches(owner: np.ndarray, items: np.ndarray, texts: int) -> np.ndarray:
+    """One row of `SKETCH` words for each text: every item of its set turns one bit."""
+    bits = np.zeros((texts, SKETCH * 64), np.bool_)
+    place = (mixed(items.view(np.uint64)) >> np.uint64(20)) % np.uint64(SKETCH * 64)
+    np.logical_xor.at(bits, (owner, place.astype(np.int64)), True)
+    return np.packbits(bits, axis=1).view(np.int64)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -162,7 +179,7 @@ class Verifier:
         """Make the multisets of the wanted nodes, one text for each."""
         wanted = wanted.join(self.nodes.select("node", "text_key"), "node")
         found = self.docs.select("text", "text_key").join(wanted, "text_key").dropDuplicates(["text_key"])
-        self.ready = stash(found.select("node", "text").mapInArrow(bags, "node long, bag array<long>"), "bags")
+        self.ready = stash(found.select("node", "text").mapInArrow(bags, "node long, bag array<long>, sketch array<long>"), "bags")
 
     def similar(self, pairs: DataFrame) -> DataFrame:
         """(a, b, similarity) of pairs (a, b)."""
@@ -173,6 +190,35 @@ class Verifier:
         return both.select("a", "b", (common / (F.size("x") + F.size("y") - common)).alias("similarity"))
 
 
+def unsettled(members: DataFrame, sizes: DataFrame, ready: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of `members` (node, band, far, root) of one band and different roots that can be similar.
+
+    far: distance to each pivot that the member was held against; -d where it is d at least and not known.
+    `sizes` has n for each node, `ready` the sketches.
+    """
+    mixed_bands = members.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+    members = members.join(mixed_bands.select("band"), "band")
+    members = stash(members.join(sizes, "node").join(ready.select("node", "sketch"), "node"), "unsettled")
+
+    salts = members.groupBy("band").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
+    salted = members.join(salts, "band")
+    x = salted.withColumn("salt", F.pmod(F.xxhash64("node"), "salts").cast("int"))
+    y = salted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    names = ("band", "salt", "node", "far", "root", "n", "sketch")
+    x, y = (d.select(*[F.col(c).alias(f"{c}_{e}") for c in names]) for d, e in ((x, "x"), (y, "y")))
+    beyond = 1 - least + 1e-9
+    high = lambda d: F.when(d >= 0, d).otherwise(1.0)
+    close = lambda d, e: d.isNull() | e.isNull() | ((F.abs(d) - high(e) <= beyond) & (F.abs(e) - high(d) <= beyond))
+    differ = reduce(Column.__add__, [F.bit_count(F.get("sketch_x", F.lit(i)).bitwiseXOR(F.get("sketch_y", F.lit(i)))) for i in range(SKETCH)])
+    can = (
+        (F.col("band_x") == F.col("band_y")) & (F.col("salt_x") == F.col("salt_y")) & (F.col("node_x") < F.col("node_y")) & (F.col("root_x") != F.col("root_y"))
+        & (F.least("n_x", "n_y") + 1e-6 >= least * F.greatest("n_x", "n_y"))
+        & (differ - 1e-6 <= (1 - least) / (1 + least) * (F.col("n_x") + F.col("n_y")))
+        & F.forall(F.zip_with("far_x", "far_y", close), lambda ok: ok)
+    )
+    return x.join(y, can).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """(row_no, doc_id, text_key, class_id, n_rows, n_links) for each row of `docs` (doc_id, text).
 
@@ -194,9 +240,9 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     left = stash(met.join(central, "node").select("node", "band", F.struct("weight", -F.col("node")).alias("rank")), "members")
 
     def pivoted(left: DataFrame) -> DataFrame:
-        """Members of bands with more than one, each with the most central of its band."""
-        pivots = left.groupBy("band").agg(F.max(F.struct("rank", "node")).alias("p"), F.count("*").alias("n")).where("n > 1")
-        return left.join(pivots.select("band", F.col("p.node").alias("pivot")), "band").where("node != pivot")
+        """Members with the most central of their band."""
+        pivots = left.groupBy("band").agg(F.max(F.struct("rank", "node")).alias("p"))
+        return left.join(pivots.select("band", F.col("p.node").alias("pivot")), "band")
 
     verifier = Verifier(docs, nodes)
     verifier.texts(central.select("node"))
@@ -204,22 +250,36 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     fit = F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Similarity of the pairs (a, b), each once, whose sizes allow a link."""
+        """(a, b, similarity) of the pairs (a, b), each once, whose sizes allow a link."""
         near = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
         near = near.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b").where(fit).select("a", "b")
         return verifier.similar(near)
 
-    every = None
+    every, held = None, None
+    left = left.withColumn("far", F.array().cast("array<double>"))
     for k in range(PIVOTS):
         open_ = pivoted(left)
         pairs = open_.select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-        linked = stash(verified(pairs).where(F.col("similarity") >= least).select("a", "b"), "linked")
+        tested = stash(verified(pairs), "tested")
+        linked = tested.where(F.col("similarity") >= least).select("a", "b")
         every = linked if every is None else every.union(linked)
-        linked = linked.select(F.col("a").alias("node"), F.col("b").alias("pivot")).union(linked.select(F.col("b").alias("node"), F.col("a").alias("pivot")))
-        left = stash(open_.join(linked, ["pivot", "node"], "left_anti").select("node", "band", "rank"), "members")
+        tested = tested.union(tested.select("b", "a", "similarity")).toDF("node", "pivot", "similarity")
+        known = open_.join(tested, ["node", "pivot"], "left").join(sizes, "node").join(sizes.toDF("pivot", "n_pivot"), "pivot")
+        apart = F.coalesce(1 - F.col("similarity"), F.least("n", "n_pivot") / F.greatest("n", "n_pivot") - 1)
+        taken = (F.col("node") == F.col("pivot")) | F.coalesce(F.col("similarity") >= least, F.lit(False))
+        known = stash(known.select("node", "band", "rank", F.concat("far", F.array(apart)).alias("far"), taken.alias("taken")), "members")
+        now = known.where("taken").select("node", "band", "far")
+        held = now if held is None else held.union(now)
+        left = known.where("not taken").drop("taken")
 
     links = stash(every.distinct(), "links")
     roots = components(links)
+    members = held.union(left.select("node", "band", "far")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = stash(members, "held")
+    more = stash(verified(unsettled(members, sizes, verifier.ready, least)).where(F.col("similarity") >= least).select("a", "b"), "links")
+    if more.limit(1).count():
+        links = stash(links.union(more).distinct(), "links")
+        roots = components(links)
     degree = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
     known = nodes.join(roots, "node", "left").join(degree, "node", "left").select(
         "text_key", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
