@@ -220,9 +220,11 @@ def unsettled(members: DataFrame, sizes: DataFrame, ready: DataFrame, least: flo
 
 
 def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """(row_no, doc_id, text_key, class_id, n_rows, n_links) for each row of `docs` (doc_id, text).
+    """(row_no, doc_id, text_key, class_id, class_key, n_rows, n_links) for each row of `docs` (doc_id, text).
 
-    class_id is the least id in the class, n_links the similar other texts that the row's text was found with.
+    class_id is the least id in the class, which can be null or the same in several classes; class_key, its least
+    text_key, tells classes apart (null for a null text, which is a class of its own). n_links counts the similar
+    other texts that the row's text was found with.
     """
     docs = keyed(docs)
     signed = docs.withColumn("row_no", F.monotonically_increasing_id()).mapInArrow(
@@ -286,19 +288,20 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     )
     placed = rows.select("row_no", "doc_id", "text_key").join(known, "text_key", "left").withColumn("root", F.coalesce("root", "row_no"))
     placed = stash(placed.withColumn("n_links", F.coalesce("n_links", F.lit(0))), "placed")
-    least_id = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_rows"))
-    return placed.join(least_id, "root").select("row_no", "doc_id", "text_key", "class_id", "n_rows", "n_links")
+    least_id = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.min("text_key").alias("class_key"), F.count("*").alias("n_rows"))
+    return placed.join(least_id, "root").select("row_no", "doc_id", "text_key", "class_id", "class_key", "n_rows", "n_links")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_rows", "n_links")
+    return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_key", "n_rows", "n_links")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class: the one with the least id. Rows alike in id and text are one document."""
-    kept = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("text_key").alias("kept_key"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
+    kept = classes(docs).where("class_key is not null").groupBy("class_key").agg(first.alias("first"))
     null_texts = docs.where("text is null")
-    kept = kept.where("kept_key is not null").select(F.col("class_id").alias("kept_id"), "kept_key")
+    kept = kept.select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_key").alias("kept_key"))
     text_key = F.md5("text")
     same = docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"]) & (text_key == kept["kept_key"])
     found = docs.join(kept, same).dropDuplicates(["kept_id", "kept_key"]).select(docs.columns)

@@ -31,3 +31,13 @@ def test_every_pair_of_a_band_counts(spark):
     rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
     got = {r.doc_id: r.class_id for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == dict(enumerate(root)) and 1 < len(set(root)) < len(docs)
+
+
+def test_one_document_of_each_class(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [(None, text("a")), (None, text("b")), (None, text("c")), (None, text("c")), (7, text("d")), (7, text("e")), (8, text("e")), (None, text("e")), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter((r.doc_id, r.text) for r in minhash.stage(spark, docs, "").collect())
+    assert kept == Counter([(None, text("a")), (None, text("b")), (None, text("c")), (7, text("d")), (7, text("e")), (None, None)])
+    keys = {r.class_key for r in minhash.classes(docs).where("text_key is not null").collect()}
+    assert len(keys) == 5
