@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliploom.llm.common import WordTable, sizes_of, slices, stash, table
+from cliploom.llm.common import WordTable, mixed, sizes_of, slices, stash, table
 from cliploom.llm.components import components
 from cliploom.llm.phrases import rolled
 
@@ -49,15 +49,6 @@ SKETCH = 16
 SALT = 512
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: every bit of the result depends on every bit of x."""
-    with np.errstate(over="ignore"):
-        x = x + np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
 def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Owner and hash of every shingle, sorted by both."""
     words = WordTable(texts)

@@ -280,63 +280,6 @@ def test_secret_model_on_held_out_samples(spark):
     assert hits > 0.9 and false < 0.005
 
 
-def edit_distance(s, t):
-    row = list(range(len(t) + 1))
-    for i, c in enumerate(s):
-        row, old = [i + 1], row
-        for j, d in enumerate(t):
-            row.append(min(old[j] + (c != d), old[j + 1] + 1, row[j] + 1))
-    return row[-1]
-
-
-def test_banded_edit_distance():
-    make = np.random.default_rng(3)
-    for _ in range(600):
-        s = "".join(make.choice(list("ab"), int(make.integers(0, 9))))
-        t = "".join(make.choice(list("ab"), int(make.integers(0, 9))))
-        assert lines.within(s, t) == (edit_distance(s, t) <= 2), (s, t)
-
-
-def test_segments_meet():
-    make = np.random.default_rng(6)
-    for _ in range(400):
-        s = list("".join(make.choice(list("abc"), 40 + int(make.integers(0, 5)))))
-        t = list(s)
-        for _ in range(int(make.integers(1, 3))):
-            at, kind = int(make.integers(0, len(t))), int(make.integers(0, 3))
-            t[at : at + (kind != 0)] = [] if kind == 2 else ["z"]
-        s, t = sorted(("".join(s), "".join(t)), key=len)
-        assert set(lines.index_keys(s)) & set(lines.probe_keys(t))
-
-
-def test_lines(spark):
-    make = np.random.default_rng(7)
-    base = ["".join(make.choice(list("abcdefgh "), 60)).strip() for _ in range(30)]
-    docs = []
-    for i in range(60):
-        mine = []
-        for _ in range(4):
-            line = list(base[int(make.integers(0, 30))])
-            for _ in range(int(make.integers(0, 4))):
-                line[int(make.integers(0, len(line)))] = "x"
-            mine.append("".join(line))
-        docs.append((i, "\n".join([*mine, "short", "an equal short line", ""])))
-    docs += [(60, None), (61, "")]
-    occurrences = [(i, n, line.strip()) for i, t in docs for n, line in enumerate((t or "").split("\n")) if len(line.strip()) >= 16]
-    different = sorted({x[2] for x in occurrences})
-    links = [(a, b) for a in different for b in different if a < b and len(a) >= 40 and len(b) >= 40 and edit_distance(a, b) <= 2]
-    root, first = roots(different, links), {}
-    for i, n, line in occurrences:
-        first[root[line]] = min(first.get(root[line], (i, n)), (i, n))
-    want = {i: [n for j, n, line in occurrences if j == i and first[root[line]] != (i, n)] for i, _ in docs}
-    frame = spark.createDataFrame(docs, "doc_id long, text string")
-    found = {r.doc_id: list(r.gone) for r in lines.drops(frame).collect()}
-    assert {i: found.get(i, []) for i, _ in docs} == want
-    kept = {r.doc_id: r.text for r in lines.stage(spark, frame, "").collect()}
-    for i, t in docs:
-        assert kept[i] == (t if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in want[i]))
-
-
 PAGE = (
     "<!DOCTYPE html><html><head><title>T</title><script>var t='</p>';</script></head><body><header>Site</header><nav><ul><li><a href='/a'>Menu</a></li></ul></nav>"
     "<div class='cookie-notice'>We use cookies</div><article class='post-{n}'><h1>Head &amp; line {n}</h1><p><b>First   para <a href='x'>link</a>.<br>more<p>Second &lt;b&gt;\n para {n} that "
