@@ -1,134 +1,174 @@
 """Benchmark decontamination by template canonicalisation (operator 7); DataFrame functions only.
 
 Numbers, names and units become typed placeholders, so a question asked again with other values has the same
-template. Windows of `WIDTH` template words are hash-joined: all windows of the benchmark against every
-`STRIDE`-th window of each document, which meets every shared run of WIDTH + STRIDE - 1 words. A document and an
-item that meet are then laid side by side at their best offset: the template words that agree are counted, and
-each slot of the item (a placeholder's own words) must have one value throughout in the document.
+template. Windows of `WIDTH` template words at every place of the benchmark and of every document are hash-joined; a
+window with fewer than `LEAST_PLAIN` words that are no placeholders says little and is joined by its own words
+instead. Items of fewer words are joined by windows of their own length. A document and an item that meet are laid
+side by side at every offset at which they met: the item's words that lie in agreeing runs of WIDTH template words
+(all of a shorter item) are counted, and each slot in these runs (a placeholder's own words) must have one value
+throughout in the document.
 
-A pair is a leak if `LEAST_WORDS` template words agree (all, in a shorter item), which is `LEAST_SHARE` of the
-item at least or a run of WIDTH + STRIDE - 1 plain words, and its slots are consistent. Items of fewer words than
-a shared run needs are joined by windows of their own length, at every place.
+A pair is a leak if at some offset `LEAST_WORDS` words agree so (all, in a shorter item), which is `LEAST_SHARE` of
+the item at least or holds LEAST_WORDS words that are no placeholders, and the slots are consistent.
 
 Null and empty texts hold nothing and leak nothing. Rows are told apart by id and text, so repeated rows share
-their verdict. An empty benchmark gives no rows.
+their verdict; so do repeated items. An empty benchmark gives no rows.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cliploom.llm.common import stash, table
 
+#: Words of a window, a power of two.
 WIDTH = 8
-STRIDE = 4
-RUN = WIDTH + STRIDE - 1
 LEAST_WORDS = 11
 LEAST_SHARE = 0.5
-#: A benchmark window is used if it has so many words that are no placeholders.
 LEAST_PLAIN = 4
 #: Rows that are broadcast at most, of benchmark windows and of pairs; more are joined by a shuffle.
 BROADCAST_WINDOWS = 400_000
 BROADCAST_PAIRS = 50_000
+SPACE = " \t\n\x0b\f\r"
 #: Fixed units of measure, as words of their own after a number.
 UNITS = "mm cm m km in ft yd mi mg g kg t lb lbs oz ml l gal s sec min h hr hrs ms day days week weeks month months year years kb mb gb tb hz khz mhz w kw v a pa k mph kmh usd eur gbp dollars euros percent degrees"
 
 
 def plain(text: Column) -> Column:
-    """The text without '#', which marks placeholders, and without words that hold neither letter nor digit."""
-    text = F.translate(F.coalesce(text, F.lit("")), "#", " ")
-    return F.trim(F.regexp_replace(text, r"(?:\G|(?<!\S))[^\p{L}0-9\s]++(?!\S)", " "))
+    """The text's words between single spaces, without '#', which marks placeholders, and without words that hold neither letter nor digit."""
+    text = F.concat(F.lit(" "), F.translate(F.coalesce(text, F.lit("")), "#", " "))
+    return F.btrim(F.regexp_replace(text, r"\s+(?:[^\p{L}0-9\s]++(?:\s+|$))*", " "))
+
+
+def template(text: Column) -> Column:
+    """The template of a plain() text, word for word. Every capitalised word counts as a name."""
+    num = F.regexp_replace(text, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", "#num")
+    num = F.regexp_replace(num, rf"(?i)(?<=#num )(?:{'|'.join(UNITS.split())})(?=[.,;:!?)]*(?: |$))", "#unit")
+    text = F.when(text.rlike("[0-9]"), num).otherwise(text)
+    text = F.regexp_replace(text, r"(?<!\S)[^\p{L} ]*+\p{Lu}\S*+", "#name")
+    return F.lower(F.regexp_replace(text, r"[^\p{L}# ]+", ""))
+
+
+def words_of(text: Column) -> Column:
+    return F.split(text, " ")
+
 
+def is_plain(word: Column) -> Column:
+    return ~F.startswith(word, F.lit("#"))
 
-def raw_words(text: Column) -> Column:
-    return F.split(plain(text), r"\s+")
 
+def shifted(a: Column, by: int) -> Column:
+    """The array without its first `by` elements."""
+    return F.slice(a, F.lit(by + 1), F.greatest(F.size(a) - by, F.lit(0)))
 
-def template_words(text: Column) -> Column:
-    """Template words, one for each of raw_words()."""
-    text = plain(text)
-    text = F.regexp_replace(text, r"(?:\G|(?<!\S))[^\s0-9]*+[0-9]\S*+", "#num")
-    text = F.regexp_replace(text, r"(?<=[^.!?:\s])(\x20+)\p{Lu}\S*+", "$1#name")
-    text = F.regexp_replace(text, rf"(?i)(?<=#num\x20)(?:{'|'.join(UNITS.split())})(?=[.,;:!?)]*(?:\s|$))", "#unit")
-    return F.split(F.lower(F.regexp_replace(text, r"[^\p{L}#\s]+", "")), r"\s+")
 
+def combined(a: Column, b: Column, by: int) -> Column:
+    """From windows at every place, and others to follow `by` places on, the windows of both."""
+    rest = shifted(b, by)
+    one = lambda x, y: F.shiftleft(F.xxhash64(x, y), 4) + x.bitwiseAND(F.lit(15)) + y.bitwiseAND(F.lit(15))
+    return F.zip_with(F.slice(a, F.lit(1), F.size(rest)), rest, one)
 
-def window_at(words: Column, i: Column, width: int) -> Column:
-    return F.xxhash64(F.array_join(F.slice(words, i, width), " "))
 
+def telling(hashes: Column, width: int) -> Column:
+    """The window hashes, those of the own words where a window has too few plain words."""
+    own = lambda i: F.xxhash64(F.array_join(F.slice("raw", i + 1, F.lit(width)), " "))
+    return F.transform(hashes, lambda h, i: F.when(h.bitwiseAND(F.lit(15)) >= min(LEAST_PLAIN, width), h).otherwise(own(i)))
 
-def windows(words: Column, width: int, stride: int) -> Column:
-    """(place, hash) of every `stride`-th window and the last one; none for shorter texts."""
-    n = F.size(words)
-    places = F.array_union(F.sequence(F.lit(1), n - width + 1, F.lit(stride)), F.array(n - width + 1))
-    return F.when(n >= width, F.transform(places, lambda i: F.struct(i.alias("at"), window_at(words, i, width).alias("window"))))
+
+def windows(rows: DataFrame, widths: list[int], *columns: str) -> DataFrame:
+    """(columns, wide, at, window) of the windows of each of `widths` words at every place of rows with `p`, a plain() text.
+
+    A hash's last four bits count its plain words; sums of doubled windows give all lengths. The outer explodes keep
+    Spark from putting a filter with the whole window expression below each of them.
+    """
+    codes = F.transform("words", lambda w: F.shiftleft(F.xxhash64(w), 4) + is_plain(w).cast("long"))
+    rows = rows.select(*columns, words_of(F.col("p")).alias("raw"), words_of(template(F.col("p"))).alias("words")).withColumn("w1", codes)
+    size = 1
+    while size * 2 <= max(widths):
+        rows = rows.withColumn(f"w{2 * size}", combined(F.col(f"w{size}"), F.col(f"w{size}"), size))
+        size *= 2
+    found = []
+    for width in widths:
+        parts = [1 << k for k in range(width.bit_length() - 1, -1, -1) if width >> k & 1]
+        name, done = f"w{parts[0]}", parts[0]
+        for part in parts[1:]:
+            rows = rows.withColumn(f"x{width}_{part}", combined(F.col(name), F.col(f"w{part}"), done))
+            name, done = f"x{width}_{part}", done + part
+        found.append(telling(F.col(name), width))
+    rows = rows.select(*columns, F.array(*found).alias("listed"))
+    rows = rows.select(*columns, F.posexplode_outer("listed").alias("wide", "w"))
+    return rows.select(*columns, "wide", F.posexplode_outer("w").alias("at", "window"))
 
 
 def prepare(benchmark: DataFrame) -> DataFrame:
-    """Items with their raw and template words."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), raw_words(F.col("text")).alias("item_raw"), template_words(F.col("text")).alias("item_words"))
-    return items.where(F.array_join("item_words", "") != "")
+    """Items with their own and template words, and a number."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), plain(F.col("text")).alias("p")).dropDuplicates().where("p <> ''")
+    items = items.select("item_id", "p", words_of(F.col("p")).alias("raw"), words_of(template(F.col("p"))).alias("words"))
+    return stash(items.withColumn("item_no", F.monotonically_increasing_id()), "items")
 
 
 def meet(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, text_key, item_id, shift) of documents and items with a window in common, at the best offset."""
-    keyed = docs.select("doc_id", "text_key", template_words(F.col("text")).alias("words"))
-    short = sorted(r.n for r in items.select(F.size("item_words").alias("n")).where(F.col("n") < RUN).distinct().collect())
-    found = []
-    for width, stride in [(WIDTH, STRIDE), *((n, 1) for n in short)]:
-        chosen = items.where(F.size("item_words") >= RUN if stride > 1 else F.size("item_words") == width)
-        theirs = chosen.select("item_id", "item_words", F.explode(windows(F.col("item_words"), width, 1)).alias("x"))
-        solid = F.size(F.filter(F.slice("item_words", F.col("x.at"), width), lambda w: ~F.startswith(w, F.lit("#"))))
-        theirs = theirs.where(solid >= min(LEAST_PLAIN, width)).select("item_id", F.col("x.at").alias("item_at"), "x.window")
-        if theirs.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
-            theirs = F.broadcast(theirs)
-        ours = keyed.select("doc_id", "text_key", F.explode(windows(F.col("words"), width, stride)).alias("x"))
-        ours = ours.select("doc_id", "text_key", F.col("x.at").alias("at"), "x.window")
-        found.append(ours.join(theirs, "window").select("doc_id", "text_key", "item_id", (F.col("at") - F.col("item_at")).alias("shift")))
-    hits = reduce(DataFrame.unionByName, found).groupBy("doc_id", "text_key", "item_id", "shift").agg(F.count("*").alias("n"))
-    best = F.max_by("shift", F.struct("n", -F.col("shift")))
-    return hits.groupBy("doc_id", "text_key", "item_id").agg(best.alias("shift"))
+    """(doc_id, text_key, item_no, shift) of documents and items with a window in common, at every offset."""
+    short = [r.n for r in items.select(F.size("words").alias("n")).where(F.col("n") < WIDTH).distinct().collect()]
+    widths = [WIDTH, *sorted(short)]
+    mine = F.array_position(F.array(*map(F.lit, widths)), F.least(F.size("words"), F.lit(WIDTH))) - 1
+    theirs = windows(items.withColumn("mine", mine), widths, "item_no", "mine").where("wide = mine")
+    theirs = theirs.select("item_no", "wide", "window", F.col("at").alias("item_at"))
+    if theirs.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
+        theirs = F.broadcast(theirs)
+    ours = windows(docs.select("doc_id", "text_key", plain(F.col("text")).alias("p")), widths, "doc_id", "text_key")
+    return ours.join(theirs, ["wide", "window"]).select("doc_id", "text_key", "item_no", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+
+
+def in_runs(same: Column) -> Column:
+    """From what agrees, what lies in runs of WIDTH at least."""
+    size, step = F.size(same), 1
+    while step < WIDTH:
+        same = F.zip_with(same, shifted(same, step), lambda x, y: x & F.coalesce(y, F.lit(False)))
+        step *= 2
+    for step in (1 << k for k in range(WIDTH.bit_length() - 1)):
+        before = F.concat(F.array_repeat(F.lit(False), step), same)
+        same = F.zip_with(same, F.slice(before, F.lit(1), size), lambda x, y: x | y)
+    return same
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Leaked pairs of `docs` (doc_id, text) and `benchmark` (item_id, text), with what agrees."""
+    """Leaked pairs of `docs` (doc_id, text) and `benchmark` (item_id, text), with what agrees at the best offset."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     items = prepare(benchmark)
     pairs = stash(meet(docs, items), "pairs")
     few = pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
     same = (docs["doc_id"].eqNullSafe(pairs["doc_id"])) & (docs["text_key"] == pairs["text_key"])
-    both = docs.dropDuplicates(["doc_id", "text_key"]) if not few else docs
-    both = both.join(F.broadcast(pairs) if few else pairs, same).select(docs["doc_id"], docs["text_key"], "item_id", "shift", "text")
-    both = both.select("doc_id", "text_key", "item_id", "shift", raw_words(F.col("text")).alias("raw"), template_words(F.col("text")).alias("words"))
-    both = both.join(items, "item_id")
-    side = lambda i: F.struct(
-        F.get("item_words", i).alias("w"), F.get("item_raw", i).alias("r"),
-        F.when(i + F.col("shift") >= 0, F.get("words", i + F.col("shift"))).alias("v"),
-        F.when(i + F.col("shift") >= 0, F.get("raw", i + F.col("shift"))).alias("q"),
-    )
-    laid = both.withColumn("pairs", F.transform(F.sequence(F.lit(0), F.size("item_words") - 1), side))
-    agree = laid.select(
-        "doc_id", "text_key", "item_id", F.size("item_words").cast("long").alias("n_item"),
-        F.filter("pairs", lambda x: x["w"] == x["v"]).alias("same"),
+    both = docs if few else docs.dropDuplicates(["doc_id", "text_key"])
+    both = both.join(F.broadcast(pairs) if few else pairs, same).select(docs["doc_id"], docs["text_key"], "item_no", "shift", plain(F.col("text")).alias("p"))
+    both = both.select("doc_id", "text_key", "item_no", "shift", words_of(F.col("p")).alias("their_raw"), words_of(template(F.col("p"))).alias("theirs"))
+    both = both.join(items, "item_no")
+    side = lambda w, i: F.struct(
+        w.alias("w"), F.get("raw", i).alias("r"),
+        F.when(i + F.col("shift") >= 0, F.get("theirs", i + F.col("shift"))).alias("v"),
+        F.when(i + F.col("shift") >= 0, F.get("their_raw", i + F.col("shift"))).alias("q"),
     )
-    slots = F.filter("same", lambda x: F.startswith(x["w"], F.lit("#")))
+    laid = both.select("doc_id", "text_key", "item_id", "shift", F.transform("words", side).alias("laid"))
+    laid = laid.withColumn("same", F.transform("laid", lambda x: F.coalesce(x["w"] == x["v"], F.lit(False))))
+    laid = laid.withColumn("runs", F.when(F.size("laid") < WIDTH, F.col("same")).otherwise(in_runs(F.col("same"))))
+    agree = laid.select("doc_id", "text_key", "item_id", "shift", F.size("laid").cast("long").alias("n_item"), F.filter("laid", lambda x, i: F.get("runs", i)).alias("agree"))
     bare = lambda c: F.regexp_replace(c, r"^[^\p{L}0-9]+|[^\p{L}0-9]+$", "")
+    slots = F.filter("agree", lambda x: ~is_plain(x["w"]))
     measured = agree.select(
-        "doc_id", "text_key", "item_id", "n_item", F.size("same").cast("long").alias("n_same"),
-        F.size(F.filter("same", lambda x: ~F.startswith(x["w"], F.lit("#")))).cast("long").alias("n_plain"),
+        "doc_id", "text_key", "item_id", "shift", "n_item", F.size("agree").cast("long").alias("n_same"),
+        F.size(F.filter("agree", lambda x: is_plain(x["w"]))).cast("long").alias("n_plain"),
         F.array_distinct(F.transform(slots, lambda x: F.struct(bare(x["r"]).alias("r"), bare(x["q"]).alias("q")))).alias("slots"),
     )
     values = F.size(F.array_distinct(F.transform("slots", lambda x: x["r"])))
-    measured = measured.withColumn("consistent", values == F.size("slots")).withColumn(
-        "n_changed", F.size(F.filter("slots", lambda x: x["r"] != x["q"])).cast("long")
-    )
+    changed = F.size(F.filter("slots", lambda x: x["r"] != x["q"])).cast("long")
+    measured = measured.withColumn("consistent", values == F.size("slots")).withColumn("n_changed", changed)
     enough = F.col("n_same") >= F.least(F.lit(LEAST_WORDS), F.col("n_item"))
-    much = (F.col("n_same") >= LEAST_SHARE * F.col("n_item")) | (F.col("n_plain") >= RUN)
-    leaked = measured.where(enough & much & F.col("consistent")).drop("slots", "consistent")
-    return leaked.dropDuplicates(["doc_id", "text_key", "item_id"])
+    much = (F.col("n_same") >= LEAST_SHARE * F.col("n_item")) | (F.col("n_plain") >= LEAST_WORDS)
+    names = ("n_item", "n_same", "n_plain", "n_changed")
+    best = F.max_by(F.struct(*names), F.struct("n_same", "n_plain", -F.col("n_changed"), -F.col("shift"))).alias("best")
+    leaked = measured.where(enough & much & F.col("consistent")).groupBy("doc_id", "text_key", "item_id").agg(best)
+    return leaked.select("doc_id", "text_key", "item_id", "best.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

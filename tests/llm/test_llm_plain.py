@@ -234,24 +234,6 @@ def test_near_duplicate_edges(spark):
     assert [x for x in got if x[0] is not None] == [(1, 1, 1), (2, 2, 1), (3, 3, 2), (4, 3, 2), (5, 5, 3), (6, 5, 3), (7, 7, 2), (7, 7, 2)]
 
 
-def test_leaks(spark, texts):
-    items = {r.item_id: r.text for r in table(spark, SF, "benchmark").collect()}
-    planted = {(d, i) for i, q in items.items() for d, t in texts.items() if q in t}
-    got = {(r.doc_id, r.item_id) for r in templates.query(spark, SF).collect()}
-    assert planted <= got and len(got) <= len(planted) + 3
-
-
-def test_leaks_with_other_values(spark):
-    items = [(1, "A train leaves Boston at 45 km per hour while another leaves Denver at 60 km per hour, when do they meet if Boston is 900 km away?"), (2, "Short one with five words here 7")]
-    docs = [
-        (1, "Intro text. A train leaves Chicago at 52 km per hour while another leaves Miami at 71 km per hour, when do they meet if Chicago is 840 km away? End."),
-        (2, "Intro text. A train leaves Chicago at 52 km per hour while another leaves Miami at 71 km per hour, when do they meet if Paris is 840 km away? End."),
-        (3, "Something else entirely that has nothing to do with trains or hours at all."), (4, None), (5, ""), (6, "Before. Short one with five words here 7 after"),
-    ]
-    got = {(r.doc_id, r.item_id) for r in templates.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert got == {(1, 1), (6, 2)}
-
-
 def plain_secrets(text):
     out = []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I):
