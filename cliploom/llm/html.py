@@ -1,12 +1,19 @@
 """HTML extraction by consensus host paths (operator 10).
 
-Each page is read into containers (its elements that can hold blocks), named by their generalised path of tags
-and classes. A page scores its containers by the text they hold outside boilerplate, less what is in links. Spark
-sums these votes for each host and path; the path with most votes wins its host, and every page of the host is
-read again with the winning path. A page without that path falls back on its own best container.
-
-Null and empty pages give an empty text. A null or odd url makes a host of its own name. Pages are read one by
-one, so repeated rows do no harm; a host with a third of all pages is summed in parts before the shuffle.
+1. Spark counts each block of text over the pages of its host. Blocks on `LEAST_PAGES` pages or more and
+   `LEAST_SHARE` of the host's pages repeat: they say nothing about where articles are.
+2. Each page scores its containers by their fresh text: blocks that do not repeat, less what is in links. It votes
+   for the deepest container that holds `MOST` of that, or for what encloses it: the `article` it is in, or the
+   containers that add headings or blocks of their own. A vote is for the container's generalised path of tags and
+   classes and weighs as much as its fresh text. Spark sums the votes of each host; the path with most wins.
+3. Every page is read again with the winning path. A page whose winner holds less than half of its fresh text, or is
+   not there, takes the container it voted for.
+
+Elements that are known not to be the article (menus, forms, and classes named so) take no part at any step. All
+blocks of the chosen containers stay, repeated ones too. Null and empty pages give an empty text. Null and odd urls
+share a host "-". Pages are read one by one, so repeated rows do no harm; what a host with a third of all pages holds
+is summed in parts before the shuffle. Votes are whole numbers, ties go to the greater path number. Paths are numbers
+made from the parent's, and containers are ranges of blocks, so memory is linear in the page however deep it nests.
 """
 
 from __future__ import annotations
@@ -16,13 +23,19 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cliploom.llm.common import stash, table
 
-#: Hosts whose winning paths are broadcast; with more of them the pages are joined by a shuffle.
-BROADCAST_HOSTS = 100_000
+#: A block repeats on a host from so many pages on, which are so much of its pages.
+LEAST_PAGES = 3
+LEAST_SHARE = 0.3
+#: Share of the page's fresh text that the voted container holds, in tenths.
+MOST = 7
+#: Numbers of hosts and of their repeated blocks that are broadcast at most; beyond, pages are joined by a shuffle.
+BROADCAST_NUMBERS = 2_000_000
 
 #: Fixed sets of element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,6 +48,8 @@ CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are parts of an article rather than containers of one.
+PARTS = HEADINGS | frozenset("html body p li ul ol dl dt dd blockquote pre figure figcaption address table caption thead tbody tfoot tr th hr".split())
 #: Words in a class, id or role that mark what is not the article.
 SIDE_WORDS = frozenset(
     "ad ads advert advertisement adverts adsense banner breadcrumb breadcrumbs comment comments commentary consent cookie cookies dialog "
@@ -52,15 +67,20 @@ ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
 RAW_END = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "textarea", "title", "noscript", "iframe")}
 
 
-class Node:
-    """An element that can hold blocks: its path, its blocks (with nested ones, in page order), its link text."""
-
-    __slots__ = ("tag", "path", "side", "blocks", "links", "parent")
+class Page:
+    """A page as blocks of text in page order, and elements as ranges of blocks."""
 
-    def __init__(self, tag: str, path: str, side: bool, parent: Node | None):
-        self.tag, self.path, self.side, self.parent = tag, path, side, parent
+    def __init__(self):
         self.blocks: list[str] = []
-        self.links = 0
+        self.links: list[int] = []  # characters in links, for each block
+        self.owner: list[int] = []  # innermost element of each block
+        self.tag, self.path, self.parent, self.side, self.first, self.last = [""], [0], [-1], [False], [0], [0]
+
+    def open(self, tag: str, name: str, side: bool, parent: int) -> int:
+        number = xxhash.xxh3_64_intdigest(f"{self.path[parent]} {name}") - (1 << 63)
+        for column, value in ((self.tag, tag), (self.path, number), (self.parent, parent), (self.side, side or self.side[parent]), (self.first, len(self.blocks)), (self.last, -1)):
+            column.append(value)
+        return len(self.tag) - 1
 
 
 def attributes(tag: str) -> dict[str, str]:
@@ -83,20 +103,28 @@ def general(name: str, found: dict[str, str]) -> str:
     return ".".join([name, *classes])
 
 
-def containers(page: str) -> list[Node]:
-    """The page's containers in page order, the page itself first."""
-    root = Node("", "", False, None)
-    found, stack, at, end = [root], [root], 0, len(page)
+def parse(page: str) -> Page:
+    found, stack, at, end = Page(), [0], 0, len(page)
+    depth_of: dict[str, int] = {}  # open elements by name
     text: list[str] = []
-    linked = unseen = 0
+    linked = unseen = in_links = 0
 
     def close_block() -> None:
+        nonlocal in_links
         if text:
             block = " ".join("".join(text).split())
             text.clear()
-            if block and not any(x.side for x in stack):
-                for x in stack:
-                    x.blocks.append(block)
+            if block and not found.side[stack[-1]]:
+                found.blocks.append(block)
+                found.links.append(min(in_links, len(block)))
+                found.owner.append(stack[-1])
+        in_links = 0
+
+    def pop() -> str:
+        node = stack.pop()
+        found.last[node] = len(found.blocks)
+        depth_of[found.tag[node]] -= 1
+        return found.tag[node]
 
     while at < end:
         m = TOKEN.match(page, at)
@@ -105,9 +133,7 @@ def containers(page: str) -> list[Node]:
             if not unseen:
                 plain = html.unescape(token)
                 text.append(plain)
-                if linked and not any(x.side for x in stack):
-                    for x in stack:
-                        x.links += len(plain)
+                in_links += len(plain) if linked else 0
             continue
         named = NAME.match(token)
         if not named:
@@ -135,65 +161,95 @@ def containers(page: str) -> list[Node]:
         if name in VOID:
             continue
         if closing:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == name:
-                    del stack[depth:]
-                    linked = 0
-                    break
+            if depth_of.get(name):
+                while pop() != name:
+                    pass
+                linked = 0
             continue
-        if stack[-1].tag == "p" and name in CLOSES_P:
-            stack.pop()
-        if name in ("li", "tr", "td", "th", "dt", "dd") and stack[-1].tag == name:
-            stack.pop()
+        if found.tag[stack[-1]] == "p" and name in CLOSES_P:
+            pop()
+        if name in ("li", "tr", "td", "th", "dt", "dd") and found.tag[stack[-1]] == name:
+            pop()
         attrs = attributes(token) if "=" in token else {}
-        node = Node(name, f"{stack[-1].path}/{general(name, attrs)}", is_side(name, attrs), stack[-1])
-        found.append(node)
-        stack.append(node)
+        stack.append(found.open(name, general(name, attrs), is_side(name, attrs), stack[-1]))
+        depth_of[name] = depth_of.get(name, 0) + 1
         linked = 0
     close_block()
+    while len(stack) > 1:
+        pop()
+    found.last[0] = len(found.blocks)
     return found
 
 
-def scores(nodes: list[Node]) -> dict[str, float]:
-    """Votes of one page: text outside links in each container, its share of the page, purer ones first.
-
-    A container gets what its own blocks hold; one that is only a part of the article loses to the whole, and one
-    that only wraps the article and nothing more loses to the article by its depth.
-    """
-    whole = sum(len(b) for b in nodes[0].blocks) or 1
-    votes: dict[str, float] = {}
-    for node in nodes:
-        if node.side or node.tag in HEADINGS or node.tag in ("p", "li", "html", "head", ""):
-            continue
-        size = sum(map(len, node.blocks))
-        if not size:
-            continue
-        share = max(0.0, (size - 2 * node.links) / whole)
-        bonus = 0.15 * (node.tag in ("article", "main")) + 0.01 * node.path.count("/")
-        if share > 0:
-            votes[node.path] = max(votes.get(node.path, 0.0), share + bonus)
-    return votes
-
-
-def text_at(nodes: list[Node], path: str | None) -> str:
-    """The blocks of the outermost containers with that path, or of the page's own best container."""
-    chosen = [x for x in nodes if x.path == path and x.blocks] if path else []
-    if not chosen:
-        votes = scores(nodes)
-        if votes:
-            best = max(sorted(votes), key=votes.get)
-            chosen = [x for x in nodes if x.path == best and x.blocks]
-        else:
-            chosen = nodes[:1]
-    kept, inner = [], set()
-    for x in chosen:
-        up = x.parent
-        while up is not None and id(up) not in inner:
-            up = up.parent
-        if up is None:
-            kept.append(x)
-            inner.add(id(x))
-    return "\n\n".join(b for x in kept for b in x.blocks)
+def block_key(block: str) -> int:
+    return xxhash.xxh3_64_intdigest(block) - (1 << 63)
+
+
+def fresh(page: Page, repeated: set[int]) -> list[int]:
+    """Running sums of the blocks' fresh text. A page that has none counts all its text."""
+    for weigh in (
+        lambda b, n: 0 if block_key(b) in repeated else max(0, len(b) - 2 * n),
+        lambda b, n: max(0, len(b) - 2 * n),
+        lambda b, n: len(b),
+    ):
+        sums = [0]
+        for b, n in zip(page.blocks, page.links):
+            sums.append(sums[-1] + weigh(b, n))
+        if sums[-1]:
+            break
+    return sums
+
+
+def best_container(page: Page, sums: list[int]) -> int:
+    """The element that the page votes for; 0, the whole page, where no container holds enough."""
+    best = 0
+    for node in range(1, len(page.tag)):
+        if page.tag[node] not in PARTS and 10 * (sums[page.last[node]] - sums[page.first[node]]) >= MOST * sums[-1]:
+            best = node  # those that hold so much lie inside each other; the last one is the deepest
+    up = best
+    while up and page.tag[up] != "article":
+        up = page.parent[up]
+    if up:
+        return up
+    while best:
+        parent = page.parent[best]
+        if page.tag[parent] in PARTS or not parent:
+            break
+        more = [*range(page.first[parent], page.first[best]), *range(page.last[best], page.last[parent])]
+        own = [b for b in more if container(page, page.owner[b]) == parent]
+        if len(own) < len(more) and not any(page.tag[page.owner[b]] in HEADINGS for b in own):
+            break
+        best = parent
+    return best
+
+
+def container(page: Page, node: int) -> int:
+    while node and page.tag[node] in PARTS:
+        node = page.parent[node]
+    return node
+
+
+def ballot(html_: str, repeated: list[int]) -> tuple[int, int] | None:
+    """The page's vote: a path and its weight."""
+    page = parse(html_)
+    sums = fresh(page, set(repeated))
+    best = best_container(page, sums) if sums[-1] else 0
+    return (page.path[best], sums[page.last[best]] - sums[page.first[best]]) if best else None
+
+
+def read_text(html_: str, path: int | None, repeated: list[int]) -> tuple[str, bool]:
+    """The text of the outermost containers with that path, if they hold half of what is fresh, or of the page's own choice."""
+    page = parse(html_)
+    sums = fresh(page, set(repeated))
+    chosen, end = [], 0
+    for node in range(1, len(page.tag)) if path is not None else ():
+        if page.path[node] == path and page.first[node] >= end and page.last[node] > page.first[node]:
+            chosen.append(node)
+            end = page.last[node]
+    by_host = bool(chosen) and 2 * sum(sums[page.last[x]] - sums[page.first[x]] for x in chosen) >= sums[-1]
+    if not by_host:
+        chosen = [best_container(page, sums)] if sums[-1] else [0]
+    return "\n\n".join(b for x in chosen for b in page.blocks[page.first[x] : page.last[x]]), by_host
 
 
 def host_of(url) -> F.Column:
@@ -201,47 +257,68 @@ def host_of(url) -> F.Column:
     return F.coalesce(F.nullif(found, F.lit("")), F.lit("-"))
 
 
-def vote(pages: DataFrame) -> DataFrame:
-    """The winning path of each host (host, path, votes)."""
+def repeating(pages: DataFrame) -> DataFrame:
+    """The blocks that repeat on each host (host, repeated): at most 1 / LEAST_SHARE times the blocks of a mean page."""
 
-    def ballots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: dict[tuple[str, str], float] = {}
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html")):
-                for path, n in scores(containers(page.as_py() or "")).items():
-                    rows[host, path] = rows.get((host, path), 0.0) + n
+                keys = {block_key(b) for b in parse(page.as_py() or "").blocks}
+                yield pa.RecordBatch.from_pydict({"host": pa.array([host] * len(keys), pa.string()), "block": pa.array(list(keys), pa.int64())})
+
+    size = pages.groupBy("host").agg(F.count("*").alias("n_pages"))
+    counts = pages.select("host", "html").mapInArrow(blocks, "host string, block long").groupBy("host", "block").agg(F.count("*").alias("n"))
+    often = counts.where(F.col("n") >= LEAST_PAGES).join(size, "host").where(F.col("n") >= LEAST_SHARE * F.col("n_pages"))
+    lists = often.groupBy("host").agg(F.collect_list("block").alias("repeated"))
+    return size.select("host").join(lists, "host", "left").select("host", F.coalesce("repeated", F.array().cast("array<long>")).alias("repeated"))
+
+
+def with_hosts(pages: DataFrame, hosts: DataFrame) -> DataFrame:
+    held = hosts.agg(F.sum(F.size("repeated") + 2)).first()[0] or 0
+    return pages.join(F.broadcast(hosts) if held <= BROADCAST_NUMBERS else hosts, "host", "left")
+
+
+def vote(pages: DataFrame, hosts: DataFrame) -> DataFrame:
+    """The winning path of each host that has one (host, path)."""
+
+    def ballots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: dict[tuple[str, int], int] = {}
+            for host, page, repeated in zip(batch.column("host").to_pylist(), batch.column("html"), batch.column("repeated")):
+                cast = ballot(page.as_py() or "", repeated.as_py() or [])
+                if cast:
+                    rows[host, cast[0]] = rows.get((host, cast[0]), 0) + cast[1]
             keys = list(rows)
             yield pa.RecordBatch.from_pydict({
-                "host": pa.array([k[0] for k in keys], pa.string()),
-                "path": pa.array([k[1] for k in keys], pa.string()),
-                "n": pa.array([round(rows[k], 6) for k in keys], pa.float64()),
+                "host": pa.array([k[0] for k in keys], pa.string()), "path": pa.array([k[1] for k in keys], pa.int64()),
+                "n": pa.array(list(rows.values()), pa.int64()),
             })
 
-    summed = pages.select("host", "html").mapInArrow(ballots, "host string, path string, n double").groupBy("host", "path").agg(F.sum("n").alias("n"))
-    best = F.max_by("path", F.struct(F.round("n", 3), "path"))
-    return summed.groupBy("host").agg(best.alias("path"), F.max("n").alias("votes"))
+    cast = with_hosts(pages, hosts).select("host", "html", "repeated").mapInArrow(ballots, "host string, path long, n long")
+    summed = cast.groupBy("host", "path").agg(F.sum("n").alias("n"))
+    return summed.groupBy("host").agg(F.max_by("path", F.struct("n", "path")).alias("path"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """Main text of each row of `pages` (page_id, url, html): read once to vote, once more with the winners."""
+    """Main text of each row of `pages` (page_id, url, html); by_host tells whether it is from the host's path."""
     pages = pages.select(F.col("page_id").cast("long"), "url", "html", host_of(F.col("url")).alias("host"))
-    winners = stash(vote(pages).select("host", "path"), "paths")
-    known = winners.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    pages = pages.join(F.broadcast(winners) if known else winners, "host", "left")
+    hosts = stash(repeating(pages), "repeated")
+    hosts = stash(hosts.join(vote(pages, hosts), "host", "left"), "paths")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [
-                text_at(containers(page.as_py()), path) if page.is_valid else ""
-                for page, path in zip(batch.column("html"), batch.column("path").to_pylist())
+            found = [
+                read_text(page.as_py() or "", path, repeated.as_py() or [])
+                for page, path, repeated in zip(batch.column("html"), batch.column("path").to_pylist(), batch.column("repeated"))
             ]
+            texts = [t for t, _ in found]
             yield pa.RecordBatch.from_pydict({
                 "page_id": batch.column("page_id"), "url": batch.column("url"), "text": pa.array(texts, pa.string()),
-                "n_chars": pa.array(list(map(len, texts)), pa.int64()), "host_path": batch.column("path"),
+                "n_chars": pa.array(list(map(len, texts)), pa.int64()), "by_host": pa.array([b for _, b in found], pa.bool_()),
             })
 
-    schema = "page_id long, url string, text string, n_chars long, host_path string"
-    return pages.select("page_id", "url", "html", "path").mapInArrow(read, schema)
+    schema = "page_id long, url string, text string, n_chars long, by_host boolean"
+    return with_hosts(pages, hosts).select("page_id", "url", "html", "path", "repeated").mapInArrow(read, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

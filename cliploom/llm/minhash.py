@@ -291,9 +291,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class: the one with the least id. Rows alike in id and text are one document."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
     kept = classes(docs).where("class_key is not null").groupBy("class_key").agg(first.alias("first"))
-    null_texts = docs.where("text is null")
     kept = kept.select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_key").alias("kept_key"))
-    text_key = F.md5("text")
-    same = docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"]) & (text_key == kept["kept_key"])
-    found = docs.join(kept, same).dropDuplicates(["kept_id", "kept_key"]).select(docs.columns)
-    return found.unionByName(null_texts)
+    rows = docs.select(F.struct("*").alias("whole"))
+    same = F.col("whole.doc_id").cast("long").eqNullSafe(kept["kept_id"]) & (F.md5("whole.text") == kept["kept_key"])
+    found = rows.join(kept, same).dropDuplicates(["kept_id", "kept_key"]).select("whole.*")
+    return found.unionByName(docs.where("text is null"))

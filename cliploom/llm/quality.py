@@ -1,10 +1,11 @@
 """Quality rules by suffix-array repetition (operator 4).
 
-For each document a word-level suffix array is built (prefix doubling, all documents of a slice at once);
-runs of neighbours with a common prefix of at least `min_words` words are its LCP intervals, which give the
-maximal repeated substrings. Their spans are united; a document fails if the united spans cover more than
-`max_covered` of its words, or if its longest repeat has `longest_words` words or more and is over
-`longest_share` of the document.
+For each document a word-level suffix array is built (prefix doubling, all documents of a slice at once). Runs of
+neighbours with a common prefix are its LCP intervals; those whose places differ in the word before are the maximal
+repeated substrings. Their spans are united: a word that a repeat covers lies in the longest one from some place on,
+so the union takes that one for each place. A document fails if the united spans of repeats of `long_words` words or
+more cover more than `max_covered` of its words, or if its longest repeat has `longest_words` words or more and is
+over `longest_share` of the document. The base rule counts repeats from `MIN_WORDS` words on.
 
 Null and empty texts have no words: they fail the base rule on length. Repeated rows are judged one by one.
 """
@@ -21,14 +22,15 @@ from pyspark.sql import functions as F
 from cliploom.llm.common import WordTable, sizes_of, slices, table
 
 MIN_WORDS = 5
-MAX_COVERED = 0.20
+LONG_WORDS = 10
+MAX_COVERED = 0.15
 LONGEST_WORDS = 50
 LONGEST_SHARE = 0.10
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "longest_repeat long, n_maximal long"
+    "n_long_words long, longest_repeat long, n_maximal long"
 )
 
 
@@ -51,19 +53,19 @@ def repeated_windows(codes: np.ndarray, owner: np.ndarray, left: np.ndarray, wid
     return np.sort(places[by[np.r_[same, False] | np.r_[False, same]]])
 
 
-def longest_matches(codes: np.ndarray, first: np.ndarray, width: int = MIN_WORDS) -> np.ndarray:
-    """For each word, how many words from there on also occur from another place of the same text on.
+def neighbours(codes: np.ndarray, first: np.ndarray, width: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbours (a, b) in the suffix arrays with a common prefix of `width` words or more, and its length.
 
-    Matches shorter than `width` count as 0. The suffix array holds only suffixes that take part in a longer
-    match, and those that follow them by `width` words: all others differ from every suffix before that.
+    The suffix array holds only suffixes that take part in a longer match, and those that follow them by `width`
+    words: all others differ from every suffix before that.
     """
     n = len(codes)
-    best = np.zeros(n, np.int64)
+    none = np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
     left = first[1:][owner] - np.arange(n)
     active = repeated_windows(codes, owner, left, width)
     if not len(active):
-        return best
+        return none, none, none
     padded = np.r_[codes + 1, np.zeros(width, np.int64)]
     members = np.union1d(active, (active + width)[left[active] > width])
     keys = [np.where(left[members] > k, padded[members + k], 0) for k in range(width)]
@@ -105,28 +107,53 @@ def longest_matches(codes: np.ndarray, first: np.ndarray, width: int = MIN_WORDS
         x, y = np.minimum(a + common, n), np.minimum(b + common, n)
         going &= (left[a] > common) & (left[b] > common) & (padded[x] == padded[y])
         common += going
+    return a, b, common
+
+
+def intervals(a: np.ndarray, b: np.ndarray, common: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """LCP intervals (length, i, j): neighbours i to j - 1, a run of the suffix array, have `length` words in common."""
+    stack: list[tuple[int, int]] = []
+    before = -1
+    for k, (x, y, length) in enumerate(zip(a.tolist(), b.tolist(), common.tolist())):
+        start = k
+        while stack and (x != before or stack[-1][0] > length):
+            held, start_ = stack.pop()
+            yield held, start_, k
+            start = start_ if x == before else k
+        if not stack or stack[-1][0] < length:
+            stack.append((length, start))
+        before = y
+    for held, start_ in stack:
+        yield held, start_, len(a)
+
+
+def repetition(codes: np.ndarray, first: np.ndarray, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS):
+    """Per text: words covered by repeats of `min_words` and of `long_words` or more, the longest repeat, maximal ones."""
+    texts, n = len(first) - 1, len(codes)
+    a, b, common = neighbours(codes, first, min_words) if n else (np.zeros(0, np.int64),) * 3
+    longest, maximal = np.zeros(texts, np.int64), np.zeros(texts, np.int64)
+    if not len(a):
+        return np.zeros(texts, np.int64), np.zeros(texts, np.int64), longest, maximal
+    owner = np.repeat(np.arange(texts), np.diff(first))
+    preceding = np.where(np.r_[True, owner[1:] != owner[:-1]], -1 - np.arange(n), np.r_[0, codes[:-1]])
+    differing = np.r_[0, np.cumsum(preceding[a] != preceding[b])]
+    for length, i, j in intervals(a, b, common):
+        if differing[j] > differing[i]:
+            text = owner[a[i]]
+            maximal[text] += 1
+            longest[text] = max(longest[text], length)
+    best = np.zeros(n, np.int64)
     np.maximum.at(best, a, common)
     np.maximum.at(best, b, common)
-    return best
 
+    def covered(least: int) -> np.ndarray:
+        starts = np.flatnonzero(best >= least)
+        edges = np.zeros(n + 1, np.int64)
+        np.add.at(edges, starts, 1)
+        np.add.at(edges, starts + best[starts], -1)
+        return np.bincount(owner, np.cumsum(edges[:-1]) > 0, texts).astype(np.int64)
 
-def repetition(codes: np.ndarray, first: np.ndarray, min_words: int = MIN_WORDS):
-    """Per text: words covered by repeats of `min_words` or more, words of the longest, places of maximal ones."""
-    texts, n = len(first) - 1, len(codes)
-    if not n:
-        return (np.zeros(texts, np.int64),) * 3
-    best = longest_matches(codes, first, min_words)
-    owner = np.repeat(np.arange(texts), np.diff(first))
-    starts = np.flatnonzero(best >= min_words)
-    edges = np.zeros(n + 1, np.int64)
-    np.add.at(edges, starts, 1)
-    np.add.at(edges, starts + best[starts], -1)
-    covered = np.cumsum(edges[:-1]) > 0
-    longest = np.zeros(texts, np.int64)
-    np.maximum.at(longest, owner, np.where(best >= min_words, best, 0))
-    before = np.r_[0, best[:-1]]  # a repeat that goes on to the left is not maximal there
-    maximal = (best >= min_words) & ((before != best + 1) | np.r_[True, owner[1:] != owner[:-1]])
-    return np.bincount(owner, covered, texts).astype(np.int64), longest, np.bincount(owner, maximal, texts).astype(np.int64)
+    return covered(min_words), covered(long_words), longest, maximal
 
 
 def duplicate_lines(text: str | None) -> int:
@@ -147,13 +174,13 @@ def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in slices(sizes_of(texts)):
             part = texts[i:j]
             words = WordTable(part)
-            covered, longest, maximal = repetition(words.codes, words.first)
+            covered, long_covered, longest, maximal = repetition(words.codes, words.first)
             chars = [len(t) - sum(map(t.count, SPACES)) if t else 0 for t in part]
             symbols = [sum(map(t.count, SYMBOLS)) if t else 0 for t in part]
-            columns = [np.diff(words.first), chars, symbols, list(map(duplicate_lines, part)), covered, longest, maximal]
+            columns = [np.diff(words.first), chars, symbols, list(map(duplicate_lines, part)), covered, long_covered, longest, maximal]
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(i, j - i).cast(pa.int64()), *(pa.array(np.asarray(c, np.int64)) for c in columns)],
-                names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "longest_repeat", "n_maximal"],
+                names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_long_words", "longest_repeat", "n_maximal"],
             )
 
 
@@ -163,7 +190,7 @@ def quality(
     """Measures and verdict of each row of `docs` (doc_id, text); no shuffle, one pass."""
     n, rep, longest = F.col("n_words"), F.col("n_repeat_words"), F.col("longest_repeat")
     failed = (n < 10) | (100 * rep > 20 * n)
-    too_much = (rep > max_covered * n) | ((longest >= longest_words) & (longest > longest_share * n))
+    too_much = (F.col("n_long_words") > max_covered * n) | ((longest >= longest_words) & (longest > longest_share * n))
     return (
         docs.select("doc_id", "text")
         .mapInArrow(measure, SCHEMA)
@@ -184,9 +211,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             texts = batch.column("text").to_pylist()
             for i, j in slices(sizes_of(texts)):
                 words = WordTable(texts[i:j])
-                covered, longest, _ = repetition(words.codes, words.first)
+                covered, long_covered, longest, _ = repetition(words.codes, words.first)
                 n = np.diff(words.first)
-                keep = (n >= 10) & (100 * covered <= 20 * n) & (covered <= MAX_COVERED * n)
+                keep = (n >= 10) & (100 * covered <= 20 * n) & (long_covered <= MAX_COVERED * n)
                 keep &= ~((longest >= LONGEST_WORDS) & (longest > LONGEST_SHARE * n))
                 yield batch.slice(i, j - i).filter(pa.array(keep))
 

@@ -1,8 +1,9 @@
 """Secret scans by character Markov models (operator 8).
 
 Fixed patterns find assignments, access keys and long hex runs. Beyond these, two first-order character models
-are compared: one of random strings (hex, base64-like and upper-case keys), one of ordinary identifiers. A token
-whose log-likelihood ratio is high, in all and for each character, is a secret ("markov" spans).
+are compared: one of random strings (keys over usual alphabets, letters alone among them), one of ordinary
+identifiers. Every token of 12 characters or more is scored, whatever it is made of; one whose log-likelihood ratio is
+high, in all and for each character, is a secret ("markov" spans).
 
 The models are fitted on a labelled sample of bounded size: `SAMPLE` random strings, made from a fixed seed, and
 `SAMPLE` words and joined identifiers from the `SAMPLE_DOCS` documents that are first by a hash of their id.
@@ -25,25 +26,29 @@ from pyspark.sql import functions as F
 from cliploom.llm.common import table
 
 #: Fixed patterns of the base kinds.
-ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "markov")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 SAMPLE = 20_000
 SAMPLE_DOCS = 2_000
 #: A token is a secret from this ratio on: in all, and for each character (natural logarithms).
 LEAST_TOTAL = 12.0
 LEAST_EACH = 0.6
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
+#: Alphabets of keys.
+ALPHABETS = (
+    "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_uppercase + string.digits, string.ascii_letters + string.digits + "+/",
+    string.ascii_letters, string.ascii_lowercase + string.digits,
+)
 
 
 def random_strings(n: int = SAMPLE, seed: int = 8) -> list[str]:
     """Labelled examples of secrets: keys over usual alphabets, of usual lengths."""
     make = random.Random(seed)
-    kinds = ("0123456789abcdef", string.ascii_letters + string.digits, string.ascii_uppercase + string.digits, string.ascii_letters + string.digits + "+/")
-    return ["".join(make.choices(kinds[i % 4], k=make.randint(20, 64))) for i in range(n)]
+    return ["".join(make.choices(ALPHABETS[i % len(ALPHABETS)], k=make.randint(12, 64))) for i in range(n)]
 
 
 def identifiers(words: list[str], n: int = SAMPLE, seed: int = 9) -> list[str]:
@@ -89,21 +94,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def is_random(token: str, ratio: np.ndarray, code: dict[str, int]) -> bool:
-    """Whether the model of random strings explains the token better; letters and digits must be mixed."""
-    digits = sum(map(str.isdigit, token))
-    if digits < 3 or len(token) - digits < 3:
-        return False
-    at = [code.get(c, len(ALPHABET)) for c in token]
+    """Whether the model of random strings explains the token better."""
+    at = [code[c] for c in token]
     total = float(ratio[at[:-1], at[1:]].sum())
     return total >= LEAST_TOTAL and total >= LEAST_EACH * (len(token) - 1)
 
 
 def more_spans(text: str, base: list[tuple[int, int, int]], ratio: np.ndarray, code: dict[str, int]) -> list[tuple[int, int, int]]:
-    return [
-        (m.start(), 3, m.end())
-        for m in CANDIDATE.finditer(text)
-        if is_random(m[0], ratio, code) and not any(m.start() < e and s < m.end() for s, _, e in base)
-    ]
+    """Spans of random tokens that overlap no base span, in one sweep over both."""
+    found, k, end = [], 0, 0
+    for m in CANDIDATE.finditer(text):
+        while k < len(base) and base[k][0] < m.end():
+            end = max(end, base[k][2])
+            k += 1
+        if end <= m.start() and is_random(m[0], ratio, code):
+            found.append((m.start(), 3, m.end()))
+    return found
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

@@ -41,3 +41,10 @@ def test_one_document_of_each_class(spark):
     assert kept == Counter([(None, text("a")), (None, text("b")), (None, text("c")), (7, text("d")), (7, text("e")), (None, None)])
     keys = {r.class_key for r in minhash.classes(docs).where("text_key is not null").collect()}
     assert len(keys) == 5
+
+
+def test_extra_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", 1, "x", 3), (2, "a b c", 2, "y", 3), (3, None, None, None, None)], "doc_id int, text string, kept_id int, whole string, node int")
+    kept = minhash.stage(spark, docs, "")
+    assert kept.columns == docs.columns and sorted((r.doc_id, r.kept_id) for r in kept.collect() if r.text) == [(1, 1)]
+    assert minhash.stage(spark, docs.limit(0), "").count() == 0
