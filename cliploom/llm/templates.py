@@ -121,16 +121,23 @@ def meet(docs: DataFrame, items: DataFrame) -> DataFrame:
     return ours.join(theirs, ["wide", "window"]).select("doc_id", "text_key", "item_no", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
 
 
-def in_runs(same: Column) -> Column:
-    """From what agrees, what lies in runs of WIDTH at least."""
-    size, step = F.size(same), 1
+def with_runs(rows: DataFrame) -> DataFrame:
+    """Adds `runs` to rows with `same` (what agrees): what lies in runs of WIDTH at least; all that agrees of fewer than WIDTH.
+
+    Each step is a column of its own, as Spark writes out an expression wherever it is used.
+    """
+    step, last = 1, "same"
     while step < WIDTH:
-        same = F.zip_with(same, shifted(same, step), lambda x, y: x & F.coalesce(y, F.lit(False)))
+        both = F.zip_with(last, shifted(F.col(last), step), lambda x, y: x & F.coalesce(y, F.lit(False)))
+        last = f"all{2 * step}"
+        rows = rows.withColumn(last, both)
         step *= 2
     for step in (1 << k for k in range(WIDTH.bit_length() - 1)):
-        before = F.concat(F.array_repeat(F.lit(False), step), same)
-        same = F.zip_with(same, F.slice(before, F.lit(1), size), lambda x, y: x | y)
-    return same
+        before = F.slice(F.concat(F.array_repeat(F.lit(False), step), F.col(last)), F.lit(1), F.size(last))
+        either = F.zip_with(last, before, lambda x, y: x | y)
+        last = f"any{2 * step}"
+        rows = rows.withColumn(last, either)
+    return rows.withColumn("runs", F.when(F.size("same") < WIDTH, F.col("same")).otherwise(F.col(last)))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -151,8 +158,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     laid = both.select("doc_id", "text_key", "item_id", "shift", F.transform("words", side).alias("laid"))
     laid = laid.withColumn("same", F.transform("laid", lambda x: F.coalesce(x["w"] == x["v"], F.lit(False))))
-    laid = laid.withColumn("runs", F.when(F.size("laid") < WIDTH, F.col("same")).otherwise(in_runs(F.col("same"))))
-    agree = laid.select("doc_id", "text_key", "item_id", "shift", F.size("laid").cast("long").alias("n_item"), F.filter("laid", lambda x, i: F.get("runs", i)).alias("agree"))
+    agree = with_runs(laid).select("doc_id", "text_key", "item_id", "shift", F.size("laid").cast("long").alias("n_item"), F.filter("laid", lambda x, i: F.get("runs", i)).alias("agree"))
     bare = lambda c: F.regexp_replace(c, r"^[^\p{L}0-9]+|[^\p{L}0-9]+$", "")
     slots = F.filter("agree", lambda x: ~is_plain(x["w"]))
     measured = agree.select(
@@ -162,7 +168,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     values = F.size(F.array_distinct(F.transform("slots", lambda x: x["r"])))
     changed = F.size(F.filter("slots", lambda x: x["r"] != x["q"])).cast("long")
-    measured = measured.withColumn("consistent", values == F.size("slots")).withColumn("n_changed", changed)
+    measured = measured.withColumn("consistent", values == F.size("slots")).withColumn("n_changed", changed).drop("slots")
+    measured = stash(measured, "measured")  # else the filter below would be written out again on the texts
     enough = F.col("n_same") >= F.least(F.lit(LEAST_WORDS), F.col("n_item"))
     much = (F.col("n_same") >= LEAST_SHARE * F.col("n_item")) | (F.col("n_plain") >= LEAST_WORDS)
     names = ("n_item", "n_same", "n_plain", "n_changed")
