@@ -20,13 +20,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cliploom.llm.common import slices, stash, table
+from cliploom.llm.common import SLICE_BYTES, slices, stash, table
 
 LIMIT = 2048
 END_ID = 1
 TOKENIZER = "byte_bpe_50k.json"
 #: Distinct chunks whose ids a Python worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
@@ -137,7 +137,7 @@ def pieces(docs: DataFrame, path: str | None = None, limit: int = LIMIT, end_id:
         encode = encoder(path)
         for batch in batches:
             keys, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for i, j in slices(pc.binary_length(texts).fill_null(0).to_pylist(), 12 << 20):
+            for i, j in slices(pc.binary_length(texts).fill_null(0).to_pylist(), SLICE_BYTES):
                 rows = []
                 for key, ids in zip(keys[i:j], encode(texts.slice(i, j - i))):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
