@@ -1,14 +1,16 @@
 """Personal data by bootstrapped contextual extraction (operator 3); DataFrame functions only.
 
-Four fixed patterns find e-mail addresses, IPs, payment cards and phone numbers. These spans are the seeds: the
-word to the left of a seed is a lexical pattern. Patterns and the strings that follow them form a graph, which is
-scored in rounds: a pattern's score is the summed confidence of its strings over all occurrences of its word in
-the corpus, and a string that is not a seed gets the score of its best accepted pattern. A pattern is accepted
-with `SUPPORT` different confident strings and a score of `LEAST_SCORE`; what looks like an identifier (`DIGITS`
-digits or more) after an accepted pattern and overlaps no seed is a new span of kind "found".
+Four fixed patterns find e-mail addresses, IPs, payment cards and phone numbers. These spans are the seeds. The one,
+two and three words to the left of a span and the word to its right are its lexical patterns. Patterns and the
+strings that stand at them form a graph, which is scored in rounds: a pattern's score is the summed confidence of
+its strings over all occurrences of its words in the corpus, and a string that is not a seed gets the score of its
+best accepted pattern. A pattern is accepted with `SUPPORT` different confident strings and a score of
+`LEAST_SCORE`. Rounds go on until one accepts no new pattern; confidences only rise, so they end. What looks like an
+identifier (`DIGITS` digits or more, `LEAST_CHARS` characters) at an accepted pattern and overlaps no seed is a new
+span of kind "found". Words of a pattern lie between a span and its neighbours of the same kind.
 
 Null text counts as empty. Rows are told apart by a number given on reading, so repeated rows and null ids do no
-harm. A word that precedes a third of all strings is summed in parts before any shuffle. An empty table gives no
+harm. A pattern at which a third of all strings stand is summed in parts before any shuffle. An empty table gives no
 rows.
 """
 
@@ -35,28 +37,47 @@ PATTERNS = {
 NEEDED = {"email": "@", "ip": ".", "card": None, "phone": "+", "token": None}
 EDGES = "([{<\"'.,;:!?)]}>"
 
-ROUNDS = 3
 SUPPORT = 3
 LEAST_SCORE = 0.5
 DIGITS = 3
+LEAST_CHARS = 5
 #: Patterns whose counts are broadcast; with more of them the words are joined by a shuffle.
 BROADCAST_PATTERNS = 100_000
-#: A left context is looked for in so many characters before the string.
-REACH = 64
+
+
+def spaced(text: Column) -> Column:
+    """The text with each white space character as a space."""
+    return F.translate(text, "\t\n\x0b\x0c\r", " " * 5)
 
 
 def occurrences(text: Column, kind: str) -> Column:
-    """All matches: length of the gap before each, the match, the word on its left."""
+    """All matches: length of the gap before each, the match, up to three words on its left, one on its right.
+
+    Words that touch the match, and words beyond the matches before and after it, do not count.
+    """
     pattern = PATTERNS[kind]
-    # text before the last word's end; null where no word is between this match and the one before
-    word = lambda gap: F.nullif(F.regexp_extract(F.right(gap, F.lit(REACH)), r"([^\x20\x09-\x0D]{1,40})[\x20\x09-\x0D]+$", 1), F.lit(""))
-    one = lambda m, gap: F.struct(F.length(gap).alias("gap"), m.alias("value"), F.lower(word(gap)).alias("left"))
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    pairs = F.zip_with(found, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), one)
+    one_space = lambda gap: F.trim(F.regexp_replace(spaced(gap), "\x20+", " "))
+    left = lambda gap: F.when(F.endswith(spaced(F.right(gap, F.lit(1))), F.lit(" ")), F.lower(F.substring_index(one_space(gap), " ", -3)))
+    right = lambda gap: F.when(F.startswith(spaced(F.left(gap, F.lit(1))), F.lit(" ")), F.lower(F.substring_index(F.ltrim(spaced(gap)), " ", 1)))
+    found, parts = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
+    gaps = F.zip_with(
+        F.slice(parts, F.lit(1), F.size(found)), F.slice(parts, F.lit(2), F.size(found)),
+        lambda x, y: F.struct(F.length(x).alias("gap"), F.nullif(left(x), F.lit("")).alias("left"), F.nullif(right(y), F.lit("")).alias("right")),
+    )
+    one = lambda m, g: F.struct(g["gap"].alias("gap"), m.alias("value"), g["left"].alias("left"), g["right"].alias("right"))
     worth = text.rlike("[0-9]") if kind != "email" else F.lit(True)
     if NEEDED[kind]:
         worth &= F.contains(text, F.lit(NEEDED[kind]))
-    return F.when(worth, pairs)
+    return F.when(worth, F.zip_with(found, gaps, one))
+
+
+def contexts(left: Column, right: Column) -> Column:
+    """The patterns of a span: (side, words) for its last one, two and three words on the left and one on the right."""
+    tails = [F.substring_index(left, " ", -k) for k in (1, 2, 3)]
+    longer = [tails[0], *(F.when(F.length(b) > F.length(a), b) for a, b in zip(tails, tails[1:]))]
+    every = [F.struct(F.lit("left").alias("side"), x.alias("words")) for x in longer]
+    every.append(F.struct(F.lit("right").alias("side"), right.alias("words")))
+    return F.filter(F.array(*every), lambda x: x["words"].isNotNull())
 
 
 def luhn(value: Column) -> Column:
@@ -83,20 +104,20 @@ def holds(kind: Column, value: Column) -> Column:
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """Rows (row_no, kind, s, e, value, left): kept matches, and tokens with digits that overlap none of them."""
+    """Rows (row_no, kind, s, e, value, left, right): kept matches, and tokens with digits that overlap none of them."""
     listed = reduce(DataFrame.unionByName, (
         docs.where(F.col(kind).isNotNull()).select("row_no", F.lit(kind).alias("kind"), F.posexplode(kind).alias("no", "x"))
         for kind in PATTERNS
     ))
     end = F.sum(F.col("x.gap") + F.length("x.value")).over(Window.partitionBy("row_no", "kind").orderBy("no"))
-    listed = listed.select("row_no", "kind", end.cast("long").alias("e"), "x.value", "x.left")
+    listed = listed.select("row_no", "kind", end.cast("long").alias("e"), "x.value", "x.left", "x.right")
     listed = listed.where(holds(F.col("kind"), F.col("value")))
     core = F.rtrim(F.col("value"), F.lit(EDGES))
     lead = F.length(core) - F.length(F.ltrim(core, F.lit(EDGES)))
     cut = F.col("kind") == "token"
     start = F.col("e") - F.length("value")
     listed = listed.select(
-        "row_no", "kind", "left",
+        "row_no", "kind", "left", "right",
         F.when(cut, start + lead).otherwise(start).cast("long").alias("s"),
         F.when(cut, start + F.length(core)).otherwise(F.col("e")).cast("long").alias("e"),
         F.when(cut, F.ltrim(core, F.lit(EDGES))).otherwise(F.col("value")).alias("value"),
@@ -106,40 +127,47 @@ def located(docs: DataFrame) -> DataFrame:
     before = F.max(F.when(base, F.col("e"))).over(by.rowsBetween(Window.unboundedPreceding, -1))
     after = F.min(F.when(base, F.col("s"))).over(by.rowsBetween(1, Window.unboundedFollowing))
     free = (F.coalesce(before, F.lit(0)) <= F.col("s")) & (F.coalesce(after, F.col("e")) >= F.col("e"))
-    shaped = (F.length(F.regexp_replace("value", "[^0-9]", "")) >= DIGITS) & (F.length("value") >= 5)
+    shaped = (F.length(F.regexp_replace("value", "[^0-9]", "")) >= DIGITS) & (F.length("value") >= LEAST_CHARS)
     return listed.withColumn("free", free).where(base | (F.col("free") & shaped)).drop("free")
 
 
-def totals(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Occurrences in the corpus of each word that could become a pattern (left, total)."""
-    wanted = spans.where("left is not null").groupBy("left").agg(F.count_distinct("value").alias("n")).where(F.col("n") >= SUPPORT).select("left")
-    wanted = stash(wanted, "patterns")
+def totals(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """Occurrences in the corpus of the words (one to three) of each pattern that enough different strings share."""
+    wanted = placed.groupBy("side", "words", "value").agg(F.lit(1).alias("one")).groupBy("side", "words").count()
+    wanted = stash(wanted.where(F.col("count") >= SUPPORT).select("words").distinct(), "patterns")
     few = wanted.limit(BROADCAST_PATTERNS + 1).count() <= BROADCAST_PATTERNS
-    words = docs.select(F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("left"))
+    one = F.split(F.trim(F.lower(spaced(F.col("text")))), "\x20+")
+    after = lambda a, k: F.zip_with(a, F.slice(F.col("one"), F.lit(k), F.size("one")), lambda x, y: F.concat(x, F.lit(" "), y))
+    read = docs.select(one.alias("one")).withColumn("two", after(F.col("one"), 2)).withColumn("three", after(F.col("two"), 3))
+    words = read.select(F.explode(F.concat("one", "two", "three")).alias("words")).where("words is not null")
     if few:
-        words = words.join(F.broadcast(wanted), "left", "left_semi")
-    words = words.groupBy("left").agg(F.count("*").alias("total"))
-    return words if few else words.join(wanted, "left", "left_semi")
-
-
-def bootstrap(spans: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Accepted patterns (left, score) after some rounds over the graph of patterns and strings."""
-    edges = spans.where("left is not null").groupBy("left", "value").agg(F.count("*").alias("n"), F.max((F.col("kind") != "token").cast("int")).alias("seed"))
-    edges = stash(edges.join(counts, "left"), "edges").withColumn("confidence", F.col("seed").cast("double"))
-    accepted = None
-    for k in range(rounds):
+        words = words.join(F.broadcast(wanted), "words", "left_semi")
+    words = words.groupBy("words").agg(F.count("*").alias("total"))
+    return words if few else words.join(wanted, "words", "left_semi")
+
+
+def bootstrap(placed: DataFrame, counts: DataFrame) -> DataFrame:
+    """Accepted patterns (side, words, score), by rounds over the graph of patterns and strings until none is new."""
+    pattern = ["side", "words"]
+    edges = placed.groupBy(*pattern, "value").agg(F.count("*").alias("n"), F.max((F.col("kind") != "token").cast("int")).alias("seed"))
+    edges = stash(edges.join(counts, "words").withColumn("confidence", F.col("seed").cast("double")), "edges")
+    known = 0
+    while True:
         sure = F.col("confidence") >= LEAST_SCORE
         accepted = (
-            edges.groupBy("left", "total")
+            edges.groupBy(*pattern, "total")
             .agg(F.sum(F.col("n") * F.col("confidence")).alias("held"), F.count(F.when(sure, 1)).alias("support"))
-            .select("left", (F.col("held") / F.col("total")).alias("score"), "support")
+            .select(*pattern, (F.col("held") / F.col("total")).alias("score"), "support")
             .where((F.col("score") >= LEAST_SCORE) & (F.col("support") >= SUPPORT))
         )
-        if k < rounds - 1:
-            best = edges.join(accepted, "left").groupBy("value").agg(F.max("score").alias("best"))
-            raised = F.greatest("confidence", F.least(F.coalesce("best", F.lit(0.0)), F.lit(1.0)))
-            edges = edges.join(best, "value", "left").withColumn("confidence", raised).drop("best")
-    return accepted.select("left", "score")
+        accepted = stash(accepted.drop("support"), "accepted")
+        now = accepted.count()
+        if now == known:
+            return accepted
+        known = now
+        best = edges.join(accepted, pattern).groupBy("value").agg(F.max("score").alias("best"))
+        raised = F.greatest("confidence", F.least(F.coalesce("best", F.lit(0.0)), F.lit(1.0)))
+        edges = stash(edges.join(best, "value", "left").withColumn("confidence", raised).drop("best"), "edges")
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -148,9 +176,12 @@ def find(docs: DataFrame) -> DataFrame:
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("row_no", F.monotonically_increasing_id())
     rows = stash(read.select("row_no", "doc_id", *(occurrences(F.col("text"), k).alias(k) for k in PATTERNS)), "matches")
     spans = stash(located(rows), "spans")
-    patterns = bootstrap(spans, totals(docs, spans))
+    placed = spans.select("row_no", "kind", "s", "e", "value", F.explode(contexts(F.col("left"), F.col("right"))).alias("at"))
+    placed = placed.select("row_no", "kind", "s", "e", "value", "at.*")
+    patterns = bootstrap(placed, totals(docs, placed))
     base = spans.where("kind != 'token'").select("row_no", "kind", "s", "e")
-    found = spans.where("kind = 'token'").join(patterns, "left", "left_semi").select("row_no", F.lit("found").alias("kind"), "s", "e")
+    found = placed.where("kind = 'token'").join(patterns, ["side", "words"], "left_semi")
+    found = found.select("row_no", F.lit("found").alias("kind"), "s", "e").distinct()
     number = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     every = base.unionByName(found).groupBy("row_no").agg(F.sort_array(F.collect_list(F.struct("s", number.alias("k"), "e", "kind"))).alias("all"))
     listed = rows.select("row_no", "doc_id").join(every, "row_no", "left")

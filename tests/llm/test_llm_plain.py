@@ -115,6 +115,27 @@ def test_pii_learns_patterns(spark):
     assert got[50] == "found:24:36" and got[51] == "" and got[52] == ""
 
 
+def test_pii_goes_on_until_no_pattern_is_new(spark):
+    """Unseen identifiers behind frequent words, reached by chains of patterns of several words and of the right side."""
+    rows = [(i, f"call number is u{i}@x{i}.org .") for i in range(30)]
+    rows += [(100 + i, f"the number is {i}") for i in range(40)]  # so that neither word alone qualifies
+    rows += [(200 + i, f"call number is K-77{i}-4 .") for i in range(4)]  # behind a pattern of seeds
+    rows += [(300 + i, f"permit\tof K-77{i % 4}-4 x{i}") for i in range(12)]  # the same strings elsewhere
+    rows += [(400 + i, f"permit of  Z-88{i}-4 seen") for i in range(4)]  # new strings behind that pattern
+    rows += [(500 + i, f"a{i} Z-88{i}-4 seen") for i in range(4)] + [(510, "b Q-999-1 seen")]  # and on the right of it
+    rows += [(600 + i, f"the lot of P-55{i}-4 z{i}") for i in range(20)] + [(None, None), (None, ""), (700, "call number is")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find(docs).collect()}
+    texts = dict(rows)
+    found = {k: [texts[k][int(s) : int(e)] for kind, s, e in (x.split(":") for x in v.split(",") if v) if kind == "found"] for k, v in got.items()}
+    for first in (200, 300):
+        assert [found[first + i] for i in range(4)] == [[f"K-77{i}-4"] for i in range(4)]
+    for first in (400, 500):
+        assert [found[first + i] for i in range(4)] == [[f"Z-88{i}-4"] for i in range(4)]
+    assert found[510] == ["Q-999-1"]
+    assert not any(found[k] for k in texts if k is not None and (k < 200 or k >= 600))
+
+
 def test_quality(spark, texts):
     for r in quality.query(spark, SF).collect():
         w = [x.decode() for x in words_of(texts[r.doc_id])]
