@@ -60,8 +60,10 @@ def seconds() -> Column:
 #: Cue phrases of the hook, arousal, payoff, information and emotion formulas.
 HOOK_CUES = (
     "you", "imagine", "what if", "did you know", "here's why", "the secret", "shocking", "amazing", "incredible", "unbelievable",
-    "mind-blowing", "here's what", "the truth is", "the key", "the trick", "what happens when", "why do", "how did", "here's how",
+    "mind-blowing", "here's what", "the truth is", "the key", "the trick", "the secret", "what happens when", "why do", "how did", "here's how",
 )
+CONTRA_OPEN = r"\b(most|many|people|everyone|they)\s+(think|say|assume)\b"
+CONTRA_FLIP = r"\bbut\s+actually\b|\bhowever\b|\bbut\s+(it|this)\s+isn'?t\b"
 COMPARISONS = ("vs", "versus", "more than", "less than", "better than", "worse than")
 HOOK_STARTS = (
     r"^(how|why|what|top\s?\d+|the secret|3 ways|you won.t believe)", r"^(here.s|let me|i.m going to|the thing is)",
@@ -91,7 +93,9 @@ UNSURE = ("maybe", "i guess", "not sure", "kind of", "sort of", "perhaps")
 CAUSES = ("because", "therefore", "so that", "which means", "as a result", "that's why")
 INSIGHTS = {"contrast": 0.8, "number": 0.7, "comparison": 0.6, "causal": 0.5, "imperative": 0.6}
 DOMAIN = r"\b(?:https?://|www\.)?[a-z0-9-]+\.(?:com|net|org|io|co)\b"
-SPELLED = r"\b[a-z0-9-]+ dot (?:com|net|org|io|co)\b"
+#: Four letters, each with a space, dash or dot after it or nothing, and a domain's ending. Letters before the fourth from
+#: the end matter only back to the start of their word, so the rule "three letters or more" needs no open repetition.
+SPELLED = r"\b[a-z]*(?:[a-z](?:\s*-\s*|\.?\s*)){3}[a-z]\s*(?:dot|\.)\s*(?:com|net|org|io|co)\b"
 PHONE = r"\b(?:\+?1[\s\-.]?)?(?:\(?\d{3}\)?[\s\-.]?)\d{3}[\s\-.]?\d{4}\b"
 LINK = r"\b(?:(?:https?://|www\.)\S+|(?:bit\.ly|t\.co|tinyurl\.com|linktr\.ee|lnk\.to|amzn\.to|geni\.us|kit\.co)/\S+)"
 
@@ -113,7 +117,7 @@ def basics(text: Column) -> dict[str, Column]:
 
 def hook_v4(text: Column) -> Column:
     t, n = F.lower(text), n_words(text)
-    flip = t.rlike(r"\b(most people think|everyone thinks|you('ve| have) been told)\b") & t.rlike(r"\b(but|actually|the truth)\b")
+    flip = t.rlike(CONTRA_OPEN) & t.rlike(CONTRA_FLIP)
     score = flip.cast("int") * 0.15 + hits(t, HOOK_CUES) * 0.15 + text.contains("?").cast("int") * 0.25
     score += F.when(n < 8, 0.2).when(n < 15, 0.1).otherwise(0.0)
     score += F.least(F.regexp_count(text, F.lit("!")) * 0.1, F.lit(0.3))

@@ -23,7 +23,10 @@ TOPIC_SHIFTS = (
 INSIGHT_PHRASES = (
     "here's the thing", "the key is", "the key insight", "what i learned", "my take", "the bottom line", "in summary", "to wrap up",
     "main observation", "key takeaway", "the thing is", "what i found", "here's what", "the insight", "here's why", "let me tell you",
-    "you know what", "this is why", "the reason is", "the problem is", "the solution is", "the answer is", "the truth is", "the point is",
+    "you know what", "this is why", "the reason is", "the problem is", "the issue is", "the challenge is", "the solution is",
+    "the answer is", "the truth is", "the reality is", "the fact is", "the secret is", "the trick is", "the way to", "the best way",
+    "the only way", "the right way", "the wrong way", "i think", "i believe", "i feel", "i know", "i understand", "i realize",
+    "the point is", "the idea is", "the concept is", "the principle is",
 )
 CLOSERS = ("right?", "you know?", "that's it.", "that's right.", "all set.", "we're done.")
 
@@ -181,15 +184,17 @@ def eos_density(words: DataFrame, eos: DataFrame, least: float = 6.0) -> DataFra
 
 
 def natural_boundaries(docs: DataFrame, key: str = "episode_id") -> DataFrame:
-    """(key, position, kind, confidence): the first rule that holds at a word, one boundary for each position."""
+    """(key, position, kind, confidence): the first rule that holds at a word, one boundary for each position.
+
+    A lone "?" is a sentence end, as that rule comes first; a rule for questions and answers after it could never hold.
+    """
     rows = docs.select(key, F.split(F.trim("text"), r"\s+").alias("ws")).select(key, F.size("ws").alias("n"), F.posexplode("ws").alias("at", "w"))
     window = Window.partitionBy(key).orderBy("at")
     near = lambda a, b: F.concat_ws(" ", F.collect_list("w").over(window.rowsBetween(a, b)))
     rows = rows.withColumn("five", near(-2, 2)).withColumn("three", near(-1, 1)).withColumn("ahead", near(1, 5)).withColumn("seven", near(-3, 3))
     inside = (F.col("at") > 5) & (F.col("at") < F.col("n") - 5)
     kind = (
-        F.when(F.col("w").rlike("[.!?:;]$") & (F.col("w") != "?"), F.lit("sentence_end"))
-        .when(F.col("w") == "?", F.lit("sentence_end"))
+        F.when(F.col("w").rlike("[.!?:;]$"), F.lit("sentence_end"))
         .when(any_of(F.col("five"), TOPIC_SHIFTS), F.lit("topic_shift"))
         .when(any_of(F.col("three"), INSIGHT_PHRASES), F.lit("insight_marker"))
         .when((F.col("w") == ",") & inside & any_of(F.col("seven"), ("first", "second", "third", "also", "additionally", "furthermore")), F.lit("comma_boundary"))

@@ -463,8 +463,9 @@ def d01(spark, d):
     return docs(spark, d).select("doc_id", *(c.alias(n) for n, c in features.basics(F.col("text")).items()))
 
 
-HOOK_V4 = f"""least(1.0, (regexp_matches(t, '\\b(most people think|everyone thinks|you(''ve| have) been told)\\b') and regexp_matches(t, '\\b(but|actually|the truth)\\b'))::int * 0.15 + {S.hits("t", features.HOOK_CUES)} * 0.15 + contains(text, '?')::int * 0.25
-    + (case when n < 8 then 0.2 when n < 15 then 0.1 else 0.0 end) + least({S.count("text", "!")} * 0.1, 0.3) + regexp_matches(text, '[0-9]')::int * 0.1 + {S.any_of("t", features.COMPARISONS)}::int * 0.1)"""
+HOOK_V4 = f"""least(1.0, (regexp_matches(t, '\\b(most|many|people|everyone|they)\\s+(think|say|assume)\\b') and regexp_matches(t, '\\bbut\\s+actually\\b|\\bhowever\\b|\\bbut\\s+(it|this)\\s+isn''?t\\b'))::int * 0.15
+    + len(list_filter(['you', 'imagine', 'what if', 'did you know', 'here''s why', 'the secret', 'shocking', 'amazing', 'incredible', 'unbelievable', 'mind-blowing', 'here''s what', 'the truth is', 'the key', 'the trick', 'the secret', 'what happens when', 'why do', 'how did', 'here''s how'], lambda p: contains(t, p))) * 0.15
+    + contains(text, '?')::int * 0.25 + (case when n < 8 then 0.2 when n < 15 then 0.1 else 0.0 end) + least({S.count("text", "!")} * 0.1, 0.3) + regexp_matches(text, '[0-9]')::int * 0.1 + regexp_matches(t, 'vs|versus|more than|less than|better than|worse than')::int * 0.1)"""
 SEG_TEXT = f"{S.SEGMENTS}, x as (select episode_id, seg_idx, text, lower(text) as t, (end_ms - start_ms) / 1000.0 as s, len({WS}) as n from segments)"
 
 
@@ -499,7 +500,7 @@ def d20(spark, d):
 
 
 AD = rf"""with x as (select doc_id, coalesce(text, '') as text, lower(coalesce(text, '')) as t from documents), m as (select doc_id, max(c) as rep from (select doc_id, w, count(*) as c from (select doc_id, unnest(list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'), lambda v: regexp_full_match(v, '[A-Z][a-zA-Z]{{2,}}'))) as w from x) group by 1, 2) group by 1),
-    s as (select x.doc_id, least(1.0, regexp_matches(t, '{features.DOMAIN}')::int * 0.45 + regexp_matches(t, '{features.SPELLED}')::int * 0.45 + {S.any_of("t", features.AD_PHRASES)}::int * 0.25 + ({S.hits("t", features.AD_CALLS)} >= 2)::int * 0.15
+    s as (select x.doc_id, least(1.0, regexp_matches(t, '{features.DOMAIN}')::int * 0.45 + regexp_matches(regexp_replace(t, '[^\x00-\x7F]', '_', 'g'), '\b(?:[a-z](?:\s*-\s*|\.?\s*)){{3,}}[a-z]\s*(?:dot|\.)\s*(?:com|net|org|io|co)\b')::int * 0.45 + {S.any_of("t", features.AD_PHRASES)}::int * 0.25 + ({S.hits("t", features.AD_CALLS)} >= 2)::int * 0.15
     + case when rep >= 3 then 0.20 when rep = 2 then 0.10 else 0.0 end)::double as v from x left join m using (doc_id))"""
 
 
