@@ -176,29 +176,34 @@ def tail_hits(text: Column, pattern: str, start: Column, weight: float, more: fl
     return F.aggregate(steps, first, add)["sum"]
 
 
-def payoff_v2(text: Column) -> tuple[Column, Column]:
-    """Score and label (lead, numeric, qa, conclusion or none). Leads 0.25 and amounts 0.12, five of a pattern, more in
-    the last 35 %; a question with an answer after it 0.22 or 0.32; a concluding last sentence 0.15; calls to act -0.20
-    each. Above 0.75 a quarter counts. Texts over 1,800 characters are judged by their first and last 900, as the rule
-    has it; those under 24 are 0."""
+def payoff_v2(text: Column) -> Column:
+    """Struct of score and label (lead, numeric, qa, conclusion or none). Leads 0.25 and amounts 0.12, five of a pattern,
+    more in the last 35 %; a question with an answer after it 0.22 or 0.32; a concluding last sentence 0.15; calls to
+    act -0.20 each. Above 0.75 a quarter counts. Texts over 1,800 characters are judged by their first and last 900, as
+    the rule has it; those under 24 are 0. The text is cut and joined once, as the only element of an array."""
     raw = whole(text)
     long_ = F.concat(F.substring(raw, 1, 900), F.lit(" ... "), F.substring(raw, -900, 900))
-    t = F.array_join(words(F.when(F.length(raw) > 1800, long_).otherwise(raw)), " ")
+    once = F.array(F.array_join(words(F.when(F.length(raw) > 1800, long_).otherwise(raw)), " "))
+    none = F.struct(F.lit(0.0).alias("score"), F.lit("none").alias("label"))
+    return F.when(F.length(raw) < 24, none).otherwise(F.transform(once, weigh_payoff)[0])
+
+
+def weigh_payoff(t: Column) -> Column:
     n = F.length(t)
     tail = F.floor(n * 0.65)
-    lead = reduce(lambda a, b: a + b, (tail_hits(t, f"(?i){p}", tail, 0.25, 0.15) for p in PAYOFF_LEADS))
-    amount = tail_hits(t, AMOUNT, tail, 0.12, 0.08)
+    places = lambda p, w, more: F.when(t.rlike(p), tail_hits(t, p, tail, w, more)).otherwise(0.0)
+    any_lead = t.rlike("(?i)" + "|".join(PAYOFF_LEADS))
+    lead = F.when(any_lead, reduce(lambda a, b: a + b, (places(f"(?i){p}", 0.25, 0.15) for p in PAYOFF_LEADS))).otherwise(0.0)
     at = F.instr(t, "?") - 1
     rest = F.trim(F.substring(t, at + 2, n))
     answered = (at >= 0) & (at < n - 5) & (F.length(rest) > 15) & ~rest.contains("?")
     last = F.element_at(F.filter(sentences(t), lambda s: s != ""), -1)
     ends = F.coalesce(last.rlike(f"(?i){CONCLUDES}"), F.lit(False))
-    score = lead + amount + F.when(answered, F.when(at >= F.floor(n * 0.4), 0.32).otherwise(0.22)).otherwise(0.0) + ends.cast("int") * 0.15
-    score = clamp(score - reduce(lambda a, b: a + b, (flag(t, p) for p in PAYOFF_NOT)) * 0.20)
-    score = F.when(score > 0.75, 0.75 + 0.25 * (score - 0.75)).otherwise(score)
-    label = F.when(lead > 0, "lead").when(amount > 0, "numeric").when(answered, "qa").when(ends, "conclusion").otherwise("none")
-    short = F.length(raw) < 24
-    return F.when(short, 0.0).otherwise(score), F.when(short, "none").otherwise(label)
+    more = F.when(answered, F.when(at >= F.floor(n * 0.4), 0.32).otherwise(0.22)).otherwise(0.0) + ends.cast("int") * 0.15
+    score = clamp(lead + places(AMOUNT, 0.12, 0.08) + more - reduce(lambda a, b: a + b, (flag(t, p) for p in PAYOFF_NOT)) * 0.20)
+    score = F.transform(F.array(score), lambda x: F.when(x > 0.75, 0.75 + 0.25 * (x - 0.75)).otherwise(x))[0]
+    label = F.when(any_lead, "lead").when(t.rlike(AMOUNT), "numeric").when(answered, "qa").when(ends, "conclusion").otherwise("none")
+    return F.struct(score.alias("score"), label.alias("label"))
 
 
 def payoff_presence(text: Column, markers=()) -> Column:

@@ -88,7 +88,6 @@ STRONG_EMOTIONS = ("amazing", "incredible", "unbelievable", "love", "hate", "ter
 EMOTIONS = ("happy", "sad", "angry", "excited", "scared", "surprised", "proud", "worried")
 INTENSE = ("insane", "crazy", "wild", "shocking", "unreal", "literally", "never", "ever")
 URGENT = ("now", "today", "immediately", "right away", "before it's too late")
-PAYOFF_LEADS = ("the answer is", "the point is", "that means", "which means", "the takeaway", "the lesson", "in the end", "so now", "that's why", "turns out")
 UNSURE = ("maybe", "i guess", "not sure", "kind of", "sort of", "perhaps")
 CAUSES = ("because", "therefore", "so that", "which means", "as a result", "that's why")
 INSIGHTS = {"contrast": 0.8, "number": 0.7, "comparison": 0.6, "causal": 0.5, "imperative": 0.6}
@@ -163,15 +162,6 @@ def arousal(text: Column) -> Column:
     return clamp(score)
 
 
-def payoff(text: Column) -> Column:
-    t = F.lower(text)
-    tail = F.substring(t, F.floor(F.length(t) * 0.65).cast("int") + 1, F.length(t))
-    score = any_hit(t, PAYOFF_LEADS).cast("int") * 0.25 + any_hit(tail, PAYOFF_LEADS).cast("int") * 0.15
-    score += t.rlike(r"\d+(\.\d+)?\s*(%|percent|x|times)").cast("int") * 0.12 + (text.contains("?") & any_hit(t, CAUSES)).cast("int") * 0.22
-    score += (F.rtrim(text).rlike("[.!]$") & (n_words(text) >= 8)).cast("int") * 0.15 - any_hit(t, ("subscribe", "link in bio", "sign up")).cast("int") * 0.20
-    return clamp(score - F.least(hits(t, UNSURE) * 0.05, F.lit(0.15)))
-
-
 def info_density(text: Column) -> Column:
     """0.012 a word (0.3 at most), less 0.08 a filler (0.4), plus numbers and capitalised words (0.6)."""
     t = F.lower(text)
@@ -385,11 +375,14 @@ def arousal_blend(df: DataFrame, text_share: float = 0.6) -> DataFrame:
 
 def segment_features(segments: DataFrame, platform: str = "tiktok") -> DataFrame:
     """The wide table: the segment's keys and about 25 feature columns, doubles rounded to 6 places."""
+    from cliploom.operators.evidence import payoff_v2
+
     text, s = F.col("text"), seconds()
     score, reasons = insight(text)
+    segments = segments.withColumn("_paid", payoff_v2(text))
     density = info_density(text)
     doubles = {
-        "hook_v4": hook_v4(text), "hook_proxy": hook_proxy(text), "arousal": arousal(text), "arousal_proxy": arousal_proxy(text), "payoff": payoff(text),
+        "hook_v4": hook_v4(text), "hook_proxy": hook_proxy(text), "arousal": arousal(text), "arousal_proxy": arousal_proxy(text), "payoff": F.col("_paid.score"),
         "info_density": density, "info_density_v2": info_density_v2(text, s), "aha_density": aha_density(text, s), "emotion": emotion(text),
         "q_list": question_or_list(text), "loopability": loopability(text), "insight": score, "repetition": repetition_ratio(text),
         "ad_likelihood": ad_likelihood(text), "ad_like": ad_like_score(text), "platform_length": platform_length(s, density, platform),
@@ -400,6 +393,7 @@ def segment_features(segments: DataFrame, platform: str = "tiktok") -> DataFrame
     return segments.select(
         *keys, "text", *(c.alias(n) for n, c in basics(text).items()), *(F.round(c, 6).alias(n) for n, c in doubles.items()),
         *(c.alias(n) for n, c in flags.items()), reasons.alias("insight_reasons"),
+        F.col("_paid.label").alias("payoff_label"),
     )
 
 

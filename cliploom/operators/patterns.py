@@ -7,6 +7,7 @@ is an equi-join on time bins, the as-of join a window over the union of both sid
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,10 +27,9 @@ def range_join(
     """Pairs of rows whose intervals touch and that meet `condition`; column names of the sides must differ but for `by`.
 
     Both sides are put into time bins and joined on (key, bin); a pair is taken in the first bin that both touch,
-    so it comes once. Long keys (a single very long episode) spread over their bins.
+    so it comes once. Long keys (a single very long episode) spread over their bins. For how="left", rows that met
+    nothing are found by their values (equal rows meet the same), so a task that runs again finds the same ones.
     """
-    if how == "left":
-        left = left.withColumn("_row", F.monotonically_increasing_id())
     a = left.withColumn("_bin", F.explode(_bins(F.col(left_span[0]), F.col(left_span[1]), bin_ms)))
     b = right.withColumnRenamed(by, "_key").withColumn("_other", F.explode(_bins(F.col(right_span[0]), F.col(right_span[1]), bin_ms)))
     first = F.greatest(F.floor(F.col(left_span[0]) / bin_ms), F.floor(F.col(right_span[0]) / bin_ms))
@@ -37,8 +37,9 @@ def range_join(
     joined = joined.drop("_bin", "_other", "_key")
     if how == "inner":
         return joined
-    missing = left.join(joined.select("_row"), "_row", "left_anti")
-    return joined.unionByName(missing, allowMissingColumns=True).drop("_row")
+    met = joined.select(*(F.col(c).alias(f"_met_{c}") for c in left.columns)).distinct()
+    missing = left.join(met, reduce(lambda x, y: x & y, (left[c].eqNullSafe(met[f"_met_{c}"]) for c in left.columns)), "left_anti")
+    return joined.unionByName(missing, allowMissingColumns=True)
 
 
 def asof_join(

@@ -76,8 +76,8 @@ LEADS = (
     select episode_id, seg_idx, round(case when length(text) < 24 then 0 when s > 0.75 then 0.75 + 0.25 * (s - 0.75) else s end, 6)::double as payoff,
         case when length(text) < 24 then 'none' when lead = 1 then 'lead' when lead = 0 then 'numeric' when qa then 'qa' when ends then 'conclusion' else 'none' end as payoff_label from z""")
 def d09(spark, d):
-    score, label = E.payoff_v2(F.col("text"))
-    return columns(spark, d, payoff=score, payoff_label=label)
+    paid = E.payoff_v2(F.col("text"))
+    return columns(spark, d, payoff=paid["score"], payoff_label=paid["label"])
 
 
 @query("d10_payoff_presence", rf"""with {CUED}, p as (select *, string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) as ss from x) select episode_id, seg_idx, round((case when length(trim(text)) < 8 then 0.0 else greatest(0.0, least(1.0,

@@ -131,7 +131,7 @@ def first_seen(events: DataFrame, key: str = "key", ttl_s: int = 900) -> DataFra
 
 
 def first_seen_stream(events: DataFrame, key: str = "key", ttl: str = "900 seconds") -> DataFrame:
-    """The first row of each key inside the watermark."""
+    """The first row of each key inside the watermark. Not the rows of `first_seen`, which accepts a key again after a gap."""
     return events.withWatermark("ts", ttl).dropDuplicatesWithinWatermark([key])
 
 
