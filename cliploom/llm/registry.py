@@ -16,6 +16,7 @@ MODULES = {
     "op8_markov_secrets": "secrets",
     "op9_edit_join_lines": "lines",
     "op10_host_paths": "html",
+    "op11_skip_list_middle": "middle",
 }
 
 
