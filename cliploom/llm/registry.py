@@ -17,6 +17,7 @@ MODULES = {
     "op9_edit_join_lines": "lines",
     "op10_host_paths": "html",
     "op11_skip_list_middle": "middle",
+    "op12_nearest_toxicity": "toxicity",
 }
 
 
