@@ -18,6 +18,7 @@ MODULES = {
     "op10_host_paths": "html",
     "op11_skip_list_middle": "middle",
     "op12_nearest_toxicity": "toxicity",
+    "op13_checkpointed_repair": "repair",
 }
 
 
