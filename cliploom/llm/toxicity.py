@@ -45,6 +45,8 @@ LEAST_EXAMPLES = 3
 PREFIXES = (4, 5)
 FOLDS = 5
 NEIGHBOURS = 15
+#: Documents that one task scores.
+ROWS_A_TASK = 10_000
 BLOCK = 128
 #: Blocks read before the bound is looked at again; four times as many each further time.
 FIRST_BLOCKS = 4
@@ -142,9 +144,8 @@ def vectors(docs: DataFrame, terms: list[str], carried: str = "doc_id long") ->
     return docs.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in carried.split(", ")], "text").mapInArrow(count, f"{carried}, at array<int>, n array<int>")
 
 
-def idf_of(counted: DataFrame, size: int) -> np.ndarray:
-    """Inverse document frequency of each known term, over all documents."""
-    total = counted.count()
+def idf_of(counted: DataFrame, size: int, total: int) -> np.ndarray:
+    """Inverse document frequency of each known term, over all `total` documents."""
     df = np.zeros(size)
     for r in counted.select(F.explode("at").alias("t")).groupBy("t").count().collect():
         df[r.t] = r["count"]
@@ -224,14 +225,14 @@ class BlockMaxIndex:
         return float((w * self.toxic[[e for _, e in found]]).sum() / w.sum())
 
 
-def isotonic(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A rising curve through (vote, share of label 1): pools neighbours that fall; two votes of either label are added at the ends."""
+def isotonic(votes: np.ndarray, labels: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A rising curve through (vote, share of label 1): pools neighbours that fall; a vote of either label is added at the ends."""
     order = np.argsort(votes, kind="stable")
     x = np.r_[0.0, votes[order], 1.0]
-    y = np.r_[0.0, labels[order].astype(float), 1.0]
+    y = np.r_[0.0, (labels * times)[order].astype(float), 1.0]
     pools: list[list[float]] = []
-    for at, value in zip(x, y):
-        pools.append([value, 1.0, at, at])
+    for at, value, n in zip(x, y, np.r_[1, times[order], 1]):
+        pools.append([value, float(n), at, at])
         while len(pools) > 1 and (pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1] or pools[-2][3] == pools[-1][2]):
             s, n, _, high = pools.pop()
             pools[-1][0] += s
@@ -258,9 +259,12 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> tuple[Model,
     examples = stash(examples_of(docs, labels), "examples")
     terms = vocabulary(examples)
     counted = stash(vectors(docs, terms), "terms")
-    idf = idf_of(counted, len(terms))
+    total = counted.count()
+    idf = idf_of(counted, len(terms), total)
+    # The counts are small beside the time that a search takes, so they are dealt out by rows, not by bytes.
+    counted = counted.repartition(max(spark.sparkContext.defaultParallelism, -(-total // ROWS_A_TASK)))
     known = stash(vectors(examples, terms, "doc_id long, toxic int"), "known")
-    rows = known.orderBy("doc_id").collect()
+    rows = sorted(known.collect(), key=lambda r: r.doc_id)
     index = BlockMaxIndex([r.doc_id for r in rows], [r.toxic for r in rows], [r.at for r in rows], [r.n for r in rows], idf)
     empty = [r.toxic for r in rows if not r.at]
     share = sum(empty) / (len(empty) + 1)
@@ -272,8 +276,9 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> tuple[Model,
             kept = [(sent.value.vote(f), y) for f, y in found if f]
             yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in kept], pa.float64()), pa.array([y for _, y in kept], pa.int32())], names=["vote", "toxic"])
 
-    seen = known.mapInArrow(votes, "vote double, toxic int").orderBy("vote", "toxic").collect()
-    curve = isotonic(np.array([r.vote for r in seen]), np.array([r.toxic for r in seen]))
+    seen = known.mapInArrow(votes, "vote double, toxic int").groupBy("vote", "toxic").agg(F.count("*").alias("n")).collect()
+    seen.sort()
+    curve = isotonic(*(np.array([r[i] for r in seen]) for i in range(3)))
     return Model(terms, index, curve, share), counted
 
 

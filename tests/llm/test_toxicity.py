@@ -35,7 +35,7 @@ def test_neighbours_equal_brute_force():
 
 def test_curve_rises_through_the_shares():
     votes, labels = np.array([0.1, 0.1, 0.2, 0.4, 0.4, 0.9, 0.9]), np.array([0, 0, 1, 0, 0, 1, 1])
-    x, y = toxicity.isotonic(votes, labels)
+    x, y = toxicity.isotonic(votes, labels, np.array([1, 1, 1, 1, 1, 2, 3]))
     assert (np.diff(y) >= 0).all() and (np.diff(x) >= 0).all() and y[0] == 0 and y[-1] == 1
     assert np.interp(0.4, x, y) == 1 / 3
 
