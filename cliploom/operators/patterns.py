@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cliploom.operators import large
+
 #: Width of a time bin of the range join. An interval is repeated for each bin it touches.
 BIN_MS = 30_000
 
@@ -88,13 +90,21 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def greedy_keep(
-    df: DataFrame, by: str, order: Sequence[Column], fields: Sequence[str], conflict: Callable[[Column, Column], Column], limit: int | None = None
+    df: DataFrame, by: str, order: Sequence[Column], fields: Sequence[str], conflict, limit: int | None = None, large_group: int = large.LARGE_GROUP
 ) -> DataFrame:
     """Rows kept when each key's rows are taken in order and one that conflicts with a kept row is passed over.
 
-    conflict(kept, candidate) gets two structs of `fields`. The fold runs inside the JVM over one sorted array for
-    each key; candidate sets are a ranked selection of an episode's windows, so arrays stay small.
+    `conflict` is a rule of operators.large. Groups of up to `large_group` rows are folded inside the JVM over one sorted
+    array; larger ones are read in order with an index of the kept rows. A count of the groups decides. A plain function
+    (kept, candidate) of two structs of `fields` is taken too; it always folds, so its groups must be small.
     """
+    if hasattr(conflict, "kept"):
+        fold = lambda rows: _fold_keep(rows, by, order, fields, conflict.clash, limit)
+        return large.by_size(df, by, fold, lambda rows: large.keep_large(rows, by, order, fields, conflict, limit), large_group)
+    return _fold_keep(df, by, order, fields, conflict, limit)
+
+
+def _fold_keep(df: DataFrame, by: str, order: Sequence[Column], fields: Sequence[str], conflict: Callable[[Column, Column], Column], limit: int | None) -> DataFrame:
     keys = [c.alias(f"_o{i}") for i, c in enumerate(order)]
     row = F.struct(*keys, *fields)
     arrays = df.groupBy(by).agg(F.sort_array(F.collect_list(row)).alias("_all"))

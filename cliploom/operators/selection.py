@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from cliploom.operators.features import any_hit, arousal_proxy, duration_fit, hook_proxy, info_proxy, n_words, prerank_score, PRERANK_ADS
 from cliploom.operators.joins import cosine, cosine_pairs
-from cliploom.operators.patterns import greedy_keep, iou, jaccard, ordered_fold
+from cliploom.operators.large import LARGE_GROUP, Alike, AnyOf, Near, Overlap, Shared, Touch
+from cliploom.operators.patterns import greedy_keep, jaccard, ordered_fold
 
 
 def rank_by(by: str | list[str], *order) -> Column:
@@ -65,9 +66,9 @@ def first_words(text: Column, n: int = 10) -> Column:
 def select_moments(clips: DataFrame, n: int = 5, gap_ms: int = 45_000, overlap: int = 5, ms=(12_000, 30_000)) -> DataFrame:
     """The best clips of 12 to 30 seconds whose starts are 45 seconds apart and whose openings differ."""
     rows = clips.where((F.col("end_ms") - F.col("start_ms")).between(*ms)).withColumn("opening", first_words(F.col("text")))
-    clash = lambda k, c: (F.abs(k["start_ms"] - c["start_ms"]) < gap_ms) | (F.size(F.array_intersect(k["opening"], c["opening"])) > overlap)
+    rule = AnyOf((Near(("start_ms",), gap_ms - 1), Shared("opening", overlap)))
     fields = ["clip_id", "start_ms", "end_ms", "final_score", "opening"]
-    return greedy_keep(rows, "episode_id", [-F.col("final_score"), F.col("clip_id")], fields, clash, limit=n).drop("opening")
+    return greedy_keep(rows, "episode_id", [-F.col("final_score"), F.col("clip_id")], fields, rule, limit=n).drop("opening")
 
 
 def rank_clips(clips: DataFrame, seeds_first: bool = True) -> DataFrame:
@@ -248,51 +249,40 @@ def best_first() -> list[Column]:
     return [-F.col("final_score"), F.col("start_ms"), F.col("clip_id")]
 
 
-def nms(clips: DataFrame, least: float = 0.55, hull: bool = False) -> DataFrame:
+def nms(clips: DataFrame, least: float = 0.55, hull: bool = False, large_group: int = LARGE_GROUP) -> DataFrame:
     """Clips in order of score, those dropped that overlap a kept one by `least` or more. Clips without a span stay."""
-    clash = lambda k, c: iou(k["start_ms"], k["end_ms"], c["start_ms"], c["end_ms"], hull) >= least
-    return greedy_keep(clips, "episode_id", best_first(), CLIP, clash)
+    return greedy_keep(clips, "episode_id", best_first(), CLIP, Overlap(least, hull), large_group=large_group)
 
 
-def drop_overlaps(clips: DataFrame) -> DataFrame:
+def drop_overlaps(clips: DataFrame, large_group: int = LARGE_GROUP) -> DataFrame:
     """Clips in order of score that touch no kept one."""
-    clash = lambda k, c: (k["start_ms"] < c["end_ms"]) & (k["end_ms"] > c["start_ms"])
-    return greedy_keep(clips, "episode_id", best_first(), CLIP, clash)
+    return greedy_keep(clips, "episode_id", best_first(), CLIP, Touch(), large_group=large_group)
 
 
-def dedup_iou(clips: DataFrame, least: float = 0.85) -> DataFrame:
+def dedup_iou(clips: DataFrame, least: float = 0.85, large_group: int = LARGE_GROUP) -> DataFrame:
     """As nms, finished clips and those nearer to 18 seconds first among equal scores."""
     order = [-F.col("final_score"), (~F.col("finished")).cast("int"), F.abs(F.col("end_ms") - F.col("start_ms") - 18_000), F.col("clip_id")]
-    clash = lambda k, c: iou(k["start_ms"], k["end_ms"], c["start_ms"], c["end_ms"]) >= least
-    return greedy_keep(clips, "episode_id", order, CLIP, clash)
+    return greedy_keep(clips, "episode_id", order, CLIP, Overlap(least), large_group=large_group)
 
 
-def dedup_timing(clips: DataFrame, tolerance_ms: int = 150) -> DataFrame:
+def dedup_timing(clips: DataFrame, tolerance_ms: int = 150, large_group: int = LARGE_GROUP) -> DataFrame:
     """Clips dropped of which both ends are within the tolerance of a kept one's."""
-    clash = lambda k, c: (F.abs(k["start_ms"] - c["start_ms"]) <= tolerance_ms) & (F.abs(k["end_ms"] - c["end_ms"]) <= tolerance_ms)
-    return greedy_keep(clips, "episode_id", best_first(), CLIP, clash)
+    return greedy_keep(clips, "episode_id", best_first(), CLIP, Near(("start_ms", "end_ms"), tolerance_ms), large_group=large_group)
 
 
 def with_words(clips: DataFrame) -> DataFrame:
     return clips.withColumn("ws", F.array_distinct(F.split(F.lower(F.trim("text")), r"\s+")))
 
 
-def dedup_text(clips: DataFrame, least: float = 0.90, near_ms: int | None = None) -> DataFrame:
+def dedup_text(clips: DataFrame, least: float = 0.90, near_ms: int | None = None, large_group: int = LARGE_GROUP) -> DataFrame:
     """Clips dropped whose words are like a kept one's; with `near_ms`, only if their middles are as near."""
+    return greedy_keep(with_words(clips), "episode_id", best_first(), [*CLIP, "ws"], Alike("ws", least, near_ms), large_group=large_group).drop("ws")
 
-    def clash(k: Column, c: Column) -> Column:
-        alike = jaccard(k["ws"], c["ws"]) >= least
-        if near_ms is None:
-            return alike
-        return alike & (F.abs((k["start_ms"] + k["end_ms"]) - (c["start_ms"] + c["end_ms"])) <= 2 * near_ms)
 
-    return greedy_keep(with_words(clips), "episode_id", best_first(), [*CLIP, "ws"], clash).drop("ws")
-
-
-def dedupe_candidates(clips: DataFrame, overlap: float = 0.6, alike: float = 0.85) -> DataFrame:
+def dedupe_candidates(clips: DataFrame, overlap: float = 0.6, alike: float = 0.85, large_group: int = LARGE_GROUP) -> DataFrame:
     """Clips dropped that overlap a kept one or have its words."""
-    clash = lambda k, c: (iou(k["start_ms"], k["end_ms"], c["start_ms"], c["end_ms"]) >= overlap) | (jaccard(k["ws"], c["ws"]) >= alike)
-    return greedy_keep(with_words(clips), "episode_id", best_first(), [*CLIP, "ws"], clash).drop("ws")
+    rule = AnyOf((Overlap(overlap), Alike("ws", alike)))
+    return greedy_keep(with_words(clips), "episode_id", best_first(), [*CLIP, "ws"], rule, large_group=large_group).drop("ws")
 
 
 def semantic_dedupe(embeddings: DataFrame, key: str, block: str, vector: str, least: float = 0.92) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliploom.operators.joins import next_eos, ordered_text, prev_eos, segment_window_text
+from cliploom.operators import large
 from cliploom.operators.patterns import greedy_keep, islands, ordered_fold, range_join
 
 ENDS = r"[.!?]$"
@@ -235,8 +236,12 @@ def dynamic_segments(segments: DataFrame, least_ms: int = 8_000) -> DataFrame:
     return segment_window_text(segments, spans)
 
 
-def merge_short_seeds(segments: DataFrame, gap_ms: int = 250, least_ms: int = 16_000, most_ms: int = 28_000) -> DataFrame:
-    """Neighbours of one speaker with little gap, merged in order until they are long enough."""
+def merge_short_seeds(segments: DataFrame, gap_ms: int = 250, least_ms: int = 16_000, most_ms: int = 28_000, large_group: int = large.LARGE_GROUP) -> DataFrame:
+    """Neighbours of one speaker with little gap, merged in order until they are long enough.
+
+    Episodes of many segments are read in order and hold the one seed that is open.
+    """
+    fields = ["start_ms", "end_ms", "speaker", "text"]
     kind = "struct<start_ms: bigint, end_ms: bigint, speaker: string, text: string, n: bigint>"
 
     def step(done: Column, x: Column) -> Column:
@@ -247,8 +252,34 @@ def merge_short_seeds(segments: DataFrame, gap_ms: int = 250, least_ms: int = 16
         both = F.struct(last["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"), last["speaker"].alias("speaker"), F.concat_ws(" ", last["text"], x["text"]).alias("text"), (last["n"] + 1).alias("n"))
         return F.when(F.coalesce(fits, F.lit(False)), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(both))).otherwise(F.concat(done, F.array(one)))
 
-    folded = ordered_fold(segments, "episode_id", [F.col("seg_idx")], ["start_ms", "end_ms", "speaker", "text"], f"cast(array() as array<{kind}>)", step, "done")
-    return folded.select("episode_id", F.posexplode("done").alias("seed_idx", "x")).select("episode_id", "seed_idx", "x.*")
+    def fold(rows: DataFrame) -> DataFrame:
+        folded = ordered_fold(rows, "episode_id", [F.col("seg_idx")], fields, f"cast(array() as array<{kind}>)", step, "done")
+        return folded.select("episode_id", F.posexplode("done").alias("seed_idx", "x")).select("episode_id", "seed_idx", "x.*")
+
+    def begin():
+        open_, texts, done = [], [], [0]
+
+        def close():
+            if open_:
+                start, end, speaker = open_
+                yield done[0], start, end, speaker, " ".join(t for t in texts if t is not None) if len(texts) > 1 else texts[0], len(texts)
+                done[0] += 1
+
+        def take(row: dict):
+            start, end, speaker, text = row.values()
+            if open_ and None not in (start, end, speaker, *open_):
+                fits = start - open_[1] <= gap_ms and speaker == open_[2] and open_[1] - open_[0] < least_ms and end - open_[0] <= most_ms
+                if fits:
+                    open_[1] = end
+                    texts.append(text)
+                    return
+            yield from close()
+            open_[:], texts[:] = (start, end, speaker), (text,)
+
+        return take, close
+
+    out = "seed_idx int, start_ms long, end_ms long, speaker string, text string, n long"
+    return large.by_size(segments, "episode_id", fold, lambda rows: large.ordered_stream(rows, "episode_id", [F.col("seg_idx")], fields, begin, out), large_group)
 
 
 def sliding_windows(segments: DataFrame, window_ms: int = 28_000, step_ms: int = 18_000, least_ms: int = 8_000, least_chars: int = 20) -> DataFrame:
@@ -394,8 +425,7 @@ def peaks(curve: DataFrame, k: int = 30, least_hops: int = 12) -> DataFrame:
     """The `k` highest strict peaks of each episode, at least `least_hops` apart."""
     order = _by("hop")
     rows = curve.withColumn("_a", F.lag("hot").over(order)).withColumn("_b", F.lead("hot").over(order)).where("hot > _a and hot > _b")
-    near = lambda kept, c: F.abs(kept["hop"] - c["hop"]) < least_hops
-    return greedy_keep(rows, "episode_id", [-F.col("hot"), F.col("hop")], ["hop", "hot"], near, limit=k)
+    return greedy_keep(rows, "episode_id", [-F.col("hot"), F.col("hop")], ["hop", "hot"], large.Near(("hop",), least_hops - 1), limit=k)
 
 
 def snap_windows(windows: DataFrame, eos: DataFrame, reach_ms: int = 3_000) -> DataFrame:
