@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliploom.operators.features import clamp, sigmoid
+from cliploom.operators.large import LARGE_GROUP
+from cliploom.operators.quantiles import order_statistics, quantiles
 
 
 def znorm(df: DataFrame, by: str, column: str = "final_score") -> DataFrame:
@@ -37,28 +39,28 @@ def band(ms: Column) -> Column:
     return out
 
 
-def band_norm(df: DataFrame, by: list[str], column: str = "final_score") -> DataFrame:
+def band_norm(df: DataFrame, by: list[str], column: str = "final_score", large_group: int = LARGE_GROUP) -> DataFrame:
     """Score in its duration band: (v - (median - iqr)) / 2 iqr, 0.05 at least; quartiles are the values at ranks
-    n/4, n/2 and 3n/4. One aggregate of each band is joined back."""
+    n/4, n/2 and 3n/4, exact in bands of any size. One small table of bands is joined back."""
     rows = df.withColumn("band", band(F.col("end_ms") - F.col("start_ms")))
     v = F.col(column) * 100
-    sorted_v = F.sort_array(F.collect_list(v))
-    n = F.size("vs")
-    at = lambda k: F.get("vs", F.floor(n * k / 4).cast("int"))
-    stats = rows.groupBy(*by, "band").agg(sorted_v.alias("vs")).select(*by, "band", at(2).alias("mid"), F.greatest(at(3) - at(1), F.lit(1e-6)).alias("iqr"))
-    joined = rows.join(stats, [*by, "band"])
+    stats = order_statistics(rows, [*by, "band"], v, lambda n: [F.floor(n * k / 4) for k in (1, 2, 3)], large_group)
+    at = lambda k: F.get("at", F.lit(k - 1))
+    stats = stats.select(*by, "band", at(2).alias("mid"), F.greatest(at(3) - at(1), F.lit(1e-6)).alias("iqr"))
+    joined = rows.join(stats if by else F.broadcast(stats), [*by, "band"])
     span, low = 2 * F.col("iqr"), F.col("mid") - F.col("iqr")
     value = F.when(span < 1e-6, sigmoid((v - 0.35) / 0.08)).otherwise((v - low) / span)
     return joined.withColumn("band_score", F.round(clamp(value, 0.05, 1.0), 6)).drop("mid", "iqr")
 
 
-def calibrate(df: DataFrame, column: str, method: str = "mean", by: str | None = None, gain: float = 1.0) -> DataFrame:
-    """sigmoid of a z score over the set: mean and population deviation, or median and iqr / 1.349."""
+def calibrate(df: DataFrame, column: str, method: str = "mean", by: str | None = None, gain: float = 1.0, large_group: int = LARGE_GROUP) -> DataFrame:
+    """sigmoid of a z score over the set: mean and population deviation, or median and iqr / 1.349 (exact, for sets of any size)."""
     keys = [by] if by else []
     if method == "mean":
         stats = df.groupBy(*keys).agg(F.avg(column).alias("_c"), F.stddev_pop(column).alias("_d"))
     else:
-        stats = df.groupBy(*keys).agg(F.percentile(column, 0.5).alias("_c"), ((F.percentile(column, 0.75) - F.percentile(column, 0.25)) / 1.349).alias("_d"))
+        found = quantiles(df, keys, column, (0.5, 0.75, 0.25), ("_c", "_q3", "_q1"), large_group)
+        stats = found.select(*keys, "_c", ((F.col("_q3") - F.col("_q1")) / 1.349).alias("_d"))
     rows = df.join(stats, by) if by else df.crossJoin(F.broadcast(stats))
     z = F.when(F.col("_d") > 1e-9, (F.col(column) - F.col("_c")) / F.col("_d")).otherwise(0.0)
     return rows.withColumn(f"{column}_cal", F.round(sigmoid(gain * z), 6)).drop("_c", "_d")
@@ -79,7 +81,7 @@ def calibrator(scores: DataFrame, df: DataFrame, keep: int = 500, column: str =
     return df.crossJoin(F.broadcast(stats)).withColumn("display", F.bround(clamp(value, 0.0, 100.0)).cast("long")).drop("p10", "p90")
 
 
-def percentile_gate(df: DataFrame, by: str, column: str = "final_score", top: int = 3) -> DataFrame:
+def percentile_gate(df: DataFrame, by: str, column: str = "final_score", top: int = 3, large_group: int = LARGE_GROUP) -> DataFrame:
     """Clips kept: short ones from their p70 on, middle ones from p60 (p55 in episodes of over 25 minutes), the cutoff
     0.80 at most, and always the best three. The highest tenth is left out of a percentile over more than ten."""
     ms = F.col("end_ms") - F.col("start_ms")
@@ -91,7 +93,7 @@ def percentile_gate(df: DataFrame, by: str, column: str = "final_score", top: in
     used = (F.col("_n") <= 10) | (F.col("_place") > F.greatest(F.lit(1), F.floor(F.col("_n") * 0.10)))
     long_episode = F.max("end_ms").over(Window.partitionBy(by)) - F.min("start_ms").over(Window.partitionBy(by)) > 25 * 60_000
     rows = rows.withColumn("_long", long_episode).withColumn("_v", F.when(used, F.col(column)))
-    cuts = rows.groupBy(by, "size").agg(F.percentile("_v", F.lit(0.70)).alias("p70"), F.percentile("_v", F.lit(0.60)).alias("p60"), F.percentile("_v", F.lit(0.55)).alias("p55"))
+    cuts = quantiles(rows, [by, "size"], "_v", (0.70, 0.60, 0.55), ("p70", "p60", "p55"), large_group)
     cut = F.when(F.col("size") == "micro", F.col("p70")).when(F.col("_long"), F.col("p55")).otherwise(F.col("p60"))
     best = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(column), "clip_id")) <= top
     rows = rows.withColumn("_best", best).join(cuts, [by, "size"])
