@@ -1,31 +1,25 @@
 """Structured Streaming jobs and their batch twins.
 
 A stream and its twin give the same rows on the same events. Time is event time `ts`; rows later than the watermark
-are dropped. Rules that look at earlier accepted rows are ordered folds in the twin and keyed state in the stream.
+are dropped. Rules that look at earlier accepted rows are ordered folds in the twin and keyed state with event-time timers
+in the stream (keyed.py).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cliploom.operators.patterns import ordered_fold
-
-#: Stages of a job in order, and those after which nothing changes.
-STAGES = ("queued", "uploading", "converting", "transcribing", "scoring", "processing", "completed", "error")
-TERMINAL = ("completed", "error")
-THROTTLE_POINTS, THROTTLE_S = 5, 2
+from cliploom.streaming.keyed import STAGES, TERMINAL, THROTTLE_POINTS, THROTTLE_S, Calibrator, FirstSeen, Progress, RateLimit, in_order
 
 PROGRESS = "array<struct<stage: string, percent: bigint, at_s: bigint>>"
 
 
-def progress(events: DataFrame, by: str = "episode_id") -> DataFrame:
+def progress(events: DataFrame, by: str = "episode_id", ttl_s: int | None = None) -> DataFrame:
     """Accepted updates (by, stage, percent, at_s) of (by, stage, percent, ts, id): the stage never goes back, the
-    percentage never falls, small or fast updates of one stage are passed over, nothing follows a terminal stage."""
+    percentage never falls, small or fast updates of one stage are passed over, nothing follows a terminal stage.
+    With `ttl_s`, a job may begin anew after so many seconds without an accepted update."""
     order = F.array(*map(F.lit, STAGES))
     rows = events.select(by, F.lower(F.trim("stage")).alias("stage"), F.least(F.greatest("percent", F.lit(0)), F.lit(100)).cast("long").alias("percent"), F.unix_timestamp("ts").alias("at_s"), "id")
     rows = rows.withColumn("stage", F.when(F.array_contains(order, F.col("stage")), F.col("stage")).otherwise("processing"))
@@ -37,41 +31,16 @@ def progress(events: DataFrame, by: str = "episode_id") -> DataFrame:
         back = (place(x["stage"]) < place(last["stage"])) | (x["percent"] < last["percent"])
         same = (x["stage"] == last["stage"]) & ((x["percent"] - last["percent"] < THROTTLE_POINTS) | (x["at_s"] - last["at_s"] < THROTTLE_S))
         one = F.struct(x["stage"].alias("stage"), x["percent"].alias("percent"), x["at_s"].alias("at_s"))
-        return F.when((F.size(done) > 0) & (frozen | back | same), done).otherwise(F.concat(done, F.array(one)))
+        known = (F.size(done) > 0) & (F.lit(True) if ttl_s is None else x["at_s"] - last["at_s"] <= ttl_s)
+        return F.when(known & (frozen | back | same), done).otherwise(F.concat(done, F.array(one)))
 
     folded = ordered_fold(rows, by, [F.col("at_s"), F.col("id")], ["stage", "percent", "at_s"], f"cast(array() as {PROGRESS})", step, "done")
     return folded.select(by, F.posexplode("done").alias("no", "x")).select(by, F.col("no").cast("long").alias("no"), "x.*")
 
 
-def _accept(last: tuple | None, stage: str, percent: int, at: int) -> bool:
-    if last is None:
-        return True
-    if last[0] in TERMINAL or STAGES.index(stage) < STAGES.index(last[0]) or percent < last[1]:
-        return False
-    return stage != last[0] or (percent - last[1] >= THROTTLE_POINTS and at - last[2] >= THROTTLE_S)
-
-
-def progress_stream(events: DataFrame, by: str = "episode_id") -> DataFrame:
-    """As progress(), with the last accepted update of each key as state. Batches are taken in order of time."""
-
-    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
-        rows = pd.concat(list(parts)).sort_values(["ts", "id"])
-        out = []
-        for stage, percent, ts in zip(rows["stage"], rows["percent"], rows["ts"]):
-            stage = str(stage).strip().lower()
-            stage = stage if stage in STAGES else "processing"
-            percent, at_s = min(100, max(0, int(percent))), int(ts.timestamp())
-            if _accept(last, stage, percent, at_s):
-                last = (stage, percent, at_s)
-                out.append((key[0], *last))
-        if last is not None:
-            state.update(last)
-        yield pd.DataFrame(out, columns=[by, "stage", "percent", "at_s"])
-
-    return events.groupBy(by).applyInPandasWithState(
-        update, f"{by} bigint, stage string, percent bigint, at_s bigint", "stage string, percent bigint, at_s bigint", "append", GroupStateTimeout.NoTimeout
-    )
+def progress_stream(events: DataFrame, by: str = "episode_id", ttl_s: int = 86_400, watermark: str = "10 minutes") -> DataFrame:
+    """The rows of progress() with the same `ttl_s`, once the watermark has passed them; a job is forgotten after that time."""
+    return in_order(events, by, Progress(ttl_s), watermark)
 
 
 #: Accepted requests and seconds of each operation.
@@ -95,26 +64,9 @@ def rate_limit(requests: DataFrame, by: str, limit: int, seconds: int) -> DataFr
     return folded.select(by, F.explode("s.out").alias("x")).select(by, "x.*")
 
 
-def rate_limit_stream(requests: DataFrame, by: str, limit: int, seconds: int) -> DataFrame:
-    """As rate_limit(), the accepted times of each key that are still in the window as state."""
-
-    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        open_ = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(parts)).sort_values(["ts", "id"])
-        out = []
-        for ident, ts in zip(rows["id"], rows["ts"]):
-            at = int(ts.timestamp())
-            open_ = [t for t in open_ if t > at - seconds]
-            yes = len(open_) < limit
-            if yes:
-                open_.append(at)
-            out.append((key[0], int(ident), at, yes))
-        state.update((open_,))
-        yield pd.DataFrame(out, columns=[by, "id", "at_s", "accepted"])
-
-    return requests.groupBy(by).applyInPandasWithState(
-        update, f"{by} bigint, id bigint, at_s bigint, accepted boolean", "open array<bigint>", "append", GroupStateTimeout.NoTimeout
-    )
+def rate_limit_stream(requests: DataFrame, by: str, limit: int, seconds: int, watermark: str = "10 minutes") -> DataFrame:
+    """The rows of rate_limit(), once the watermark has passed them; a key is forgotten when its window is empty."""
+    return in_order(requests, by, RateLimit(limit, seconds), watermark)
 
 
 def first_seen(events: DataFrame, key: str = "key", ttl_s: int = 900) -> DataFrame:
@@ -130,9 +82,9 @@ def first_seen(events: DataFrame, key: str = "key", ttl_s: int = 900) -> DataFra
     return folded.select(key, F.explode("done").alias("x")).select(key, "x.*")
 
 
-def first_seen_stream(events: DataFrame, key: str = "key", ttl: str = "900 seconds") -> DataFrame:
-    """The first row of each key inside the watermark. Not the rows of `first_seen`, which accepts a key again after a gap."""
-    return events.withWatermark("ts", ttl).dropDuplicatesWithinWatermark([key])
+def first_seen_stream(events: DataFrame, key: str = "key", ttl_s: int = 900, watermark: str = "10 minutes") -> DataFrame:
+    """The rows of first_seen(), once the watermark has passed them; a key is forgotten after `ttl_s`."""
+    return in_order(events, key, FirstSeen(ttl_s), watermark)
 
 
 def metrics(events: DataFrame, width: str = "1 hour", watermark: str | None = None) -> DataFrame:
@@ -152,19 +104,20 @@ def rolling_calibrator(scores: DataFrame, keep: int = 500) -> DataFrame:
     return a.select(F.size("a").cast("long").alias("n"), at(0.10).alias("p10"), at(0.90).alias("p90"))
 
 
-def calibrator_stream(scores: DataFrame, by: str, keep: int = 500) -> DataFrame:
-    """As rolling_calibrator(), for each key, after each batch; the last `keep` scores are the state."""
+def calibrations(scores: DataFrame, by: str, keep: int = 500, ttl_s: int = 86_400) -> DataFrame:
+    """(by, id, at_s, n, p10, p90) after each score from 0 to 1 of (by, score, ts, id): over the last `keep` scores of its key that
+    are not older than `ttl_s`."""
+    rows = scores.where(F.col("score").between(0, 1)).select(by, "id", F.unix_timestamp("ts").alias("at_s"), F.col("score").cast("double").alias("score"))
+    last = Window.partitionBy(by).orderBy("at_s", "id").rowsBetween(1 - keep, 0)
+    recent = F.filter(F.collect_list(F.struct("at_s", "score")).over(last), lambda x: x["at_s"] >= F.col("at_s") - ttl_s)
+    rows = rows.withColumn("a", F.sort_array(F.transform(recent, lambda x: x["score"])))
+    at = lambda q: F.get("a", F.rint(F.lit(q) * (F.size("a") - 1)).cast("int"))
+    return rows.select(by, F.col("id").cast("long").alias("id"), "at_s", F.size("a").cast("long").alias("n"), at(0.10).alias("p10"), at(0.90).alias("p90"))
 
-    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(parts)).sort_values(["ts", "id"])
-        held = (held + [float(x) for x in rows["score"] if 0 <= x <= 1])[-keep:]
-        state.update((held,))
-        a = sorted(held)
-        pick = lambda q: a[round(q * (len(a) - 1))] if a else None
-        yield pd.DataFrame([(key[0], len(a), pick(0.10), pick(0.90))], columns=[by, "n", "p10", "p90"])
 
-    return scores.groupBy(by).applyInPandasWithState(update, f"{by} bigint, n bigint, p10 double, p90 double", "held array<double>", "update", GroupStateTimeout.NoTimeout)
+def calibrator_stream(scores: DataFrame, by: str, keep: int = 500, ttl_s: int = 86_400, watermark: str = "10 minutes") -> DataFrame:
+    """The rows of calibrations(), once the watermark has passed them; a key's scores are forgotten `ttl_s` after its last one."""
+    return in_order(scores, by, Calibrator(keep, ttl_s), watermark)
 
 
 def trend_window(titles: DataFrame, as_of: Column | None = None, half_life_days: float = 7.0, watermark: str | None = None) -> DataFrame:

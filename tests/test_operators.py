@@ -211,25 +211,10 @@ def replay(spark, df, run, out, tmp_path, schema, files=4, mode="append"):
     return spark.table(out)
 
 
-def test_streams_equal_batch_twins(spark, tmp_path):
-    e = Q.events(spark, SF).withColumn("ts", F.col("ts").cast("timestamp"))
-    requests = e.select("user_id", "ts", F.col("event_id").alias("id")).coalesce(1)
-    batch = streams.rate_limit(requests, "user_id", 5, 36_000)
-    live = replay(spark, requests, lambda s: streams.rate_limit_stream(s, "user_id", 5, 36_000), "limits", tmp_path, requests.schema, files=1)
-    assert sorted(map(tuple, live.collect())) == sorted(map(tuple, batch.collect()))
-    stage = F.when(F.col("event_type") == "view", "scoring").when(F.col("event_type") == "error", "error").otherwise("queued")
-    updates = e.select(F.col("user_id").alias("episode_id"), stage.alias("stage"), F.get_json_object("props", "$.k").cast("int").alias("percent"), "ts", F.col("event_id").alias("id")).coalesce(1)
-    live = replay(spark, updates, lambda s: streams.progress_stream(s), "progress", tmp_path, updates.schema, files=1)
-    want = streams.progress(updates).select("episode_id", "stage", "percent", "at_s")
-    assert sorted(map(tuple, live.collect())) == sorted(map(tuple, want.collect()))
-
-
 def test_window_streams(spark, tmp_path):
     e = Q.events(spark, SF).select(F.col("event_type").alias("name"), "value", F.col("ts").cast("timestamp").alias("ts"), "user_id").coalesce(1)
     live = replay(spark, e, lambda s: streams.metrics(s, watermark="2 hours"), "metrics", tmp_path, e.schema, files=1, mode="complete")
     assert sorted(map(str, live.collect())) == sorted(map(str, streams.metrics(e).collect()))
-    first = replay(spark, e, lambda s: streams.first_seen_stream(s, "user_id", "60 days"), "seen", tmp_path, e.schema, files=1)
-    assert first.count() == e.select("user_id").distinct().count()
 
 
 def test_entry_without_training_data_part(tmp_path):
