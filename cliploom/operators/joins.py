@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliploom.operators.patterns import asof_join, iou, jaccard, range_join
+from cliploom.operators.vectors import distinct_vectors, similar_pairs
+from cliploom.operators.written import written
 
 FILLERS = ("uh", "um")
 
@@ -241,33 +243,30 @@ def cosine(x: Column, y: Column) -> Column:
 
 
 def cosine_pairs(embeddings: DataFrame, key: str, block: str, vector: str, least: float = 0.92) -> DataFrame:
-    """(block, a, b, similarity) of vectors in one block with cosine `least` or more.
+    """(block, a, b, similarity) of all vectors of one block with cosine `least` or more; a < b. See operators.vectors.
 
-    Inside a block, vectors meet only if they agree on one of `TABLES` keys of random hyperplanes; recall at the
-    limit is measured in the tests.
+    Copies of a vector are compared once and joined in afterwards, so the result has as many rows as there are pairs.
     """
-    keyed = embeddings.select(block, F.col(key).alias("a"), F.col(vector).alias("x"), F.explode(plane_keys(F.col(vector))).alias("plane"))
-    other = keyed.select(block, F.col("a").alias("b"), F.col("x").alias("y"), "plane")
-    pairs = keyed.join(other, [block, "plane"]).where("a < b").dropDuplicates([block, "a", "b"])
-    return pairs.select(block, "a", "b", cosine(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= least)
-
-
-TABLES, PLANES = 16, 8
-
-
-def plane_keys(vector: Column, tables: int = TABLES, planes: int = PLANES, size: int = 64) -> Column:
-    """For each table, its number and the signs of the vector against its planes (fixed pseudo-random +1 and -1)."""
-    import random
-
-    make, keys = random.Random(17), []
-    for t in range(tables):
-        bits = F.lit(t)
-        for _ in range(planes):
-            plane = F.array(*(F.lit(make.choice((-1.0, 1.0))) for _ in range(size)))
-            side = F.aggregate(F.zip_with(vector, plane, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
-            bits = bits * 2 + (side > 0).cast("int")
-        keys.append(bits)
-    return F.array(*keys)
+    once = distinct_vectors(embeddings, key, block, vector)
+    unit = written(once, "distinct")
+    pairs = similar_pairs(unit, least)
+    rows = embeddings.select(F.col(block).alias("g"), F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null")
+    first = rows.groupBy("g", "v").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    copied = first.where("n > 1").select(F.col("g").alias("_g"), F.col("v").alias("_v"), "first")
+    copies = rows.join(copied, rows.g.eqNullSafe(F.col("_g")) & (rows.v == F.col("_v"))).select("g", "first", "id")
+    copies = written(copies.join(unit.select(F.col("g").alias("_g"), F.col("id").alias("_id")), F.col("g").eqNullSafe(F.col("_g")) & (F.col("first") == F.col("_id")), "left_semi"), "copies")
+
+    def members(df: DataFrame, column: str) -> DataFrame:
+        other = copies.select(F.col("g").alias("_g"), F.col("first").alias("_first"), F.col("id").alias("_id"))
+        joined = df.join(other, df.g.eqNullSafe(F.col("_g")) & (df[column] == F.col("_first")), "left")
+        return joined.withColumn(column, F.coalesce("_id", column)).drop("_g", "_first", "_id")
+
+    between = members(members(pairs, "a"), "b")
+    between = between.select("g", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+    two = copies.select(F.col("g").alias("_g"), F.col("first").alias("_first"), F.col("id").alias("b"))
+    inside = copies.join(two, copies.g.eqNullSafe(F.col("_g")) & (copies["first"] == F.col("_first")) & (copies["id"] < F.col("b")))
+    inside = inside.select("g", F.col("id").alias("a"), "b", F.lit(1.0).alias("similarity")).where(F.lit(least <= 1))
+    return between.unionByName(inside).withColumnRenamed("g", block)
 
 
 def payoff_guard(df: DataFrame, caps: DataFrame) -> DataFrame:

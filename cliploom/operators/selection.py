@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliploom.operators.features import any_hit, arousal_proxy, duration_fit, hook_proxy, info_proxy, n_words, prerank_score, PRERANK_ADS
-from cliploom.operators.joins import cosine, cosine_pairs
 from cliploom.operators.large import LARGE_GROUP, Alike, AnyOf, Near, Overlap, Shared, Touch
 from cliploom.operators.patterns import greedy_keep, jaccard, ordered_fold
+from cliploom.operators.vectors import distinct_vectors, dot, first_kept, similar_pairs
+from cliploom.operators.written import written
 
 
 def rank_by(by: str | list[str], *order) -> Column:
@@ -286,16 +287,18 @@ def dedupe_candidates(clips: DataFrame, overlap: float = 0.6, alike: float = 0.8
 
 
 def semantic_dedupe(embeddings: DataFrame, key: str, block: str, vector: str, least: float = 0.92) -> DataFrame:
-    """Rows of which no kept row of their block with a smaller key has cosine `least` or more.
+    """(block, key): rows of which no kept row of their block with a smaller key has cosine `least` or more.
 
-    Similar pairs come from a hashed join; only rows that are in a pair are folded, block by block.
+    Copies of a vector go with the first of them, which either stays or is itself like a kept row. The others are settled
+    link by link (operators.vectors); no block is gathered.
     """
-    pairs = cosine_pairs(embeddings, key, block, vector, least)
-    touched = pairs.select(block, F.col("a").alias(key)).union(pairs.select(block, F.col("b").alias(key))).distinct()
-    rows = embeddings.join(touched, [block, key], "left_semi")
-    clash = lambda k, c: cosine(k[vector], c[vector]) >= least
-    kept = greedy_keep(rows, block, [F.col(key)], [key, vector], clash).select(block, key)
-    return embeddings.join(touched, [block, key], "left_anti").select(block, key).unionByName(kept)
+    once = written(distinct_vectors(embeddings, key, block, vector), "distinct")
+    gone = first_kept(similar_pairs(once, least))
+    rows = embeddings.select(F.col(block).alias("g"), F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    usable = F.coalesce(dot(F.col("v"), F.col("v")) > 0, F.lit(False)) & ~F.coalesce(F.isnan(dot(F.col("v"), F.col("v"))), F.lit(False)) & F.col("id").isNotNull()
+    same = once.g.eqNullSafe(gone.g) & (once.id == gone.id)
+    kept = once.join(gone, same, "left_anti").select("g", "id").unionByName(rows.where(~usable).select("g", "id"))
+    return kept.select(F.col("g").alias(block), F.col("id").alias(key))
 
 
 def unique_texts(df: DataFrame, by: list[str], text: str, order: str) -> DataFrame:

@@ -281,7 +281,20 @@ def b17(spark, d):
     return joins.jaccard_pairs(segments(spark, d), "seg_idx", "episode_id", 0.25).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("b18_cosine_pairs")
+VECTORS = "e as (select vec_id, label, embedding::double[] as x from embeddings)"
+
+
+def all_pairs(least: float) -> str:
+    return f"""with {VECTORS} select a.label, a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.x, b.x), 6) as similarity
+    from e a join e b on a.label = b.label and a.vec_id < b.vec_id where list_cosine_similarity(a.x, b.x) >= {least}"""
+
+
+@query("b18_cosine_pairs_low", all_pairs(0.35))
+def b18_low(spark, d):
+    return joins.cosine_pairs(T.read(spark, d, "embeddings"), "vec_id", "label", "embedding", 0.35).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("b18_cosine_pairs", all_pairs(0.92))
 def b18(spark, d):
     return joins.cosine_pairs(T.read(spark, d, "embeddings"), "vec_id", "label", "embedding", 0.92).withColumn("similarity", F.round("similarity", 6))
 
@@ -620,7 +633,18 @@ def f04(spark, d):
     return stats.calibrate(clips(spark, d), "final_score", "median").select("clip_id", F.col("final_score_cal").alias("cal"))
 
 
-@query("f06_percentile_gate")
+@query("f06_percentile_gate", f"""with {S.CLIPS}, r as (
+        select episode_id, clip_id, final_score, start_ms, end_ms, case when end_ms - start_ms < 14000 then 'micro' when end_ms - start_ms <= 28000 then 'normal' else 'long' end as size from clips
+    ), n as (
+        select *, count(*) over (partition by episode_id, size) as n, row_number() over (partition by episode_id, size order by final_score desc, clip_id) as place,
+            row_number() over (partition by episode_id order by final_score desc, clip_id) as best, max(end_ms) over (partition by episode_id) - min(start_ms) over (partition by episode_id) > 1500000 as long_episode
+        from r
+    ), c as (
+        select episode_id, size, quantile_cont(final_score, 0.7) as p70, quantile_cont(final_score, 0.6) as p60, quantile_cont(final_score, 0.55) as p55
+        from n where n <= 10 or place > greatest(1, floor(n * 0.1)) group by 1, 2
+    )
+    select n.episode_id, n.clip_id, n.size, n.final_score from n left join c on c.episode_id = n.episode_id and c.size = n.size
+    where best <= 3 or (n.size <> 'long' and final_score >= least(case when n.size = 'micro' then p70 when long_episode then p55 else p60 end, 0.8) - 1e-12)""")
 def f06(spark, d):
     return stats.percentile_gate(clips(spark, d), "episode_id").select("episode_id", "clip_id", "size", "final_score")
 
@@ -824,7 +848,23 @@ def h06(spark, d):
     return selection.dedupe_candidates(clips(spark, d))
 
 
-@query("h07_semantic_dedupe")
+def first_of_alike(least: float) -> str:
+    return f"""with recursive {VECTORS}, ordered as (select *, row_number() over (partition by label order by vec_id) as rn from e),
+    folded as (
+        select distinct label, 0::bigint as rn, []::struct(id bigint, x double[])[] as kept from ordered
+        union all
+        select f.label, o.rn, case when len(list_filter(f.kept, lambda k: list_cosine_similarity(k.x, o.x) >= {least})) > 0 then f.kept else list_append(f.kept, {{'id': o.vec_id, 'x': o.x}}) end
+        from folded f join ordered o on o.label = f.label and o.rn = f.rn + 1
+    ), best as (select label, arg_max(kept, rn) as kept from folded group by label)
+    select label, unnest(list_transform(kept, lambda k: k.id)) as vec_id from best"""
+
+
+@query("h07_semantic_dedupe_low", first_of_alike(0.3))
+def h07_low(spark, d):
+    return selection.semantic_dedupe(T.read(spark, d, "embeddings"), "vec_id", "label", "embedding", 0.3)
+
+
+@query("h07_semantic_dedupe", first_of_alike(0.92))
 def h07(spark, d):
     return selection.semantic_dedupe(T.read(spark, d, "embeddings"), "vec_id", "label", "embedding")
 
