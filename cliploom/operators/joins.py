@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliploom.operators.patterns import asof_join, iou, jaccard, range_join
+from cliploom.operators.phrases import few, phrase_hits, substring_hits
 from cliploom.operators.vectors import distinct_vectors, similar_pairs
 from cliploom.operators.written import written
 
@@ -140,11 +141,14 @@ def token_hits(docs: DataFrame, lexicon: DataFrame, key: str, text: str = "text"
 def lexicon_match(docs: DataFrame, lexicon: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, lexicon, n_terms, score): terms present in each text and their summed weight.
 
-    `token` terms are matched by an equi-join on the words. `substring` and `regex` terms of a lexicon are few and
-    known; each is one expression over the text, so no text meets a term in a join.
+    `token` terms are matched by an equi-join on the words. `substring` terms are expressions over the text while they
+    are few, and automata beyond that. `regex` terms are a list that a programmer writes: one expression each.
     """
-    terms = lexicon.where("match_mode != 'token'").select("lexicon", "term", "match_mode", "weight").collect()
     lower = F.lower(F.coalesce(text, F.lit("")))
+    names = ["lexicon", "term", "weight"]
+    parts = lexicon.where("match_mode = 'substring'").select(*names, "match_mode")
+    listed = few(parts)
+    terms = (listed or []) + lexicon.where("match_mode not in ('token', 'substring')").select(*names, "match_mode").collect()
     tests = [
         F.when(lower.contains(r.term) if r.match_mode == "substring" else lower.rlike(r.term), F.struct(F.lit(r.lexicon).alias("lexicon"), F.lit(r.term).alias("term"), F.lit(r.weight).cast("double").alias("weight")))
         for r in terms
@@ -153,19 +157,24 @@ def lexicon_match(docs: DataFrame, lexicon: DataFrame, key: str, text: str = "te
     if tests:
         rows = docs.select(key, F.explode(F.array_compact(F.array(*tests))).alias("x"))
         single = single.unionByName(rows.select(key, "x.lexicon", "x.term", "x.weight"))
+    if listed is None:
+        single = single.unionByName(substring_hits(docs, parts.select("lexicon", "term", F.col("weight").cast("double").alias("weight")), key, text))
     return single.groupBy(key, "lexicon").agg(F.count("*").alias("n_terms"), F.round(F.sum("weight"), 6).alias("score"))
 
 
 def trend_hits(docs: DataFrame, terms: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, category, term, weight) where the term or one of its aliases is among the text's words, or, for phrases,
-    in the joined words. Words are matched by a join; each of the few phrases is one expression over the text."""
+    stands in them side by side. Words and, once they are more than a few, phrases are matched by joins."""
     ws = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}0-9']+"), 0)
     spelled = terms.select("category", "term", "weight", F.explode(F.array_union(F.array("term"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("form"))
     spelled = spelled.withColumn("form", F.lower("form"))
     single = docs.select(key, F.explode(F.array_distinct(ws)).alias("form")).join(spelled.where(~F.contains("form", F.lit(" "))), "form")
     hits = single.select(key, "category", "term", "weight")
-    phrases = spelled.where(F.contains("form", F.lit(" "))).collect()
-    if phrases:
+    several = spelled.where(F.contains("form", F.lit(" ")))
+    phrases = few(several)
+    if phrases is None:
+        hits = hits.unionByName(phrase_hits(docs, several, key, text).select(key, "category", "term", "weight"))
+    elif phrases:
         whole = F.concat(F.lit(" "), F.array_join(ws, " "), F.lit(" "))
         row = lambda r: F.struct(F.lit(r.category).alias("category"), F.lit(r.term).alias("term"), F.lit(r.weight).cast("double").alias("weight"))
         rows = docs.select(key, whole.alias("whole"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliploom.operators.features import clamp
+from cliploom.operators.phrases import few, substring_hits
 
 #: The four general paths, as shares of feature columns.
 PATHS = {
@@ -88,15 +89,19 @@ def genre_score(df: DataFrame, weights: DataFrame, key: str) -> DataFrame:
 def detect_genre(docs: DataFrame, lexicon: DataFrame, key: str) -> DataFrame:
     """(key, genre, hits, confidence): a word counts 1 and a phrase 2; the best from 2 on, else 'general'.
 
-    confidence = (best - second) / best. Words are matched by a join, the few phrases in the text itself.
+    confidence = (best - second) / best. Words are matched by a join, phrases in the text itself (by automata once they are
+    more than a few).
     """
-    phrases = lexicon.where(F.contains("term", F.lit(" "))).select("lexicon", "term").collect()
+    several = lexicon.where(F.contains("term", F.lit(" "))).select("lexicon", "term")
+    phrases = few(several)
     lower = F.lower("text")
-    found = [F.when(F.contains(lower, F.lit(r.term)), F.struct(F.lit(r.lexicon).alias("genre"), F.lit(2).cast("long").alias("n"))) for r in phrases]
+    found = [F.when(F.contains(lower, F.lit(r.term)), F.struct(F.lit(r.lexicon).alias("genre"), F.lit(2).cast("long").alias("n"))) for r in phrases or ()]
     ws = docs.select(key, F.explode(F.array_distinct(F.regexp_extract_all(lower, F.lit(r"[\p{L}']+"), 0))).alias("term"))
     single = ws.join(lexicon.select("term", F.col("lexicon").alias("genre")), "term").select(key, "genre", F.lit(1).cast("long").alias("n"))
     if found:
         single = single.union(docs.select(key, F.explode(F.array_compact(F.array(*found))).alias("x")).select(key, "x.genre", "x.n"))
+    if phrases is None:
+        single = single.union(substring_hits(docs, several, key).select(key, F.col("lexicon").alias("genre"), F.lit(2).cast("long").alias("n")))
     totals = single.groupBy(key, "genre").agg(F.sum("n").alias("n"))
     ranked = totals.groupBy(key).agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "genre"))), 1, 2).alias("top"))
     best, second = -F.col("top")[0]["m"], -F.coalesce(F.get("top", F.lit(1))["m"], F.lit(0))
