@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cliploom.operators.features import any_hit, clamp, hits, noun_burst, saturate, sigmoid, words
 from cliploom.operators.patterns import range_join
+from cliploom.operators.quantiles import quantiles
 
 # --- fixed values ------------------------------------------------------------------------------------------------
 
@@ -262,10 +263,10 @@ def emotion_rate(text: Column, keywords, arousal: Column | None = None) -> Colum
 
 def calibrate_by_median(df: DataFrame, by: str, column: str, out: str, a: float = 1.5) -> DataFrame:
     """Sigmoid of the distance from the group's median in units of its quartile range / 1.349 (1 where that is none)."""
-    q = df.groupBy(by).agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    spread = (F.col("_q")[2] - F.col("_q")[0]) / 1.349
-    value = sigmoid(a * (F.col(column) - F.col("_q")[1]) / F.when(spread > 1e-6, spread).otherwise(1.0))
-    return df.join(q, by).withColumn(out, F.round(value, 6)).drop("_q")
+    q = quantiles(df, [by], column, (0.25, 0.5, 0.75), ("_q1", "_q2", "_q3"))
+    spread = (F.col("_q3") - F.col("_q1")) / 1.349
+    value = sigmoid(a * (F.col(column) - F.col("_q2")) / F.when(spread > 1e-6, spread).otherwise(1.0))
+    return df.join(q, by).withColumn(out, F.round(value, 6)).drop("_q1", "_q2", "_q3")
 
 
 def evidence_confidence(text: Column) -> tuple[Column, Column]:

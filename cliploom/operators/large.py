@@ -297,9 +297,14 @@ def ordered_stream(
     return rows.sortWithinPartitions(by, *(f"_o{i}" for i in range(len(columns))), *names).select(by, *names).mapInArrow(run, ddl)
 
 
-def by_size(df: DataFrame, by: str, small: Callable[[DataFrame], DataFrame], large: Callable[[DataFrame], DataFrame], limit: int = LARGE_GROUP) -> DataFrame:
-    """`small` of the groups of up to `limit` rows with `large` of the others; one count of the groups decides."""
-    over = df.groupBy(F.col(by).alias("_large")).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select("_large")
+def by_size(
+    df: DataFrame, by: str, small: Callable[[DataFrame], DataFrame], large: Callable[[DataFrame], DataFrame], limit: int = LARGE_GROUP, counted: DataFrame | None = None
+) -> DataFrame:
+    """`small` of the groups of up to `limit` rows with `large` of the others; one count of the groups decides.
+
+    `counted` may give rows that are cheaper to count (as many of each group or more).
+    """
+    over = (df if counted is None else counted).groupBy(F.col(by).alias("_large")).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select("_large")
     if over.isEmpty():
         return small(df)
     same = df[by].eqNullSafe(F.col("_large"))

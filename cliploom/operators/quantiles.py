@@ -28,18 +28,19 @@ BROADCAST_RANGES = 20_000
 def order_statistics(df: DataFrame, by: Sequence[str], value: str | Column, ranks: Callable[[Column], Sequence[Column]], large_group: int = large.LARGE_GROUP) -> DataFrame:
     """(by, n, at array<double>): the values of each group at the ranks (from 0) that `ranks` gives for its size."""
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
-    rows = df.select(*by, F.to_json(F.struct(*by, F.lit(0).alias("_"))).alias("_g"), v.alias("_v")).where("_v is not null and not isnan(_v)")
-    keys = rows.groupBy("_g").agg(*(F.first(k).alias(k) for k in by), F.count("*").alias("n"))
+    group = F.to_json(F.struct(*by, F.lit(0).alias("_"))).alias("_g")
+    rows = df.select(*by, group, v.alias("_v")).where("_v is not null and not isnan(_v)")
+    keys = [*(F.first(k).alias(k) for k in by), F.count("*").alias("n")]
 
     def clipped(n: Column) -> Column:
         return F.transform(F.array(*(r.cast("long") for r in ranks(n))), lambda r: F.greatest(F.lit(0), F.least(r, n - 1)))
 
     def small(rows: DataFrame) -> DataFrame:
-        arrays = rows.groupBy("_g").agg(F.sort_array(F.collect_list("_v")).alias("vs"))
-        return arrays.select("_g", F.transform(clipped(F.size("vs").cast("long")), lambda r: F.get("vs", r.cast("int"))).alias("at"))
+        arrays = rows.groupBy("_g").agg(*keys, F.sort_array(F.collect_list("_v")).alias("vs"))
+        return arrays.select(*by, "n", F.transform(clipped(F.col("n")), lambda r: F.get("vs", r.cast("int"))).alias("at"))
 
     def refined(rows: DataFrame) -> DataFrame:
-        rows = written(rows.select("_g", "_v"), "values")
+        rows = written(rows, "values")
         sizes = rows.groupBy("_g").agg(F.count("*").alias("c"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
         ranges = written(sizes.select("_g", "c", "lo", "hi", F.posexplode(clipped(F.col("c"))).alias("t", "rank")), "ranges")
         while True:
@@ -47,19 +48,20 @@ def order_statistics(df: DataFrame, by: Sequence[str], value: str | Column, rank
             n = open_.count()
             if not n:
                 break
-            inside = rows.join(_side(open_, n), "_g").where("_v between lo and hi")
+            inside = rows.select("_g", "_v").join(_side(open_, n), "_g").where("_v between lo and hi")
             slot = F.least(F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BUCKETS), F.lit(BUCKETS - 1))
             counts = inside.groupBy("_g", "t", "rank", slot.alias("slot")).agg(F.count("*").alias("c"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
             upto = F.sum("c").over(Window.partitionBy("_g", "t").orderBy("slot"))
             found = counts.withColumn("upto", upto).where("rank < upto and rank >= upto - c").withColumn("rank", F.col("rank") - (F.col("upto") - F.col("c")))
             ranges = written(ranges.where(f"not (lo < hi and c > {FEW})").unionByName(found.select(ranges.columns)), "ranges")
         few = ranges.where("lo < hi")
-        inside = rows.join(_side(few, few.count()), "_g").where("_v between lo and hi")
+        inside = rows.select("_g", "_v").join(_side(few, few.count()), "_g").where("_v between lo and hi")
         sorted_ = inside.groupBy("_g", "t", "rank").agg(F.sort_array(F.collect_list("_v")).alias("vs")).select("_g", "t", F.get("vs", F.col("rank").cast("int")).alias("value"))
         every = ranges.where("lo = hi").select("_g", "t", F.col("lo").alias("value")).unionByName(sorted_)
-        return every.groupBy("_g").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "value"))), lambda x: x["value"]).alias("at"))
+        at = every.groupBy("_g").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "value"))), lambda x: x["value"]).alias("at"))
+        return rows.groupBy("_g").agg(*keys).join(at, "_g").select(*by, "n", "at")
 
-    return keys.join(large.by_size(rows, "_g", small, refined, large_group), "_g").drop("_g")
+    return large.by_size(rows, "_g", small, refined, large_group, df.select(group))
 
 
 def _side(ranges: DataFrame, n: int) -> DataFrame:

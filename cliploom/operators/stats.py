@@ -162,6 +162,44 @@ def ngrams(docs: DataFrame, n: int, key: str | None = None, stop: tuple[str, ...
     return rows.groupBy(*keys, "ngram").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+def ngram_table(docs: DataFrame, lengths: tuple[int, ...] = (1, 2, 3), key: str | None = None, stop: tuple[str, ...] = (), least: int = 1) -> DataFrame:
+    """(key, n, ngram, count): runs of each of `lengths` words whose ends are no stop words, from one pass over the texts.
+
+    All lengths leave the scan as rows (n, ngram) of one exchange and are summed on the map side before it.
+    """
+    ws = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}0-9']+"), 0)
+    keys = [key] if key else []
+    rows = docs.select(*keys, ws.alias("ws"))
+
+    def runs(n: int) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("ws") - (n - 1), F.lit(1))), lambda i: i + (n - 1) <= F.size("ws"))
+        if stop:
+            starts = F.filter(starts, lambda i: ~F.get("ws", i - 1).isin(*stop) & ~F.get("ws", i + (n - 2)).isin(*stop))
+        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("ws", i, n), " ").alias("ngram")))
+
+    listed = rows.select(*keys, F.explode(F.concat(*map(runs, lengths))).alias("g"))
+    return listed.groupBy(*keys, "g.n", "g.ngram").agg(F.count("*").alias("count")).where(F.col("count") >= least)
+
+
+def anchor_phrases(docs: DataFrame, key: str, anchors: dict[str, str], stop: tuple[str, ...] = (), reach: int = 6) -> DataFrame:
+    """(key, phrase, points): anchor words by their name, with the nearest capitalised word among the `reach` before (4 points), or
+    alone (2). `anchors` is a short list of words in lower case; words are runs of letters, and stop words are no names."""
+    ws = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[\p{L}]+"), 0)
+    rows = docs.select(key, ws.alias("ws"))
+    names = F.create_map(*(F.lit(x) for pair in anchors.items() for x in pair))
+
+    def phrase(i: Column) -> Column:
+        before = F.slice("ws", F.greatest(i - reach, F.lit(1)), F.least(i - 1, F.lit(reach)))
+        nouns = F.filter(before, lambda w: w.rlike(r"^\p{Lu}") & ~F.lower(w).isin(*stop)) if stop else F.filter(before, lambda w: w.rlike(r"^\p{Lu}"))
+        name = names[F.lower(F.get("ws", i - 1))]
+        found = F.size(nouns) > 0
+        return F.struct(F.when(found, F.concat_ws(" ", F.get(nouns, F.size(nouns) - 1), name)).otherwise(name).alias("phrase"), F.when(found, 4).otherwise(2).cast("long").alias("points"))
+
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size("ws"), F.lit(1))), lambda i: F.coalesce(F.lower(F.get("ws", i - 1)).isin(*anchors), F.lit(False)))
+    listed = rows.select(key, F.explode(F.transform(places, phrase)).alias("x"))
+    return listed.groupBy(key, "x.phrase").agg(F.sum("x.points").alias("points"))
+
+
 def build_trends(titles: DataFrame, stop: tuple[str, ...] = (), top: int = 150) -> DataFrame:
     """(category, term, n, weight) of titles (category, title): the top terms of each category, weighted
     min(1, 0.25 + 0.05 n); and as category 'global' the number of categories that hold a term."""

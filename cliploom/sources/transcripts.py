@@ -6,6 +6,9 @@ that cannot be placed in time are dropped.
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
@@ -105,9 +108,21 @@ def canonical_words(segments: DataFrame) -> DataFrame:
     return rows.where("w != '' and start_ms is not null and end_ms >= start_ms")
 
 
-def normalize_text(text: Column) -> Column:
-    """Curly quotes, dashes and ellipses in plain characters. Decomposed letters are left as they are."""
-    text = F.translate(text, "‘’‚“”„‐‑‒–—− ", "'''\"\"\"------ ")
+@F.arrow_udf(StringType())
+def _nfkc(texts: pa.Array) -> pa.Array:
+    """Each distinct text of a batch once."""
+    coded = texts.dictionary_encode()
+    return pa.array([unicodedata.normalize("NFKC", t) for t in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+
+
+def normalize_text(text: Column, nfkc: bool = True) -> Column:
+    """Compatible forms in their usual characters (NFKC), then curly quotes, dashes and ellipses in plain ones.
+
+    Spark has no NFKC, so texts that are not all ASCII pass an Arrow function; the others do not leave the JVM.
+    """
+    if nfkc:
+        text = F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+    text = F.translate(text, "‘’‚“”„‐‑‒–—−\u00a0", "'''\"\"\"------ ")
     return F.replace(text, F.lit("…"), F.lit("..."))
 
 
