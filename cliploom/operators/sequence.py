@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,15 +139,29 @@ def eos_from_gaps(segments: DataFrame, gap_ms: int = 300, words_after: int = 8)
     return rows.where((F.col("gap") >= gap_ms) & (F.col("after") >= words_after)).select("episode_id", F.col("end_ms").alias("t_ms"), F.lit("gaps").alias("source"))
 
 
-def thin_marks(marks: DataFrame, tolerance_ms: int = 250) -> DataFrame:
+def thin_marks(marks: DataFrame, tolerance_ms: int = 250, large_group: int = large.LARGE_GROUP) -> DataFrame:
     """Marks of which each is more than the tolerance after the last one kept."""
 
     def step(kept: Column, x: Column) -> Column:
         near = (F.size(kept) > 0) & (x["t_ms"] - F.element_at(kept, -1) <= tolerance_ms)
         return F.when(F.coalesce(near, F.lit(False)), kept).otherwise(F.concat(kept, F.array(x["t_ms"])))
 
-    folded = ordered_fold(marks.select("episode_id", "t_ms").distinct(), "episode_id", [F.col("t_ms")], ["t_ms"], "cast(array() as array<bigint>)", step, "kept")
-    return folded.select("episode_id", F.explode("kept").alias("t_ms"))
+    def fold(rows: DataFrame) -> DataFrame:
+        folded = ordered_fold(rows, "episode_id", [F.col("t_ms")], ["t_ms"], "cast(array() as array<bigint>)", step, "kept")
+        return folded.select("episode_id", F.explode("kept").alias("t_ms"))
+
+    def begin():
+        last: list = []
+
+        def take(row: dict):
+            if not last or row["t_ms"] - last[0] > tolerance_ms:
+                last[:] = [row["t_ms"]]
+                yield (row["t_ms"],)
+
+        return take, lambda: ()
+
+    rows = marks.where("t_ms is not null").select("episode_id", F.col("t_ms").cast("long").alias("t_ms")).distinct()
+    return large.by_size(rows, "episode_id", fold, lambda r: large.ordered_stream(r, "episode_id", [F.col("t_ms")], ["t_ms"], begin, "t_ms long"), large_group)
 
 
 def unify_marks(marks: DataFrame, word_marks: DataFrame, tolerance_ms: int = 250) -> DataFrame:
@@ -175,6 +191,43 @@ def eos_index(words: DataFrame, segments: DataFrame, least_words: int = 100, lea
     return both.groupBy("episode_id", "t_ms").agg(F.max("source").alias("source"))
 
 
+def eos_waterfall(
+    segments: DataFrame, words: DataFrame | None = None, segment_words: DataFrame | None = None, least_words: int = 100, least_marks: int = 10, per_word: float = 0.015, gap_ms: int = 300
+) -> DataFrame:
+    """(episode_id, t_ms, source): each episode's marks from the best source that has any.
+
+    In order: the words of the episode, if there are `least_words` (gaps, closers and capitals, unified); the words of its single
+    segments; the punctuation of its text; the ends of its segments. Where the marks are fewer than `least_marks`, or than
+    `per_word` for each word, segment ends before a gap with eight words still to come join them, and the source is
+    "gap_fallback" if there is any such gap. Sources are ranked in one union and one window over the episode.
+    """
+    episode, parts = F.col("episode_id"), []
+    none = segments.where(F.lit(False)).select("episode_id", F.lit(0).cast("long").alias("n"))
+    spoken = words.groupBy("episode_id").agg(F.count("*").alias("n")) if words is not None else none
+    if words is not None:
+        enough = words.join(spoken.where(F.col("n") >= least_words).select("episode_id"), "episode_id", "left_semi")
+        parts.append(unify_marks(eos_from_words(enough), eos_strong_weak(enough)).withColumn("source", F.lit("episode+enhanced")))
+    by_segment = none
+    if segment_words is not None:
+        single = eos_from_words(segment_words.withColumn("episode_id", F.struct("episode_id", "seg_idx")))
+        parts.append(single.select(F.col("episode_id.episode_id").alias("episode_id"), "t_ms").distinct().withColumn("source", F.lit("segment")))
+        by_segment = segment_words.groupBy("episode_id").agg(F.count("*").alias("n"))
+    parts.append(eos_from_text(segments.where(F.trim("text") != "")).withColumn("source", F.lit("fallback")))
+    parts.append(segments.where("end_ms > 0").select("episode_id", F.col("end_ms").cast("long").alias("t_ms")).distinct().withColumn("source", F.lit("segment_boundary")))
+    order = F.array(*map(F.lit, ("episode+enhanced", "segment", "fallback", "segment_boundary")))
+    ranked = reduce(DataFrame.unionByName, parts).withColumn("rank", F.array_position(order, F.col("source")))
+    best = ranked.withColumn("best", F.min("rank").over(Window.partitionBy("episode_id"))).where("rank = best").select("episode_id", "t_ms", "source")
+    # Episodes without words of their own are measured by the words of their segments.
+    sizes = spoken.withColumn("own", F.lit(1)).unionByName(by_segment.withColumn("own", F.lit(0))).groupBy("episode_id").agg(F.max_by("n", "own").alias("n_words"))
+    state = segments.select("episode_id").distinct().join(best.groupBy("episode_id").agg(F.count("*").alias("n_marks")), "episode_id", "left").join(sizes, "episode_id", "left")
+    marks, total = F.coalesce("n_marks", F.lit(0)), F.coalesce("n_words", F.lit(0))
+    sparse = state.where((marks < least_marks) | ((total > 0) & (marks < per_word * total))).select("episode_id")
+    gaps = segments.withColumn("gap", F.lead("start_ms").over(_by("seg_idx")) - F.col("end_ms")).where(F.col("gap") >= gap_ms).select("episode_id").distinct().join(sparse, "episode_id", "left_semi")
+    extra = eos_from_gaps(segments, gap_ms).join(sparse, "episode_id", "left_semi").select("episode_id", "t_ms", F.lit("gap_fallback").alias("source"))
+    named = best.join(gaps.withColumn("filled", F.lit(True)), "episode_id", "left").withColumn("source", F.when(F.col("filled"), "gap_fallback").otherwise(F.col("source"))).drop("filled")
+    return named.unionByName(extra).select(episode, F.col("t_ms").cast("long").alias("t_ms"), "source").distinct()
+
+
 def eos_density(words: DataFrame, eos: DataFrame, least: float = 6.0) -> DataFrame:
     """(episode_id, n_words, n_marks, per_minute, fallback): marks a minute (a minute at least)."""
     spoken = words.groupBy("episode_id").agg(F.count("*").alias("n_words"), F.max("end_ms").alias("last"), F.min("start_ms").alias("first"))

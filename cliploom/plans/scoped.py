@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cliploom.operators import emotion, evidence, stats
+from cliploom.operators import emotion, evidence, sequence, stats
 from cliploom.plans import sql as S
-from cliploom.plans.queries import docs, query, segments
+from cliploom.plans.queries import docs, query, segments, words
 
 CUES = (
     "I am not happy and never was sad. ", "WOW!! This is unbelievable... I'm proud of it. ", "I felt ashamed; it hurts. But relief came, and love! ",
@@ -96,3 +96,40 @@ def f11_table(spark, d):
     select doc_id, phrase, sum(points)::bigint as points from s group by 1, 2""")
 def f11_anchors(spark, d):
     return stats.anchor_phrases(docs(spark, d), "doc_id", {"license": "License", "source": "Source", "sources": "Source"}, stop=("the", "this"))
+
+
+def word_marks(name: str, words: str, key: str) -> str:
+    """CTEs that end in `name` (episode_id, t_ms): marks from words by punctuation, long gaps and closers, in groups of `key`."""
+    return f"""{name}_g as (select *, lead(start_ms) over (partition by {key} order by word_idx) - end_ms as gap from {words}),
+    {name}_s as (select {key}, quantile_cont(gap, 0.5) as mid, stddev_samp(gap) as dev from {name}_g where gap > 0 group by {key}),
+    {name}_n as (select {key}, quantile_cont(gap, 0.5) as near from {name}_g join {name}_s using ({key}) where gap > 0 and abs(gap - mid) <= dev group by {key}),
+    {name}_l as (select {key}, greatest(280.0, mid + coalesce(near, mid)) as lim from {name}_s left join {name}_n using ({key})),
+    {name} as (select distinct episode_id, end_ms as t_ms from {name}_g left join {name}_l using ({key}) where gap is not null and (regexp_matches(w, '[.!?…]$') or gap >= coalesce(lim, 280.0) or lower(w) in ('right?', 'you know?')))"""
+
+
+@query("c10_eos_waterfall", rf"""with recursive {S.WORDS}, spoken as (select episode_id, count(*) as n from words group by 1), own as (select * from words where episode_id in (select episode_id from spoken where n >= 100)),
+    {word_marks("a", "own", "episode_id")},
+    b_g as (select *, lead(w) over (partition by episode_id order by word_idx) as nw, lead(start_ms) over (partition by episode_id order by word_idx) - end_ms as gap from own),
+    b as (select episode_id, end_ms as t_ms from b_g where (regexp_matches(w, '[.!?]$') and (nw is null or regexp_matches(nw, '^\p{{Lu}}'))) or (regexp_matches(w, '[,;:]$') and gap > 500)),
+    ab as (select distinct * from (from a union all from b)),
+    thin as (select episode_id, min(t_ms) as t_ms from ab group by 1 union all
+        select k.episode_id, (select min(m.t_ms) from ab m where m.episode_id = k.episode_id and m.t_ms > k.t_ms + 250) from thin k where k.t_ms is not null),
+    snapped as (select distinct t.episode_id, coalesce(arg_min(b.t_ms, abs(b.t_ms - t.t_ms) * 2 + (b.t_ms > t.t_ms)::int), t.t_ms) as t_ms
+        from thin t left join b on b.episode_id = t.episode_id and abs(b.t_ms - t.t_ms) <= 250 where t.t_ms is not null group by t.episode_id, t.t_ms),
+    said as (select w.* from words w join segments s using (episode_id, seg_idx) where s.speaker = 'assistant'),
+    {word_marks("c", "said", "episode_id, seg_idx")},
+    chars as (select episode_id, start_ms, end_ms, length(text) as n, unnest(range(length(text))) as pos, unnest(string_split(text, '')) as ch from segments where trim(text) <> ''),
+    d as (select distinct episode_id, (start_ms + floor((end_ms - start_ms) * pos / greatest(n, 1)::double))::bigint as t_ms from chars where ch in ('.', '!', '?') union select episode_id, end_ms from segments where end_ms > 0 and trim(text) <> ''),
+    every as (select *, 1 as rank, 'episode+enhanced' as source from snapped union all select *, 2, 'segment' from c union all select *, 3, 'fallback' from d union all select distinct episode_id, end_ms, 4, 'segment_boundary' from segments where end_ms > 0),
+    best as (select episode_id, t_ms, source from (select *, min(rank) over (partition by episode_id) as best from every) where rank = best),
+    sparse as (select e.episode_id from (select distinct episode_id from segments) e left join (select episode_id, count(*) as m from best group by 1) m using (episode_id) left join spoken using (episode_id)
+        where coalesce(m, 0) < 10 or (coalesce(n, 0) > 0 and coalesce(m, 0) < 0.015 * n)),
+    breaks as (select *, lead(start_ms) over (partition by episode_id order by seg_idx) - end_ms as gap, coalesce(sum(n_words) over (partition by episode_id order by seg_idx rows between 1 following and unbounded following), 0) as after from segments),
+    filled as (select distinct episode_id from breaks join sparse using (episode_id) where gap >= 300)
+    select distinct episode_id, t_ms::bigint as t_ms, source from (
+        select episode_id, t_ms, case when f.episode_id is not null then 'gap_fallback' else source end as source from best left join filled f using (episode_id)
+        union all select episode_id, end_ms, 'gap_fallback' from breaks join sparse using (episode_id) where gap >= 300 and after >= 8)""")
+def c10_waterfall(spark, d):
+    """Word times of whole episodes where they are many, else those of the assistant's turns, else the text."""
+    all_, said = segments(spark, d), segments(spark, d).where("speaker = 'assistant'").select("episode_id", "seg_idx")
+    return sequence.eos_waterfall(all_, words(spark, d), words(spark, d).join(said, ["episode_id", "seg_idx"], "left_semi"))
