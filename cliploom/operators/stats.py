@@ -171,14 +171,19 @@ def ngram_table(docs: DataFrame, lengths: tuple[int, ...] = (1, 2, 3), key: str
     keys = [key] if key else []
     rows = docs.select(*keys, ws.alias("ws"))
 
-    def runs(n: int) -> Column:
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("ws") - (n - 1), F.lit(1))), lambda i: i + (n - 1) <= F.size("ws"))
-        if stop:
-            starts = F.filter(starts, lambda i: ~F.get("ws", i - 1).isin(*stop) & ~F.get("ws", i + (n - 2)).isin(*stop))
-        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("ws", i, n), " ").alias("ngram")))
-
-    listed = rows.select(*keys, F.explode(F.concat(*map(runs, lengths))).alias("g"))
-    return listed.groupBy(*keys, "g.n", "g.ngram").agg(F.count("*").alias("count")).where(F.col("count") >= least)
+    # Runs of n words are those of n - 1 with the next word each.
+    runs, levels = F.col("ws"), {}
+    for n in range(1, max(lengths) + 1):
+        if n > 1:
+            shorter = F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0)))
+            runs = F.zip_with(shorter, F.slice("ws", n, F.greatest(F.size("ws"), F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+        rows = rows.withColumn(f"g{n}", runs)
+        runs = F.col(f"g{n}")
+        inner = (lambda n: lambda g, i: ~F.get("ws", i).isin(*stop) & ~F.get("ws", i + (n - 1)).isin(*stop))(n)
+        levels[n] = F.filter(runs, inner) if stop else runs
+    listed = rows.select(*keys, F.explode(F.array(*(F.struct(F.lit(n).alias("n"), levels[n].alias("grams")) for n in lengths))).alias("g"))
+    listed = listed.select(*keys, F.col("g.n").alias("n"), F.explode("g.grams").alias("ngram"))
+    return listed.groupBy(*keys, "n", "ngram").agg(F.count("*").alias("count")).where(F.col("count") >= least)
 
 
 def anchor_phrases(docs: DataFrame, key: str, anchors: dict[str, str], stop: tuple[str, ...] = (), reach: int = 6) -> DataFrame:
