@@ -409,26 +409,6 @@ def c24(spark, d):
     return rows.select("episode_id", "hop", *(F.round(c, 6).alias(c) for c in ("hook", "arousal", "payoff", "info")))
 
 
-@query("c25_hotness")
-def c25(spark, d):
-    return sequence.hotness(sequence.hop_features(words(spark, d)))
-
-
-@query("c26_peaks")
-def c26(spark, d):
-    return sequence.peaks(sequence.hotness(sequence.hop_features(words(spark, d))), 10)
-
-
-@query("c29_discover")
-def c29(spark, d):
-    return sequence.discover(words(spark, d), marks(spark, d))
-
-
-@query("c30_refine_bounds")
-def c30(spark, d):
-    return sequence.refine_bounds(clips(spark, d).select("episode_id", "clip_id", "start_ms", "end_ms"), words(spark, d))
-
-
 @query("c32_extend_end", f"""with {S.WORDS}, {S.CLIPS[len(S.SEGMENTS) + 2:]}, {MARKS}, n as (select episode_id, clip_id, start_ms, end_ms - 700 as e, (select min(t_ms) from marks m where m.episode_id = c.episode_id and t_ms >= c.end_ms - 700) as nx from clips c)
     select episode_id, clip_id, start_ms, (case when nx - e <= 5000 and nx - start_ms <= 60000 then nx else e end)::bigint as end_ms, (case when nx - e <= 5000 and nx - start_ms <= 60000 then nx - e else 0 end)::bigint as moved_ms from n""")
 def c32(spark, d):
