@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cliploom.operators.joins import next_eos, ordered_text, prev_eos, segment_window_text
 from cliploom.operators import large
-from cliploom.operators.patterns import greedy_keep, islands, ordered_fold, range_join
+from cliploom.operators.patterns import islands, ordered_fold, range_join
 
 ENDS = r"[.!?]$"
 ENDS_WIDE = "[.!?…]$"
@@ -463,87 +463,9 @@ def hop_features(words: DataFrame, hop_ms: int = 500, half_ms: int = 2_000) -> D
     )
 
 
-#: Share of each feature in the hotness curve.
-HOTNESS = {"hook": 0.26, "arousal": 0.20, "payoff": 0.18, "info": 0.11, "q_or_list": 0.09, "emotion": 0.06, "loop": 0.05}
-
-
-def hotness(grid: DataFrame, smooth_hops: int = 6) -> DataFrame:
-    """(episode_id, hop, hot): weighted features, averaged over the hops around."""
-    total = sum((F.col(c) * w for c, w in HOTNESS.items() if c in grid.columns), F.lit(0.0))
-    half = smooth_hops // 2
-    return grid.select("episode_id", "hop", F.round(F.avg(total).over(_by("hop").rowsBetween(-half, half)), 6).alias("hot"))
-
-
-def peaks(curve: DataFrame, k: int = 30, least_hops: int = 12) -> DataFrame:
-    """The `k` highest strict peaks of each episode, at least `least_hops` apart."""
-    order = _by("hop")
-    rows = curve.withColumn("_a", F.lag("hot").over(order)).withColumn("_b", F.lead("hot").over(order)).where("hot > _a and hot > _b")
-    return greedy_keep(rows, "episode_id", [-F.col("hot"), F.col("hop")], ["hop", "hot"], large.Near(("hop",), least_hops - 1), limit=k)
-
-
-def snap_windows(windows: DataFrame, eos: DataFrame, reach_ms: int = 3_000) -> DataFrame:
-    """Starts moved back to the mark just before, ends on to the next mark, where these are within reach."""
-    rows = prev_eos(windows, eos, "start_ms").withColumnRenamed("prev_ms", "_before")
-    rows = next_eos(rows, eos, "end_ms").withColumnRenamed("next_ms", "_after")
-    start = F.when(F.col("start_ms") - F.col("_before") <= reach_ms, F.col("_before")).otherwise(F.col("start_ms"))
-    end = F.when(F.col("_after") - F.col("end_ms") <= reach_ms, F.col("_after")).otherwise(F.col("end_ms"))
-    return rows.withColumn("start_ms", start).withColumn("end_ms", end).drop("_before", "_after")
-
-
-LENGTHS = (8_000, 12_000, 15_000, 18_000, 22_000, 26_000, 30_000, 45_000, 60_000)
-
-
-def best_window(tops: DataFrame, curve: DataFrame, hop_ms: int = 500, lengths=LENGTHS, keep: int = 2, score: Column | None = None) -> DataFrame:
-    """For each peak, the best `keep` windows over several lengths and places, by mean hotness or a given column
-    over (heat, size_ms): a bounded grid of candidates, all scored at once."""
-    sizes = F.explode(F.array(*(F.lit(x).cast("long") for x in lengths)))
-    shift = F.explode(F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    rows = tops.select("episode_id", "hop", sizes.alias("size_ms")).withColumn("share", shift)
-    start = F.greatest(F.lit(0), F.floor(F.col("hop") * hop_ms - F.col("size_ms") * F.col("share"))).cast("long")
-    rows = rows.withColumn("start_ms", start).withColumn("end_ms", F.col("start_ms") + F.col("size_ms")).withColumnRenamed("hop", "peak")
-    grid = curve.select("episode_id", "hot", (F.col("hop") * hop_ms).alias("at_ms"))
-    inside = lambda a, b: (F.col("at_ms") >= F.col("start_ms")) & (F.col("at_ms") < F.col("end_ms"))
-    scored = range_join(grid, rows, "episode_id", ("at_ms", "at_ms"), ("start_ms", "end_ms"), inside)
-    scored = scored.groupBy("episode_id", "peak", "start_ms", "end_ms", "size_ms").agg(F.avg("hot").alias("heat"))
-    scored = scored.withColumn("heat", F.round(score if score is not None else F.col("heat"), 6))
-    rank = F.row_number().over(Window.partitionBy("episode_id", "peak").orderBy(F.desc("heat"), "start_ms", "end_ms"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= keep)
-
-
-def discover(words: DataFrame, eos: DataFrame) -> DataFrame:
-    """Hot windows of each episode, snapped to marks: 20 to 40, about one a minute."""
-    curve = hotness(hop_features(words))
-    found = snap_windows(best_window(peaks(curve, 60), curve), eos)
-    minutes = words.groupBy("episode_id").agg((F.max("end_ms") / 60_000).alias("minutes"))
-    rows = found.dropDuplicates(["episode_id", "start_ms", "end_ms"]).join(minutes, "episode_id")
-    rank = F.row_number().over(_by(F.desc("heat"), "start_ms", "end_ms"))
-    keep = F.least(F.greatest(F.floor("minutes"), F.lit(20)), F.lit(40))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= keep).select("episode_id", "start_ms", "end_ms", "heat", "rank")
-
-
 # --- ends --------------------------------------------------------------------------------------------------------
 
 
-def refine_bounds(clips: DataFrame, words: DataFrame, reach_ms: int = 1_000, step_ms: int = 50) -> DataFrame:
-    """Starts and ends moved to the best place within ±1 s: a gap, a sentence end before, less for distance."""
-    order = _by("word_idx")
-    edges = words.withColumn("gap", F.col("start_ms") - F.lag("end_ms").over(order)).withColumn("_prev", F.lag("w").over(order))
-    starts = edges.select("episode_id", F.col("start_ms").alias("t_ms"), (F.least(F.coalesce("gap", F.lit(1000)), F.lit(1000)) / 1000 + F.coalesce(F.col("_prev").rlike(ENDS), F.lit(True)).cast("int")).alias("good"))
-    tail = words.withColumn("gap", F.lead("start_ms").over(order) - F.col("end_ms"))
-    ends = tail.select("episode_id", F.col("end_ms").alias("t_ms"), (F.least(F.coalesce("gap", F.lit(1000)), F.lit(1000)) / 1000 + F.col("w").rlike(ENDS).cast("int")).alias("good"))
-
-    def move(rows: DataFrame, marks: DataFrame, side: str) -> DataFrame:
-        spans = rows.select("episode_id", "clip_id", F.col(side).alias("at"), (F.col(side) - reach_ms).alias("lo"), (F.col(side) + reach_ms).alias("hi"))
-        spans = spans.withColumn("lo", F.greatest("lo", F.lit(0)))
-        near = lambda a, b: F.col("t_ms").between(F.col("lo"), F.col("hi"))
-        found = range_join(marks, spans, "episode_id", ("t_ms", "t_ms"), ("lo", "hi"), near)
-        value = F.col("good") - F.floor(F.abs(F.col("t_ms") - F.col("at")) / step_ms) * (step_ms / reach_ms / 2)
-        best = found.groupBy("episode_id", "clip_id").agg(F.max_by("t_ms", F.struct(F.round(value, 6), -F.col("t_ms"))).alias("_best"))
-        return rows.join(best, ["episode_id", "clip_id"], "left").withColumn(side, F.coalesce("_best", side)).drop("_best")
-
-    return move(move(clips, starts, "start_ms"), ends, "end_ms")
-
-
 def refine_grid(clips: DataFrame, segments: DataFrame, step_ms: int = 300) -> DataFrame:
     """The best of 25 shifts of both ends by up to ±0.6 s: most text for the time, near the middle length."""
     offsets = F.array(*(F.lit(i * step_ms).cast("long") for i in range(-2, 3)))

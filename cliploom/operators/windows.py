@@ -7,6 +7,7 @@ over its bins. Only the curve itself (two rows a second) is sorted by episode.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cliploom.operators import large
 from cliploom.operators.patterns import greedy_keep, range_join
+from cliploom.operators.written import written
 
 #: Words of the light scores of a hop, and the share of each score in the hotness curve.
 ASKING = ("what", "why", "how", "when", "where", "who", "which")
@@ -109,10 +111,9 @@ def hotness_curve(grid: DataFrame) -> DataFrame:
 def hot_peaks(curve: DataFrame) -> DataFrame:
     """Strict local maxima, highest first, 6 s apart (4 s in episodes under ten minutes), 20 to 60 of them by length."""
     rows = curve.withColumn("_a", F.lag("hot").over(_hops())).withColumn("_b", F.lead("hot").over(_hops())).where("hot > _a and hot > _b")
-    short = F.col("last") * HOP_MS < 600_000
-    order = [-F.col("hot"), F.col("hop")]
-    take = lambda part, apart: greedy_keep(part, "episode_id", order, ["hop", "hot", "last"], large.Near(("hop",), apart - 1), limit=60)
-    picked = take(rows.where(short), 8).unionByName(take(rows.where(~short), 12))
+    # places in thirds or halves of a hop: 4 s and 6 s are then the same distance
+    rows = rows.withColumn("place", F.col("hop") * F.when(F.col("last") * HOP_MS < 600_000, 3).otherwise(2))
+    picked = greedy_keep(rows, "episode_id", [-F.col("hot"), F.col("hop")], ["hop", "hot", "last", "place"], large.Near(("place",), 23), limit=60)
     k = F.least(F.greatest(F.floor(F.col("last") * HOP_MS * 1.5 / 60_000), F.lit(20)), F.lit(60))
     return picked.where(F.col("pick") <= k).select("episode_id", "hop", "hot", F.col("pick").cast("long").alias("pick"))
 
@@ -168,7 +169,7 @@ def hot_windows(tops: DataFrame, curve: DataFrame, eos: DataFrame, words: DataFr
     centres = tops.select("episode_id", F.col("hop").alias("peak"), (F.col("hop") * HOP_MS).alias("centre_ms"), sizes.alias("size_ms"))
     rows = snap_to_marks(centres, eos, words).withColumn("start_ms", F.greatest("start_ms", F.lit(0)))
     length = F.col("end_ms") - F.col("start_ms")
-    rows = rows.where(length.between(*ms)).dropDuplicates(["episode_id", "peak", "start_ms", "end_ms"])
+    rows = rows.where(length.between(*ms)).groupBy("episode_id", "peak", "start_ms", "end_ms").agg(F.max("quality").alias("quality"))
     sums = curve.select("episode_id", "hop", "last", F.sum("hot").over(_hops().rowsBetween(Window.unboundedPreceding, 0)).alias("_sum"))
     ends = sums.groupBy("episode_id").agg(F.max("last").alias("_last"))
     rows = rows.join(ends, "episode_id").withColumn("_a", F.ceil(F.col("start_ms") / HOP_MS) - 1).withColumn("_b", F.least(F.ceil(F.col("end_ms") / HOP_MS) - 1, F.col("_last")))
@@ -183,12 +184,14 @@ def hot_windows(tops: DataFrame, curve: DataFrame, eos: DataFrame, words: DataFr
 def discover_windows(words: DataFrame, eos: DataFrame, least_heat: float = 0.1, overlap: float = 0.6) -> DataFrame:
     """Hot windows of each episode: curve, peaks, two windows for each, none that overlap by `overlap`, 20 to 40 by length.
 
-    heat is the mean hotness of the window (0 to 1). Episodes without words give none.
+    heat is the mean hotness of the window (0 to 1). Episodes without words give none. The curve, the peaks and the windows
+    are written once each, as the selections count their groups before they read them.
     """
-    curve = hotness_curve(lite_scores(words))
-    found = hot_windows(hot_peaks(curve), curve, eos, words).where(F.col("heat") > int(least_heat * NANO))
+    curve = written(hotness_curve(lite_scores(words)), "hotness")
+    found = hot_windows(written(hot_peaks(curve), "peaks"), curve, eos, words).where(F.col("heat") > int(least_heat * NANO))
     order = [-F.col("heat"), -F.col("quality"), F.col("start_ms"), F.col("end_ms")]
     rows = found.groupBy("episode_id", "start_ms", "end_ms").agg(F.max("heat").alias("heat"), F.max("quality").alias("quality"))
+    rows = written(rows, "windows")
     kept = greedy_keep(rows, "episode_id", order, ["start_ms", "end_ms", "heat", "quality"], large.Overlap(overlap), limit=40)
     minutes = words.groupBy("episode_id").agg(F.floor(F.max("end_ms") / 60_000).alias("_minutes"))
     least = F.least(F.greatest("_minutes", F.lit(20)), F.lit(40))
@@ -218,21 +221,29 @@ def word_cells(words: DataFrame) -> DataFrame:
     return rows.select("episode_id", F.explode(F.when(F.col("_first") & (F.col("start_ms") > 0), F.array(head, own)).otherwise(F.array(own))).alias("x")).select("episode_id", "x.*")
 
 
-def _slice(cells: Column, lo: Column, hi: Column) -> Column:
-    inside = F.filter(cells, lambda c: (c["until"] >= lo) & (c["at"] <= hi))
-    return F.trim(F.concat_ws(" ", F.transform(inside, lambda c: c["w"])))
+def _said(cells: Column) -> Column:
+    return F.trim(F.concat_ws(" ", cells["w"]))
+
+
+def _at_places(cells: Column, places: Column, reach: Callable[[Column], tuple[Column, Column]]) -> Column:
+    """For each place its cell and the cells between the two ends of `reach`: structs of t, here, heard."""
+
+    def one(t: Column) -> Column:
+        lo, hi = reach(t)
+        here = F.try_element_at(F.filter(cells, lambda c: (c["at"] <= t) & (c["until"] >= t)), F.lit(-1))
+        return F.struct(t.alias("t"), here.alias("here"), F.filter(cells, lambda c: (c["until"] >= lo) & (c["at"] <= hi)).alias("heard"))
+
+    return F.transform(places, one)
 
 
 def _holds(text: Column, cues) -> Column:
     return reduce(lambda a, b: a | b, (text.contains(c) for c in cues)).cast("int")
 
 
-def _place(cells: Column, t: Column) -> tuple[Column, Column]:
-    """Silence at a time (up to 220 ms) and whether a full stop lies within 250 ms."""
-    here = F.filter(cells, lambda c: (c["at"] <= t) & (c["until"] >= t))
-    gap = F.coalesce(F.least(F.try_element_at(here, F.lit(-1))["gap"], F.lit(220)), F.lit(0))
-    stop = F.exists(F.flatten(F.transform(here, lambda c: c["ends"])), lambda e: F.abs(e - t) <= 250)
-    return gap, F.coalesce(stop, F.lit(False)).cast("int")
+def _place(here: Column, t: Column) -> tuple[Column, Column]:
+    """Silence in a cell (up to 220 ms) and whether a full stop lies within 250 ms of a time."""
+    gap = F.coalesce(F.least(here["gap"], F.lit(220)), F.lit(0))
+    return gap, F.coalesce(F.exists(here["ends"], lambda e: F.abs(e - t) <= 250), F.lit(False)).cast("int")
 
 
 def _share(x: float) -> int:
@@ -259,28 +270,32 @@ def refine_by_cues(clips: DataFrame, words: DataFrame, reach_ms: int = 1_000, st
     rows = long_enough.select("episode_id", "clip_id", "start_ms", "end_ms").join(local, ["episode_id", "clip_id"])
     far = lambda t, at: F.lit(_share(0.35)) * F.abs(t - at) / reach_ms
 
-    def start_value(t: Column) -> Column:
-        gap, stop = _place(F.col("_s"), t)
-        hook = _holds(F.lower(F.substring(_slice(F.col("_s"), t, t + 2_000), 1, 120)), HOOK_CUES)
-        context = _holds(F.lower(F.substring(_slice(F.col("_s"), t, t + 8_000), 1, 200)), CONTEXT_CUES)
+    def start_value(x: Column) -> Column:
+        t = x["t"]
+        gap, stop = _place(x["here"], t)
+        hook = _holds(F.lower(F.substring(_said(F.filter(x["heard"], lambda c: c["at"] <= t + 2_000)), 1, 120)), HOOK_CUES)
+        context = _holds(F.lower(F.substring(_said(x["heard"]), 1, 200)), CONTEXT_CUES)
         return gap * (_share(0.5) // 220) + stop * _share(0.25) + hook * _share(0.0375) + context * _share(0.03) - far(t, F.col("start_ms"))
 
-    def end_value(t: Column) -> Column:
-        gap, stop = _place(F.col("_e"), t)
-        tail = _slice(F.col("_e"), F.greatest("_start", t - 4_000), t)
+    def end_value(x: Column) -> Column:
+        t = x["t"]
+        gap, stop = _place(x["here"], t)
+        tail = _said(x["heard"])
         open_ = _holds(F.lower(F.when(F.length(tail) > 120, F.substring(tail, -120, 120)).otherwise(tail)), OPEN_CUES)
-        close = _slice(F.col("_e"), F.greatest("_start", t - 1_400), t)
+        close = _said(F.filter(x["heard"], lambda c: c["until"] >= F.greatest("_start", t - 1_400)))
         closing = _holds(F.lower(close), PAYOFF_CUES) * _share(0.25) + close.rlike("[.!?]$").cast("int") * _share(0.12) - close.rlike(r"(?<![\p{L}\p{N}_])([A-Z][a-z]+|[0-9]+)$").cast("int") * _share(0.15)
         return gap * (_share(0.55) // 220) + stop * _share(0.35) + open_ * _share(0.0625) + closing - far(t, F.col("end_ms"))
 
-    def best(lo: Column, hi: Column, value, otherwise: str) -> Column:
+    def best(cells: str, lo: Column, hi: Column, reach, value, otherwise: str) -> Column:
         places = F.sequence(lo.cast("long"), F.greatest(lo, hi).cast("long"), F.lit(step_ms).cast("long"))
-        top = F.array_max(F.transform(places, lambda t: F.struct(value(t).alias("value"), (-t).alias("t"))))
+        top = F.array_max(F.transform(_at_places(F.col(cells), places, reach), lambda x: F.struct(value(x).alias("value"), (-x["t"]).alias("t"))))
         return F.when(lo <= hi, -top["t"]).otherwise(F.col(otherwise))
 
+    ahead = lambda t: (t, t + 8_000)
+    behind = lambda t: (F.greatest("_start", t - 4_000), t)
     start, end = F.col("start_ms"), F.col("end_ms")
-    rows = rows.withColumn("_start", best(F.greatest(start - reach_ms, F.lit(0)), F.least(end - LEAST_MS, start + reach_ms), start_value, "start_ms"))
-    rows = rows.withColumn("_end", best(F.greatest(F.col("_start") + LEAST_MS, end - reach_ms), F.least(F.col("_start") + MOST_MS, end + reach_ms), end_value, "end_ms"))
+    rows = rows.withColumn("_start", best("_s", F.greatest(start - reach_ms, F.lit(0)), F.least(end - LEAST_MS, start + reach_ms), ahead, start_value, "start_ms"))
+    rows = rows.withColumn("_end", best("_e", F.greatest(F.col("_start") + LEAST_MS, end - reach_ms), F.least(F.col("_start") + MOST_MS, end + reach_ms), behind, end_value, "end_ms"))
     new_start = F.greatest(F.least(F.col("_start"), F.col("_end") - LEAST_MS), F.lit(0))
     tens = lambda c: F.floor((c + 5) / 10).cast("long") * 10
     rows = rows.withColumn("_to", F.least(F.col("_start") + MOST_MS, F.greatest("_end", new_start + LEAST_MS))).withColumn("_from", new_start)

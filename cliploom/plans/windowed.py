@@ -84,7 +84,7 @@ def c27(spark, d):
 
 @query("c29_discover", f"""with recursive {S.WORDS}, {MARKS}, {PEAKS.replace("pool as", "tips as").replace("from pool", "from tips").replace("ordered", "ordered_tips").replace("folded", "folded_tips").replace("best as", "best_tips as").replace("from best", "from best_tips").replace("picked", "picked_tips")},
     centres as (select episode_id, hop as peak, hop * 500 as centre_ms, unnest([12000, 18000, 23000, 30000, 35000, 45000, 60000, 75000, 90000])::bigint as size_ms from tops), {snap("centres")},
-    spans as (select distinct c.episode_id, c.peak, greatest(s.start_ms, 0) as start_ms, s.end_ms, s.quality from centres c join snapped s using (episode_id, centre_ms, size_ms) where s.end_ms - greatest(s.start_ms, 0) between 7000 and 120000),
+    spans as (select c.episode_id, c.peak, greatest(s.start_ms, 0) as start_ms, s.end_ms, max(s.quality) as quality from centres c join snapped s using (episode_id, centre_ms, size_ms) where s.end_ms - greatest(s.start_ms, 0) between 7000 and 120000 group by 1, 2, 3, 4),
     warm as (select p.episode_id, p.peak, p.start_ms, p.end_ms, max(p.quality) as quality, (sum(c.hot) // count(*))::bigint as heat from (select *, row_number() over () as id from spans) p
         join curve c on c.episode_id = p.episode_id and c.hop * 500 >= p.start_ms and c.hop * 500 < p.end_ms group by p.id, 1, 2, 3, 4),
     two as (select episode_id, start_ms, end_ms, heat, quality from warm qualify row_number() over (partition by episode_id, peak order by heat desc, quality desc, start_ms, end_ms) <= 2),
