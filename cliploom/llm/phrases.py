@@ -13,7 +13,7 @@ A word goes if a window of `WINDOW` words around it also starts in a document wi
    run of a window or more is removed. Removal rests on equal words, never on a hash.
 
 Null and empty texts have no words and lose none. A null id is neither first nor has a first: its text stays.
-Rows with one id are one document; repeated rows each give a row. An anchor, window or passage that a third of
+Rows with one id are one document: the windows of each of its texts start in it, and repeated rows each give a row. An anchor, window or passage that a third of
 all documents share is counted in parts before the shuffle, and sent once to each shard.
 """
 
@@ -109,7 +109,8 @@ def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes and places of the windows that hold one of the row's `wanted` anchors."""
     for batch in batches:
-        ids, texts, wanted = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("text").to_pylist(), batch.column("wanted")
+        ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "text_key"))
+        texts, wanted = batch.column("text").to_pylist(), batch.column("wanted")
         for i, j in slices(sizes_of(texts), 1 << 20):
             words = WordTable(texts[i:j])
             places, hashes = anchors(words)
@@ -126,8 +127,8 @@ def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(starts):
                 whole = rolled(words.codes, words.values, WINDOW)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[i:j][owner[starts]]), pa.array((starts - words.first[owner[starts]]).astype(np.int32)), pa.array(whole[starts].view(np.int64))],
-                    names=["doc_id", "place", "window"],
+                    [pa.array(ids[i:j][owner[starts]]), pa.array(keys[i:j][owner[starts]]), pa.array((starts - words.first[owner[starts]]).astype(np.int32)), pa.array(whole[starts].view(np.int64))],
+                    names=["doc_id", "text_key", "place", "window"],
                 )
 
 
@@ -221,21 +222,22 @@ def dedup(docs: DataFrame, texts: bool = True) -> DataFrame:
     taking = stash(docs.join(wanted, ["doc_id", "text_key"]), "texts")
 
     # recurring windows, their first documents, and the runs they make there
-    seen = taking.select("doc_id", "text", "wanted").mapInArrow(windows, "doc_id long, place int, window long")
+    seen = taking.select("doc_id", "text_key", "text", "wanted").mapInArrow(windows, "doc_id long, text_key long, place int, window long")
     first = seen.groupBy("window").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").select("window", "first_id")
     linked = stash(
         seen.join(first, "window")
-        .select("doc_id", "first_id", F.when(F.col("doc_id") == F.col("first_id"), F.col("place")).alias("place"))
+        .select("doc_id", "first_id", *(F.when(F.col("doc_id") == F.col("first_id"), F.col(c)).alias(c) for c in ("text_key", "place")))
         .distinct(),
         "links",
     )
-    in_order = Window.partitionBy("first_id").orderBy("place")
+    in_order = Window.partitionBy("first_id", "text_key").orderBy("place")
     fresh = (F.col("place") - F.lag("place").over(in_order) > WINDOW).cast("int")
-    runs = linked.where("place is not null").select("first_id", "place", fresh.alias("fresh"))
+    runs = linked.where("place is not null").select("first_id", "text_key", "place", fresh.alias("fresh"))
     runs = runs.withColumn("run", F.sum(F.coalesce("fresh", F.lit(1))).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = runs.groupBy("first_id", "run").agg(F.min("place").alias("a"), F.max("place").alias("b"))
-    runs = runs.groupBy("first_id").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
-    sources = taking.dropDuplicates(["doc_id"]).join(runs, taking["doc_id"] == runs["first_id"]).select("first_id", "text", "runs")
+    runs = runs.groupBy("first_id", "text_key", "run").agg(F.min("place").alias("a"), F.max("place").alias("b"))
+    runs = runs.groupBy("first_id", "text_key").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    texts_of = taking.select(F.col("doc_id").alias("first_id"), "text_key", "text").dropDuplicates(["first_id", "text_key"])
+    sources = texts_of.join(runs, ["first_id", "text_key"]).select("first_id", "text", "runs")
     sources = stash(sources.mapInArrow(passages, "first_id long, passage string"), "passages")
 
     # shards of documents, each with the passages of their first documents

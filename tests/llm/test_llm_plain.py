@@ -191,6 +191,29 @@ def test_phrases_match_sql(spark):
     assert sum(r[2] for r in expected) > 0
 
 
+def test_phrases_of_an_id_with_several_texts(spark):
+    """Windows of every text of a repeated id count; windows are judged against a plain rule over (id, text) rows."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(200)) for x in "abc")
+    mixed = " ".join(b.split()[40:140] + [f"m{i}" for i in range(30)] + a.split()[:60])
+    rows = [(5, a), (5, b), (5, b), (9, b), (10, a), (11, mixed), (12, c), (12, mixed), (13, c + " tail")]
+    starts = {}
+    for i, text in rows:
+        w = text.split()
+        for p in range(len(w) - 49):
+            key = tuple(w[p : p + 50])
+            starts[key] = min(starts.get(key, i), i)
+    expected = []
+    for i, text in rows:
+        w, gone = text.split(), set()
+        for p in range(len(w) - 49):
+            if starts[tuple(w[p : p + 50])] < i:
+                gone |= set(range(p, p + 50))
+        expected.append((i, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()))
+    got = phrases.dedup(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert sorted(map(tuple, got.collect())) == sorted(expected)
+    assert (9, 200, 200) in [tuple(r)[:3] for r in got.collect()]
+
+
 def test_phrases_overlaps(spark):
     make = np.random.default_rng(5)
     passage = [f"w{x}" for x in make.integers(0, 40, 400)]
