@@ -135,10 +135,6 @@ def calibrate_piecewise(x: Column) -> Column:
     return F.when(x < 0.2, x * 0.8).when(x < 0.5, 0.16 + (x - 0.2) * 0.9).when(x < 0.8, 0.43 + (x - 0.5) * 0.8).otherwise(0.67 + (x - 0.8) * 0.6)
 
 
-def calibrate_mild(x: Column) -> Column:
-    return clamp(0.05 + 0.9 * x)
-
-
 def grade(score_100: Column) -> Column:
     return F.when(score_100 >= 90, "A+").when(score_100 >= 80, "A").when(score_100 >= 70, "B").when(score_100 >= 60, "C").when(score_100 >= 50, "D").otherwise("F")
 
@@ -171,14 +167,6 @@ def anti_bait_cap(df: DataFrame) -> DataFrame:
     return df.withColumn("caps_applied", applied).withColumn("final_score", lifted)
 
 
-def utility(df: DataFrame) -> DataFrame:
-    """Weighted virality: a prior for length, more for a finished clip, less for very short ones."""
-    s = (F.col("end_ms") - F.col("start_ms")) / 1000
-    core = 0.35 * feature("hook") + 0.25 * feature("payoff") + 0.20 * feature("arousal") + 0.12 * feature("info_density") + 0.08 * feature("loopability")
-    prior = F.exp(-F.pow((s - 18) / 12, 2) / 2)
-    return df.withColumn("utility", F.round(clamp(core * (0.85 + 0.15 * prior) + F.col("finished").cast("int") * 0.05 - F.when(s < 8, 0.10).otherwise(0.0)), 6))
-
-
 #: Half-open bands of seconds and the platforms they suit, best first.
 PLATFORM_BANDS = ((0, 15, ("tiktok", "instagram", "youtube")), (15, 30, ("instagram", "tiktok", "youtube")), (30, 60, ("youtube", "instagram", "tiktok")), (60, 90, ("youtube", "linkedin")), (90, 10**9, ("youtube",)))
 

@@ -12,6 +12,7 @@ from cliploom.operators import large
 from cliploom.operators.patterns import islands, ordered_fold, range_join
 
 ENDS = r"[.!?]$"
+CLOSED = r"[.!?][\"')\]\u201D\u2019\u00BB\u203A]*\s*$"
 ENDS_WIDE = "[.!?…]$"
 
 #: Phrases that mark a strong opening, a topic shift and an insight.
@@ -490,6 +491,46 @@ def extend_end(clips: DataFrame, eos: DataFrame, more_ms: int = 5_000, most_ms:
     return rows.withColumn("moved_ms", moved - F.col("end_ms")).withColumn("end_ms", moved).drop("next_ms")
 
 
+def extend_capped(clips: DataFrame, eos: DataFrame, more_ms: int = 8_000, most_ms: int = 30_000, least_ms: int = 50) -> DataFrame:
+    """Ends moved on to the first mark from `least_ms` after them, within `more_ms`, in clips of `most_ms` at most."""
+    rows = next_eos(clips.withColumn("_from", F.col("end_ms") + least_ms), eos, "_from")
+    fits = F.col("next_ms") <= F.least(F.col("start_ms") + most_ms, F.col("end_ms") + more_ms)
+    return rows.withColumn("end_ms", F.when(fits, F.col("next_ms")).otherwise(F.col("end_ms"))).drop("_from", "next_ms")
+
+
+def coherent_end(clips: DataFrame, eos: DataFrame, segments: DataFrame, more_ms: int = 5_000) -> DataFrame:
+    """Ends moved on to the next mark after them within `more_ms`, else to the next end of a segment at or after them."""
+    ends = segments.select("episode_id", F.col("end_ms").alias("t_ms"))
+    rows = next_eos(clips.withColumn("_from", F.col("end_ms") + 1), eos, "_from").withColumnRenamed("next_ms", "_ahead")
+    rows = next_eos(rows, ends, "end_ms")
+    near = lambda c: F.when(F.col(c) - F.col("end_ms") <= more_ms, F.col(c))
+    return rows.withColumn("end_ms", F.coalesce(near("_ahead"), near("next_ms"), "end_ms")).drop("_from", "_ahead", "next_ms")
+
+
+def natural_end(clips: DataFrame, words: DataFrame, more_ms: int = 3_000) -> DataFrame:
+    """Ends moved on to the next word within `more_ms` that ends a sentence: a final mark, then a capital or nothing; with the move's size."""
+    after = F.lead("w").over(Window.partitionBy("episode_id").orderBy("word_idx"))
+    ends = words.withColumn("_after", after).where(F.rtrim("w").rlike(ENDS) & (F.col("_after").isNull() | F.ltrim("_after").rlike(r"^\p{Lu}")))
+    rows = next_eos(clips.withColumn("_from", F.col("end_ms") + 1), ends.select("episode_id", F.col("end_ms").alias("t_ms")), "_from")
+    moved = F.when(F.col("next_ms") - F.col("end_ms") <= more_ms, F.col("next_ms") - F.col("end_ms")).otherwise(F.lit(0))
+    return rows.withColumn("moved_ms", moved.cast("long")).withColumn("end_ms", F.col("end_ms") + F.col("moved_ms")).drop("_from", "next_ms")
+
+
+def micro_jitter(clips: DataFrame, words: DataFrame, slack_ms: int = 250) -> DataFrame:
+    """Ends moved to the end of the first word inside ±`slack_ms` of them that finishes a sentence; keyed by clip_id.
+
+    Only a clip's last moments meet words, so a clip meets few, however long it is.
+    """
+    heads = clips.select("episode_id", "clip_id", F.col("start_ms").alias("c_start"), (F.col("end_ms") - slack_ms).alias("c_from"), (F.col("end_ms") + slack_ms).alias("c_to")).distinct()
+    closing = words.where(F.rtrim("w").rlike(CLOSED)).select("episode_id", "word_idx", F.col("start_ms").alias("w_start"), F.col("end_ms").alias("w_end"))
+    inside = lambda a, b: (F.col("w_start") >= F.col("c_from")) & (F.col("w_end") <= F.col("c_to")) & (F.col("w_start") >= F.col("c_start"))
+    met = range_join(heads, closing, "episode_id", ("c_from", "c_to"), ("w_start", "w_end"), inside)
+    to = met.groupBy("episode_id", "clip_id", "c_start", "c_to").agg(F.min_by("w_end", "word_idx").alias("_to"))
+    to = to.select(F.col("episode_id").alias("_e"), F.col("clip_id").alias("_c"), F.col("c_start").alias("_s"), (F.col("c_to") - slack_ms).alias("_end"), "_to")
+    same = F.col("episode_id").eqNullSafe(F.col("_e")) & F.col("clip_id").eqNullSafe(F.col("_c")) & (F.col("start_ms") == F.col("_s")) & (F.col("end_ms") == F.col("_end"))
+    return clips.join(to, same, "left").withColumn("end_ms", F.coalesce("_to", "end_ms")).drop("_e", "_c", "_s", "_end", "_to")
+
+
 def finish_normalize(clips: DataFrame, eos: DataFrame, near_ms: int = 300, more_ms: int = 800, sparse: bool = False) -> DataFrame:
     """Ends on or near a mark are finished, those before one are moved to it; else the text decides."""
     rows = prev_eos(next_eos(clips, eos, "end_ms"), eos, "end_ms")

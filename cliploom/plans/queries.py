@@ -565,11 +565,6 @@ def e09(spark, d):
     return clips(spark, d).select("clip_id", F.round(scores.calibrate_piecewise(x), 9).alias("cal"), scores.ui_band(x).alias("band"), scores.grade(x * 100).alias("grade"))
 
 
-@query("e11_utility")
-def e11(spark, d):
-    return scores.utility(scored(spark, d).withColumn("finished", F.col("terminal"))).select("episode_id", "seg_idx", "utility")
-
-
 @query("e12_platforms", f"""with {S.CLIPS}, b(lo, hi, p) as (values {", ".join(f"({a}, {b}, {list(p)})" for a, b, p in scores.PLATFORM_BANDS)}), x as (select clip_id, unnest(p) as platform, unnest(range(len(p))) as pos from clips join b on (end_ms - start_ms) / 1000.0 >= lo and (end_ms - start_ms) / 1000.0 < hi)
     select clip_id, platform, round((1.0 - 0.2 * pos)::double, 6) as fit, row_number() over (partition by clip_id order by 1.0 - 0.2 * pos desc, platform) as rank from x""")
 def e12(spark, d):
