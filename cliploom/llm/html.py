@@ -9,8 +9,10 @@
 3. Every page is read again with the winning path. A page whose winner holds less than half of its fresh text, or is
    not there, takes the container it voted for.
 
-Elements that are known not to be the article (menus, forms, and classes named so) take no part at any step. All
-blocks of the chosen containers stay, repeated ones too. Null and empty pages give an empty text. Null and odd urls
+Elements that are known not to be the article (menus, forms, and classes named so) take no part at any step, but a header
+inside an `article` is its own. Names that may as well name a part of an article ("share", "promotion") only say that an
+element casts no vote: inside the chosen container it stays if it is prose (`PROSE_WORDS` words, no more than a third
+in links) that does not repeat on the host. All other blocks of the chosen containers stay, repeated ones too. Null and empty pages give an empty text. Null and odd urls
 share a host "-". Pages are read one by one, so repeated rows do no harm; what a host with a third of all pages holds
 is summed in parts before the shuffle. Votes are whole numbers, ties go to the greater path number. Paths are numbers
 made from the parent's, and containers are ranges of blocks, so memory is linear in the page however deep it nests.
@@ -50,13 +52,25 @@ CLOSES_P = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are parts of an article rather than containers of one.
 PARTS = HEADINGS | frozenset("html body p li ul ol dl dt dd blockquote pre figure figcaption address table caption thead tbody tfoot tr th hr".split())
-#: Words in a class, id or role that mark what is not the article.
+#: Words in a class or id that mark what is not the article, wherever they stand in a name ...
 SIDE_WORDS = frozenset(
-    "ad ads advert advertisement adverts adsense banner breadcrumb breadcrumbs comment comments commentary consent cookie cookies dialog "
-    "discussion disqus footer gdpr header links login masthead menu modal nav navbar navigation newsletter notice notices notification "
-    "pagination pager popup privacy promo promoted promotion recommended related replies reply respond search share sharing sidebar sidebars "
-    "signup skip social sponsor sponsored subscribe subscription tags toolbar topbar tracking widget".split()
+    "ad ads advert advertisement adverts adsense breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login menu "
+    "nav navbar navigation newsletter pagination pager sidebar sidebars signup sponsor sponsored subscribe".split()
 )
+#: ... where all other words of the name are of these kinds or say no more than place and shape ...
+SIDE_NAMES = frozenset(
+    "dialog header masthead modal notice notices notification popup recommended related replies reply respond search skip subscription toolbar topbar widget".split()
+)
+#: ... and likewise, but for prose inside the chosen container.
+LOOSE_NAMES = frozenset("banner commentary discussion links privacy promo promoted promotion share sharing social tags tracking".split())
+PLACES = frozenset(
+    "area article bar block body bottom box button buttons card cards col column container content count entry fixed form global group holder icon icons inner inline "
+    "item items left list main module outer page panel post primary region right row secondary section site slot sticky story strip text thread title top unit "
+    "wrap wrapper zone".split()
+)
+OWN = frozenset("article entry post story".split())
+#: Words from which on an element is prose.
+PROSE_WORDS = 20
 #: Names that say how the page is laid out around an element ("has-sidebar"), not what the element is.
 LAYOUT = re.compile(r"(?:has|with|no|without)[-_]")
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog".split())
@@ -74,27 +88,50 @@ class Page:
         self.blocks: list[str] = []
         self.links: list[int] = []  # characters in links, for each block
         self.owner: list[int] = []  # innermost element of each block
-        self.tag, self.path, self.parent, self.side, self.first, self.last = [""], [0], [-1], [False], [0], [0]
+        self.loose: list[int] = []  # 1 for prose in a loosely named element, 2 for other text in one, else 0
+        self.tag, self.path, self.parent, self.side, self.first, self.last = [""], [0], [-1], [0], [0], [0]
 
-    def open(self, tag: str, name: str, side: bool, parent: int) -> int:
+    def open(self, tag: str, name: str, side: int, parent: int) -> int:
         number = xxhash.xxh3_64_intdigest(f"{self.path[parent]} {name}") - (1 << 63)
-        for column, value in ((self.tag, tag), (self.path, number), (self.parent, parent), (self.side, side or self.side[parent]), (self.first, len(self.blocks)), (self.last, -1)):
+        for column, value in ((self.tag, tag), (self.path, number), (self.parent, parent), (self.side, max(side, self.side[parent])), (self.first, len(self.blocks)), (self.last, -1)):
             column.append(value)
         return len(self.tag) - 1
 
+    def close(self, node: int) -> None:
+        self.last[node] = len(self.blocks)
+        if self.side[node] == 1 and self.side[self.parent[node]] == 0:
+            span = range(self.first[node], self.last[node])
+            prose = sum(len(self.blocks[b].split()) for b in span) >= PROSE_WORDS and 3 * sum(self.links[b] for b in span) <= sum(len(self.blocks[b]) for b in span)
+            for b in span:
+                self.loose[b] = 1 if prose else 2
+
+    def text(self, node: int, repeated: set[int]) -> list[str]:
+        """The blocks of a container; of loosely named elements, only prose that is the page's own."""
+        span = range(self.first[node], self.last[node])
+        return [self.blocks[b] for b in span if not self.loose[b] or (self.loose[b] == 1 and node and block_key(self.blocks[b]) not in repeated)]
+
 
 def attributes(tag: str) -> dict[str, str]:
     return {k.lower(): html.unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(tag)}
 
 
-def is_side(name: str, found: dict[str, str]) -> bool:
-    if name in SIDE or found.get("role", "").lower() in ROLES or "hidden" in found.get("aria-modal", ""):
-        return True
+def is_side(name: str, found: dict[str, str], in_article: bool = False) -> int:
+    """2 for what is not the article, 1 for what is not unless it turns out to be its prose, else 0."""
+    if name in SIDE and not (name == "header" and in_article) or found.get("role", "").lower() in ROLES or "hidden" in found.get("aria-modal", ""):
+        return 2
     if name in ("html", "body", "main", "article"):
-        return False
-    names = re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{found.get('class', '')} {found.get('id', '')}").lower().split()
-    words = {w for n in names if not LAYOUT.match(n) for w in re.split(r"[^a-z]+", n)}
-    return not SIDE_WORDS.isdisjoint(words)
+        return 0
+    kind = 0
+    for n in re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{found.get('class', '')} {found.get('id', '')}").lower().split():
+        if LAYOUT.match(n):
+            continue
+        words = {w for w in re.split(r"[^a-z]+", n) if w}
+        if words & SIDE_WORDS:
+            return 2
+        said = words & (SIDE_NAMES | LOOSE_NAMES)
+        if said and all(w in said or w in PLACES or len(w) < 3 for w in words) and not (said == {"header"} and (words & OWN or in_article)):
+            kind = max(kind, 1 if said <= LOOSE_NAMES else 2)
+    return kind
 
 
 def general(name: str, found: dict[str, str]) -> str:
@@ -114,15 +151,16 @@ def parse(page: str) -> Page:
         if text:
             block = " ".join("".join(text).split())
             text.clear()
-            if block and not found.side[stack[-1]]:
+            if block and found.side[stack[-1]] < 2:
                 found.blocks.append(block)
                 found.links.append(min(in_links, len(block)))
                 found.owner.append(stack[-1])
+                found.loose.append(0)
         in_links = 0
 
     def pop() -> str:
         node = stack.pop()
-        found.last[node] = len(found.blocks)
+        found.close(node)
         depth_of[found.tag[node]] -= 1
         return found.tag[node]
 
@@ -171,7 +209,7 @@ def parse(page: str) -> Page:
         if name in ("li", "tr", "td", "th", "dt", "dd") and found.tag[stack[-1]] == name:
             pop()
         attrs = attributes(token) if "=" in token else {}
-        stack.append(found.open(name, general(name, attrs), is_side(name, attrs), stack[-1]))
+        stack.append(found.open(name, general(name, attrs), is_side(name, attrs, bool(depth_of.get("article"))), stack[-1]))
         depth_of[name] = depth_of.get(name, 0) + 1
         linked = 0
     close_block()
@@ -193,8 +231,8 @@ def fresh(page: Page, repeated: set[int]) -> list[int]:
         lambda b, n: len(b),
     ):
         sums = [0]
-        for b, n in zip(page.blocks, page.links):
-            sums.append(sums[-1] + weigh(b, n))
+        for b, n, loose in zip(page.blocks, page.links, page.loose):
+            sums.append(sums[-1] + (0 if loose else weigh(b, n)))
         if sums[-1]:
             break
     return sums
@@ -216,6 +254,7 @@ def best_container(page: Page, sums: list[int]) -> int:
         if page.tag[parent] in PARTS or not parent:
             break
         more = [*range(page.first[parent], page.first[best]), *range(page.last[best], page.last[parent])]
+        more = [b for b in more if not page.loose[b]]
         own = [b for b in more if container(page, page.owner[b]) == parent]
         if len(own) < len(more) and not any(page.tag[page.owner[b]] in HEADINGS for b in own):
             break
@@ -239,8 +278,8 @@ def ballot(html_: str, repeated: list[int]) -> tuple[int, int] | None:
 
 def read_text(html_: str, path: int | None, repeated: list[int]) -> tuple[str, bool]:
     """The text of the outermost containers with that path, if they hold half of what is fresh, or of the page's own choice."""
-    page = parse(html_)
-    sums = fresh(page, set(repeated))
+    page, often = parse(html_), set(repeated)
+    sums = fresh(page, often)
     chosen, end = [], 0
     for node in range(1, len(page.tag)) if path is not None else ():
         if page.path[node] == path and page.first[node] >= end and page.last[node] > page.first[node]:
@@ -249,7 +288,7 @@ def read_text(html_: str, path: int | None, repeated: list[int]) -> tuple[str, b
     by_host = bool(chosen) and 2 * sum(sums[page.last[x]] - sums[page.first[x]] for x in chosen) >= sums[-1]
     if not by_host:
         chosen = [best_container(page, sums)] if sums[-1] else [0]
-    return "\n\n".join(b for x in chosen for b in page.blocks[page.first[x] : page.last[x]]), by_host
+    return "\n\n".join(b for x in chosen for b in page.text(x, often)), by_host
 
 
 def host_of(url) -> F.Column:

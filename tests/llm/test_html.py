@@ -48,6 +48,34 @@ def test_a_host_helps_its_poor_pages(spark):
     assert got[9].text == other and not got[9].by_host
 
 
+def test_names_inside_the_article(spark):
+    """No name takes the article's own prose; what repeats, links and what is surely no article go, also inside it."""
+    make, rows, want = random.Random(5), [], {}
+    always = " ".join(["please share this with all of your friends"] * 4)
+    for i in range(8):
+        lead, title, body, past, shared = (sentence(make, n) for n in (12, 5, 40, 30, 25))
+        page = (
+            f"<body><header><p>{sentence(make, 9)}</p></header><main class='content'><h1>{title}</h1><p>{body}</p>"
+            f"<section class='promotion-history'><p>{past}</p></section><section class='share'><p>{shared}</p></section><div class='share-box'><p>{always}</p></div>"
+            f"<ul class='tags'><li><a href='/x'>{sentence(make, 3)}</a></li></ul><div class='post-comments'><p>{sentence(make, 30)}</p></div><div class='notice'><p>{sentence(make, 30)}</p></div></main></body>"
+        )
+        rows.append((i, "https://e.example/x", page))
+        want[i] = [title, body, past, shared]
+        page = f"<body><article><header><h1>{title}</h1><p>{lead}</p></header><div class='entry-header'><p>{past}</p></div><p>{body}</p><footer><p>{shared}</p></footer></article></body>"
+        rows.append((10 + i, "https://f.example/x", page))
+        want[10 + i] = [title, lead, past, body]
+    got = extracted(spark, rows)
+    assert {i: got[i].text.split("\n\n") for i in want} == want
+
+
+def test_loose_names_outside_a_container(spark):
+    """Without a container, names decide: a page of nothing else is empty."""
+    words = " ".join(["word"] * 30)
+    rows = [(1, None, f"<p>{words}</p><div class='promo'>{words} x</div>"), (2, None, f"<div class='banner'>{words}</div>"), (3, None, "<div class='share'></div>")]
+    got = extracted(spark, rows)
+    assert [got[i].text for i in (1, 2, 3)] == [words, "", ""]
+
+
 def test_deep_and_broken_markup(spark):
     started = time.time()
     deep = "<div>" * 80_000 + "the text" + "</div>" * 10
