@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cliploom.plans import cued, more, oracles, ranked, scoped, windowed  # noqa: F401  (they register their queries)
+from cliploom.plans import charged, cued, more, oracles, ranked, scoped, windowed  # noqa: F401  (they register their queries)
 from cliploom.plans.queries import ORACLES, QUERIES
 
 
