@@ -31,7 +31,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "markov")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+#: Tokens; "=" separates them, but for the padding at the end of a key.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
 SAMPLE = 20_000
 SAMPLE_DOCS = 2_000
 #: A token is a secret from this ratio on: in all, and for each character (natural logarithms).

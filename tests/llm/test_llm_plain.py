@@ -329,6 +329,15 @@ def test_secret_model_on_held_out_samples(spark):
     assert sum(secrets.is_random(x, ratio, code) for x in names) / 2000 < 0.005
 
 
+def test_secrets_after_a_name(spark):
+    """A name before "=" does not water its value down; padding belongs to the key, and names alone are none."""
+    value = "Zx9Qw7Lp2Rt5Vb8Nm3"
+    texts = [f"api-endpoint-configuration-value={value}", f"{value}==", "api-endpoint-configuration-value=another-ordinary-configuration", f"x={value}={value}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r.spans for r in secrets.scan(docs, secrets.fit(table(spark, SF, "documents"))).collect()}
+    assert got == {0: "markov:33:51", 1: "markov:0:20", 2: "", 3: "markov:2:21,markov:21:39"}
+
+
 def test_secrets_of_letters_alone(spark):
     docs = spark.createDataFrame([(1, "take qWzKpVxJrTbNmGhL now"), (2, "take internationalization now"), (3, "pa\u017f\u017fword=abcdefgh to\u212aen=12345678")], "doc_id long, text string")
     got = {r.doc_id: r for r in secrets.scan(docs, secrets.fit(table(spark, SF, "documents"))).collect()}
