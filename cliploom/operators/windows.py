@@ -40,6 +40,8 @@ PAYOFF_CUES = (
 )
 
 HOP_MS = 500
+#: Hops that meet their words together.
+BLOCK_HOPS = 16
 NANO = 1_000_000_000
 #: Bound scores are counted in parts of this many, in which every weight is whole.
 UNIT = 220_000
@@ -50,6 +52,11 @@ def _present(text: Column, phrases, weight: float) -> Column:
     return reduce(lambda a, b: a + b, (text.contains(p).cast("int") for p in phrases)) * weight
 
 
+def _times(text: Column, phrase: str) -> Column:
+    """How often a phrase of ASCII letters stands in the text, without overlap."""
+    return ((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(phrase), F.lit("")))) / len(phrase)).cast("int")
+
+
 def _capped(score: Column) -> Column:
     return F.least(F.lit(1.0), score)
 
@@ -57,23 +64,36 @@ def _capped(score: Column) -> Column:
 def lite_scores(words: DataFrame, half_ms: int = 2_000) -> DataFrame:
     """(episode_id, hop, seven scores) for every half second of an episode, from the words that start within ±2 s.
 
-    Each word goes to the nine hops it touches, so a hop's text is bounded by the speech of four seconds. Hops without
-    words score 0. Words without a start are left out; a null word counts as an empty one.
+    Words meet hops in blocks of sixteen hops: a word goes to the one or two blocks it touches, and a block gives its hops
+    and those of the silence after it. Hops without words score 0. Words without a start are left out; a null word counts
+    as an empty one.
     """
     words = words.where("start_ms is not null").withColumn("w", F.coalesce("w", F.lit("")))
-    last = words.groupBy("episode_id").agg(F.floor(F.max(F.greatest("end_ms", "start_ms")) / HOP_MS).alias("last"))
-    grid = last.select("episode_id", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("hop"))
-    low = F.greatest(F.ceil((F.col("start_ms") - half_ms) / HOP_MS), F.lit(0))
-    spread = words.select("episode_id", "start_ms", "word_idx", "w", F.explode(F.sequence(low, F.floor((F.col("start_ms") + half_ms) / HOP_MS))).alias("hop"))
-    texts = spread.groupBy("episode_id", "hop").agg(F.sort_array(F.collect_list(F.struct("start_ms", "word_idx", "w"))).alias("_rows"))
-    texts = texts.withColumn("_text", F.trim(F.concat_ws(" ", F.transform("_rows", lambda r: r["w"])))).withColumn("_low", F.lower("_text"))
-    rows = grid.join(texts.drop("_rows"), ["episode_id", "hop"], "left")
-    text, low = F.coalesce("_text", F.lit("")), F.coalesce("_low", F.lit(""))
-    parts = F.filter(F.split(low, r"\s+"), lambda p: p != "")
-    n, chars = F.size(parts), F.length(F.regexp_replace(text, r"\s+", ""))
-    asking = reduce(lambda a, b: a + b, (F.regexp_count(low, F.lit(p)) for p in ASKING)) * 0.1
+    low, high = F.greatest(F.ceil((F.col("start_ms") - half_ms) / HOP_MS), F.lit(0)), F.floor((F.col("start_ms") + half_ms) / HOP_MS)
+    touched = F.sequence(F.floor(low / BLOCK_HOPS), F.floor(F.greatest(low, high) / BLOCK_HOPS))
+    spread = words.select("episode_id", "start_ms", "end_ms", "word_idx", "w", F.explode(touched).alias("_block"))
+    word = F.struct("start_ms", "word_idx", "w")
+    blocks = spread.groupBy("episode_id", "_block").agg(F.sort_array(F.collect_list(word)).alias("_words"), F.max(F.greatest("end_ms", "start_ms")).alias("_end"))
+    order = Window.partitionBy("episode_id").orderBy("_block")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    blocks = blocks.withColumn("_last", F.floor(F.max("_end").over(whole) / HOP_MS)).withColumn("_next", F.lead("_block").over(order))
+    blocks = blocks.withColumn("_from", F.when(F.lag("_block").over(order).isNull(), 0).otherwise(F.col("_block") * BLOCK_HOPS).cast("long"))
+    blocks = blocks.withColumn("_to", F.least(F.coalesce(F.col("_next") * BLOCK_HOPS - 1, "_last"), "_last").cast("long")).where("_from <= _to")
+
+    def heard(hop: Column) -> Column:
+        near = F.filter("_words", lambda r: F.abs(r["start_ms"] - hop * HOP_MS) <= half_ms)
+        return F.struct(hop.alias("hop"), F.trim(F.concat_ws(" ", F.transform(near, lambda r: r["w"]))).alias("_text"))
+
+    rows = blocks.select("episode_id", F.explode(F.transform(F.sequence("_from", "_to"), heard)).alias("x")).select("episode_id", "x.*")
+    # columns of their own: what a lambda repeats is then computed once for each hop
+    rows = rows.withColumn("_low", F.lower("_text")).withColumn("_parts", F.filter(F.split("_low", r"\s+"), lambda p: p != ""))
+    rows = rows.withColumn("_n", F.size("_parts")).withColumn("_bytes", F.octet_length("_low"))
+    text, low, parts, n = (F.col(c) for c in ("_text", "_low", "_parts", "_n"))
+    chars = F.length(F.regexp_replace(text, r"\s+", ""))
+    asking = reduce(lambda a, b: a + b, (_times(low, p) for p in ASKING)) * 0.1
     threes = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(parts, i, 3)))
-    again = (n > 3) & F.exists(threes, lambda g: F.length(low) - F.length(F.replace(low, g, F.lit(""))) > F.length(g))
+    # a run of three words comes again only if its middle word does
+    again = (n > 3) & (F.size(F.array_distinct(parts)) < n) & F.exists(threes, lambda g: F.col("_bytes") - F.octet_length(F.replace(low, g, F.lit(""))) > F.octet_length(g))
     listed = text.rlike(r"[0-9]+\.|[•·-]")
     scores = {
         "hook": asking + _present(low, CURIOUS, 0.2) + F.regexp_count(text, F.lit("[?]")) * 0.15,
@@ -98,7 +118,7 @@ def hotness_curve(grid: DataFrame) -> DataFrame:
     """
     total = reduce(lambda a, b: a + b, (F.coalesce(F.col(c), F.lit(0.0)) * w for c, w in SHARES.items() if c in grid.columns))
     rows = grid.select("episode_id", "hop", F.round(total * NANO).cast("long").alias("raw"))
-    rows = rows.withColumn("last", F.max("hop").over(Window.partitionBy("episode_id")))
+    rows = rows.withColumn("last", F.max("hop").over(_hops().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
 
     def mean(half: int) -> Column:
         around = _hops().rowsBetween(-half, half)
@@ -109,10 +129,14 @@ def hotness_curve(grid: DataFrame) -> DataFrame:
 
 
 def hot_peaks(curve: DataFrame) -> DataFrame:
-    """Strict local maxima, highest first, 6 s apart (4 s in episodes under ten minutes), 20 to 60 of them by length."""
+    """Strict local maxima, highest first, 6 s apart (4 s in episodes under ten minutes), 20 to 60 of them by length.
+
+    The maxima are written once, as the selection counts its groups before it reads them.
+    """
     rows = curve.withColumn("_a", F.lag("hot").over(_hops())).withColumn("_b", F.lead("hot").over(_hops())).where("hot > _a and hot > _b")
     # places in thirds or halves of a hop: 4 s and 6 s are then the same distance
     rows = rows.withColumn("place", F.col("hop") * F.when(F.col("last") * HOP_MS < 600_000, 3).otherwise(2))
+    rows = written(rows.select("episode_id", "hop", "hot", "last", "place"), "maxima")
     picked = greedy_keep(rows, "episode_id", [-F.col("hot"), F.col("hop")], ["hop", "hot", "last", "place"], large.Near(("place",), 23), limit=60)
     k = F.least(F.greatest(F.floor(F.col("last") * HOP_MS * 1.5 / 60_000), F.lit(20)), F.lit(60))
     return picked.where(F.col("pick") <= k).select("episode_id", "hop", "hot", F.col("pick").cast("long").alias("pick"))

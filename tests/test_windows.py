@@ -55,3 +55,21 @@ def test_discovery_of_nothing_and_of_one_hot_place(spark):
     rows = windows.discover_windows(words, marks(spark, 45_000, 60_000), least_heat=0.0).collect()
     assert rows and all(r.start_ms <= 50_000 < r.end_ms for r in rows if r.rank == 1)
     assert windows.discover_windows(words.limit(0), marks(spark, 1), least_heat=0.0).count() == 0
+
+
+def test_lite_scores_read_their_words_once_and_meet_them_across_blocks(spark):
+    edges = [(f"w{i}", t, t + 40) for i, t in enumerate((0, 5_999, 6_000, 9_500, 10_000, 10_001, 60_000))]
+    words = said(spark, *edges)
+    scores = windows.lite_scores(words)
+    got = {r.hop: round(r.info, 9) for r in scores.collect()}
+    heard = {hop: [w for w, t, _ in edges if abs(t - hop * 500) <= 2_000] for hop in range(121)}
+    want = {hop: round(len(ws) / 20 * (sum(map(len, ws)) / len(ws) / 5), 9) if ws else 0.0 for hop, ws in heard.items()}
+    assert got == want
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Scan ") == 1
+
+
+def test_peaks_are_counted_and_read_from_one_table(spark):
+    curve = spark.createDataFrame([(1, i, 99, (i * 37) % 11) for i in range(100)], "episode_id long, hop long, last long, hot long")
+    peaks = windows.hot_peaks(curve)
+    assert peaks.count() and any("maxima-" in f for f in peaks.inputFiles())
