@@ -31,11 +31,14 @@ def range_join(
     Both sides are put into time bins and joined on (key, bin); a pair is taken in the first bin that both touch,
     so it comes once. Long keys (a single very long episode) spread over their bins. For how="left", rows that met
     nothing are found by their values (equal rows meet the same), so a task that runs again finds the same ones.
+
+    The sides are sorted and merged: how many rows an interval becomes is not in Spark's estimate, so a side that looks
+    small enough to be sent to every task may not be.
     """
     a = left.withColumn("_bin", F.explode(_bins(F.col(left_span[0]), F.col(left_span[1]), bin_ms)))
     b = right.withColumnRenamed(by, "_key").withColumn("_other", F.explode(_bins(F.col(right_span[0]), F.col(right_span[1]), bin_ms)))
     first = F.greatest(F.floor(F.col(left_span[0]) / bin_ms), F.floor(F.col(right_span[0]) / bin_ms))
-    joined = a.join(b, (F.col(by) == F.col("_key")) & (F.col("_bin") == F.col("_other")) & (F.col("_bin") == first) & condition(a, b))
+    joined = a.join(b.hint("merge"), (F.col(by) == F.col("_key")) & (F.col("_bin") == F.col("_other")) & (F.col("_bin") == first) & condition(a, b))
     joined = joined.drop("_bin", "_other", "_key")
     if how == "inner":
         return joined

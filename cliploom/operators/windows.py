@@ -175,19 +175,20 @@ def snap_to_marks(centres: DataFrame, eos: DataFrame, words: DataFrame, reach_ms
         first((F.col("side") == "e") & (F.col("kind") == "close")).alias("_e2"),
     )
     live = words.select("episode_id").distinct().join(eos.select("episode_id").distinct(), "episode_id").withColumn("_live", F.lit(True))
-    rows = targets.join(found, key, "left").join(live, "episode_id", "left").withColumn("_live", F.coalesce("_live", F.lit(False)))
+    rows = targets.join(found.hint("merge"), key, "left").join(live, "episode_id", "left").withColumn("_live", F.coalesce("_live", F.lit(False)))
     grade = lambda a, b: F.when(F.col(a).isNotNull(), 1.0).when(F.col(b).isNotNull(), 0.8).otherwise(0.0)
     at = lambda a, b, target: F.when(F.col("_live"), F.coalesce(a, b, target)).otherwise(F.col(target)).cast("long")
     malus = F.when(F.coalesce("_s1", "_s2").isNull(), 0.01).otherwise(0.0) + F.when(F.coalesce("_e1", "_e2").isNull(), 0.02).otherwise(0.0)
     quality = F.when(F.col("_live"), (grade("_s1", "_s2") + grade("_e1", "_e2")) / 2 - malus).otherwise(0.0)
     snapped = rows.select(*key, at("_s1", "_s2", "_from").alias("start_ms"), at("_e1", "_e2", "_to").alias("end_ms"), F.round(quality, 4).alias("quality"))
-    return centres.join(snapped, key)
+    return centres.join(snapped.hint("merge"), key)
 
 
 def hot_windows(tops: DataFrame, curve: DataFrame, eos: DataFrame, words: DataFrame, keep: int = 2, lengths=LENGTHS, ms=(7_000, 120_000)) -> DataFrame:
     """The best `keep` snapped windows of each peak by mean hotness (then quality): all lengths at once, no search in steps.
 
-    The mean is a difference of two running sums of the curve, each met by an equi-join on (episode, hop).
+    The mean is a difference of two running sums of the curve, each met by an equi-join on (episode, hop). The joins here
+    and in `snap_to_marks` merge sorted sides: written tables are small by their bytes, not by their rows.
     """
     sizes = F.explode(F.array(*(F.lit(x).cast("long") for x in lengths)))
     centres = tops.select("episode_id", F.col("hop").alias("peak"), (F.col("hop") * HOP_MS).alias("centre_ms"), sizes.alias("size_ms"))
@@ -199,7 +200,7 @@ def hot_windows(tops: DataFrame, curve: DataFrame, eos: DataFrame, words: DataFr
     rows = rows.join(ends, "episode_id").withColumn("_a", F.ceil(F.col("start_ms") / HOP_MS) - 1).withColumn("_b", F.least(F.ceil(F.col("end_ms") / HOP_MS) - 1, F.col("_last")))
     before = sums.select("episode_id", F.col("hop").alias("_a"), F.col("_sum").alias("_before"))
     until = sums.select("episode_id", F.col("hop").alias("_b"), F.col("_sum").alias("_until"))
-    rows = rows.where("_b > _a").join(before, ["episode_id", "_a"], "left").join(until, ["episode_id", "_b"])
+    rows = rows.where("_b > _a").join(before.hint("merge"), ["episode_id", "_a"], "left").join(until.hint("merge"), ["episode_id", "_b"])
     heat = F.floor((F.col("_until") - F.coalesce("_before", F.lit(0))) / (F.col("_b") - F.col("_a"))).cast("long")
     rank = F.row_number().over(Window.partitionBy("episode_id", "peak").orderBy(F.desc("heat"), F.desc("quality"), "start_ms", "end_ms"))
     return rows.withColumn("heat", heat).withColumn("_rank", rank).where(F.col("_rank") <= keep).select("episode_id", "peak", "start_ms", "end_ms", "heat", "quality")
@@ -219,7 +220,7 @@ def discover_windows(words: DataFrame, eos: DataFrame, least_heat: float = 0.1,
     kept = greedy_keep(rows, "episode_id", order, ["start_ms", "end_ms", "heat", "quality"], large.Overlap(overlap), limit=40)
     minutes = words.groupBy("episode_id").agg(F.floor(F.max("end_ms") / 60_000).alias("_minutes"))
     least = F.least(F.greatest("_minutes", F.lit(20)), F.lit(40))
-    rows = kept.join(minutes, "episode_id").where(F.col("pick") <= least)
+    rows = kept.join(minutes.hint("merge"), "episode_id").where(F.col("pick") <= least)
     return rows.select("episode_id", "start_ms", "end_ms", (F.col("heat") / NANO).alias("heat"), "quality", F.col("pick").cast("long").alias("rank"))
 
 

@@ -1,6 +1,11 @@
 """Windows by hotness, snapping and bounds on worked cases."""
 
+import re
+
+from pyspark.sql import functions as F
+
 from cliploom.operators import windows
+from cliploom.operators.patterns import range_join
 
 WORDS = "episode_id long, word_idx long, w string, start_ms long, end_ms long"
 
@@ -61,11 +66,11 @@ def test_lite_scores_read_their_words_once_and_meet_them_across_blocks(spark):
     edges = [(f"w{i}", t, t + 40) for i, t in enumerate((0, 5_999, 6_000, 9_500, 10_000, 10_001, 60_000))]
     words = said(spark, *edges)
     scores = windows.lite_scores(words)
+    plan = scores._jdf.queryExecution().executedPlan().toString()
     got = {r.hop: round(r.info, 9) for r in scores.collect()}
     heard = {hop: [w for w, t, _ in edges if abs(t - hop * 500) <= 2_000] for hop in range(121)}
     want = {hop: round(len(ws) / 20 * (sum(map(len, ws)) / len(ws) / 5), 9) if ws else 0.0 for hop, ws in heard.items()}
     assert got == want
-    plan = scores._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Scan ") == 1
 
 
@@ -73,3 +78,16 @@ def test_peaks_are_counted_and_read_from_one_table(spark):
     curve = spark.createDataFrame([(1, i, 99, (i * 37) % 11) for i in range(100)], "episode_id long, hop long, last long, hot long")
     peaks = windows.hot_peaks(curve)
     assert peaks.count() and any("maxima-" in f for f in peaks.inputFiles())
+
+
+def test_joins_of_windows_send_no_side_to_every_task(spark):
+    words = said(spark, ("a.", 0, 300), ("b.", 400, 700), ("c", 9_000, 9_300))
+    centres = spark.createDataFrame([(1, 5_000, 8_000)], "episode_id long, centre_ms long, size_ms long")
+    curve = spark.createDataFrame([(1, i, 30, 5) for i in range(31)], "episode_id long, hop long, last long, hot long")
+    tops = spark.createDataFrame([(1, 10)], "episode_id long, hop long")
+    met = range_join(centres.withColumn("to", F.col("centre_ms") + 1), words, "episode_id", ("centre_ms", "to"), ("start_ms", "end_ms"), lambda a, b: F.lit(True))
+    found = windows.hot_windows(tops, curve, marks(spark, 300, 9_500), words)
+    for df in (met, found):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        sent = [line for line in plan.splitlines() if "BroadcastHashJoin" in line and re.search("hop|_bin|centre_ms|_a#|_b#", line)]
+        assert "SortMergeJoin" in plan and not sent
