@@ -468,17 +468,41 @@ def hop_features(words: DataFrame, hop_ms: int = 500, half_ms: int = 2_000) -> D
 
 
 def refine_grid(clips: DataFrame, segments: DataFrame, step_ms: int = 300) -> DataFrame:
-    """The best of 25 shifts of both ends by up to ±0.6 s: most text for the time, near the middle length."""
-    offsets = F.array(*(F.lit(i * step_ms).cast("long") for i in range(-2, 3)))
-    rows = clips.select("episode_id", F.col("clip_id").alias("base_id"), "start_ms", "end_ms")
-    rows = rows.withColumn("a", F.explode(offsets)).withColumn("b", F.explode(offsets))
-    grid = rows.select("episode_id", F.concat_ws("|", "base_id", "a", "b").alias("clip_id"), F.greatest(F.col("start_ms") + F.col("a"), F.lit(0)).alias("start_ms"), (F.col("end_ms") + F.col("b")).alias("end_ms")).where("end_ms > start_ms")
-    scored = segment_window_text(segments, grid)
-    seconds = (F.col("end_ms") - F.col("start_ms")) / 1000
-    value = F.round(F.size(F.split(F.trim("text"), r"\s+")) / seconds - F.abs(seconds - 18) / 18, 6)
-    scored = scored.withColumn("base_id", F.element_at(F.split("clip_id", r"\|"), 1)).withColumn("value", value)
-    rank = F.row_number().over(Window.partitionBy("episode_id", "base_id").orderBy(F.desc("value"), "start_ms", "end_ms"))
-    return scored.withColumn("rank", rank).where("rank = 1").select("episode_id", F.col("base_id").alias("clip_id"), "start_ms", "end_ms", "value")
+    """The best of 25 shifts of both ends by up to ±0.6 s: most text for the time, near the middle length.
+
+    A clip meets its segments once, in its widest shift; what moves of a segment is its number of words, not its text.
+    """
+    reach = 2 * step_ms
+    text = F.coalesce("text", F.lit(""))
+    edge = lambda at: F.when(F.trim(text) != "", at.cast("int"))
+    counted = segments.select(
+        "episode_id", "seg_idx", "start_ms", "end_ms", F.regexp_count(text, F.lit(r"\S+")).alias("_words"),
+        edge(F.ltrim(text).rlike(r"\A\s")).alias("_head"), edge(F.rtrim(text).rlike(r"\s\z")).alias("_tail"),
+    )
+    wide = clips.select("episode_id", "clip_id", F.col("start_ms").alias("clip_start"), F.col("end_ms").alias("clip_end"))
+    wide = wide.withColumn("_lo", F.greatest(F.col("clip_start") - reach, F.lit(0))).withColumn("_hi", F.col("clip_end") + reach)
+    more = lambda a, b: F.least("end_ms", "_hi") - F.greatest("start_ms", "_lo") > 500
+    met = range_join(counted, wide, "episode_id", ("start_ms", "end_ms"), ("_lo", "_hi"), more)
+    segment = F.struct("seg_idx", "start_ms", "end_ms", "_words", "_head", "_tail")
+    rows = met.groupBy("episode_id", "clip_id", "clip_start", "clip_end").agg(F.sort_array(F.collect_list(segment)).alias("_met"))
+    shifts = [i * step_ms for i in range(-2, 3)]
+    cells = F.array(*(F.struct(F.greatest(F.col("clip_start") + a, F.lit(0)).alias("a"), (F.col("clip_end") + b).alias("b")) for a in shifts for b in shifts))
+
+    def filled(c: Column) -> Column:
+        inside = F.filter("_met", lambda s: F.least(s["end_ms"], c["b"]) - F.greatest(s["start_ms"], c["a"]) > 500)
+        return F.struct(c["a"].alias("a"), c["b"].alias("b"), inside.alias("inside"))
+
+    def valued(c: Column) -> Column:
+        # parts of the texts joined by spaces, trimmed and split at white space: an edge other than a space has an empty part beyond it
+        known = lambda name: F.array_compact(F.transform(c["inside"], lambda s: s[name]))
+        outer = F.coalesce(F.get(known("_head"), F.lit(0)), F.lit(0)) + F.coalesce(F.try_element_at(known("_tail"), F.lit(-1)), F.lit(0))
+        n = F.greatest(F.aggregate(c["inside"], F.lit(0), lambda total, s: total + s["_words"]) + outer, F.lit(1))
+        seconds = (c["b"] - c["a"]) / 1000
+        return F.struct(F.round(n / seconds - F.abs(seconds - 18) / 18, 6).alias("value"), (-c["a"]).alias("start"), (-c["b"]).alias("end"))
+
+    taken = F.filter(F.transform(F.filter(cells, lambda c: c["b"] > c["a"]), filled), lambda c: F.size(c["inside"]) > 0)
+    rows = rows.select("episode_id", "clip_id", F.array_max(F.transform(taken, valued)).alias("_best")).where("_best is not null")
+    return rows.select("episode_id", "clip_id", (-F.col("_best.start")).alias("start_ms"), (-F.col("_best.end")).alias("end_ms"), F.col("_best.value").alias("value"))
 
 
 def extend_end(clips: DataFrame, eos: DataFrame, more_ms: int = 5_000, most_ms: int | None = None) -> DataFrame:

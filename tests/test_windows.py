@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from cliploom.operators import windows
+from cliploom.operators import sequence, windows
 from cliploom.operators.patterns import range_join
 
 WORDS = "episode_id long, word_idx long, w string, start_ms long, end_ms long"
@@ -91,3 +91,21 @@ def test_joins_of_windows_send_no_side_to_every_task(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         sent = [line for line in plan.splitlines() if "BroadcastHashJoin" in line and re.search("hop|_bin|centre_ms|_a#|_b#", line)]
         assert "SortMergeJoin" in plan and not sent
+
+
+def test_refine_grid_counts_the_joined_text_and_moves_no_text(spark):
+    texts = [(0, 4_000, " a b\t"), (4_000, 8_000, "   "), (8_000, 12_000, "\tc  d e "), (12_000, 16_000, None), (16_000, 20_000, "f g\n")]
+    segments = spark.createDataFrame([(1, i, a, b, t) for i, (a, b, t) in enumerate(texts)], "episode_id long, seg_idx int, start_ms long, end_ms long, text string")
+    spans = {"x": (4_200, 11_900), "y": (0, 4_300), "z": (12_600, 15_800), "far": (90_000, 99_000)}
+    clips = spark.createDataFrame([(1, k, a, b) for k, (a, b) in spans.items()], "episode_id long, clip_id string, start_ms long, end_ms long")
+
+    def value(a, b):
+        inside = [t for s, e, t in texts if min(e, b) - max(s, a) > 500]
+        seconds = (b - a) / 1000
+        return inside and round(len(re.split(r"\s+", " ".join(t for t in inside if t is not None).strip(" "))) / seconds - abs(seconds - 18) / 18, 6)
+
+    steps = range(-600, 601, 300)
+    want = {k: max(((v, -s, -e) for s in (max(a + i, 0) for i in steps) for e in (b + j for j in steps) if (v := value(s, e)) or v == 0), default=None) for k, (a, b) in spans.items()}
+    refined = sequence.refine_grid(clips, segments)
+    assert "text" not in [line for line in refined._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line or "Generate" in line].__str__()
+    assert {r.clip_id: (r.value, -r.start_ms, -r.end_ms) for r in refined.collect()} == {k: v for k, v in want.items() if v}
