@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cliploom.operators.features import clamp, sigmoid
 from cliploom.operators.large import LARGE_GROUP
 from cliploom.operators.quantiles import order_statistics, quantiles
+from cliploom.operators.written import written
 
 
 def znorm(df: DataFrame, by: str, column: str = "final_score") -> DataFrame:
@@ -118,12 +119,16 @@ def doc_terms(docs: DataFrame, key: str, text: str = "text", pattern: str = r"[\
 
 
 def tfidf(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, term, tfidf): share in the text times ln((N + 1) / (1 + df)) + 1. Counts are summed before they move."""
-    terms = doc_terms(docs, key, text)
-    sizes = terms.groupBy(key).agg(F.sum("n").alias("size"))
+    """(key, term, tfidf): share in the text times ln((N + 1) / (1 + df)) + 1.
+
+    Texts move by key before they become words, so a text's terms and their total are counted where it lies; the counts
+    are written once and read for the frequencies and for the shares.
+    """
+    terms = doc_terms(docs.select(key, text).repartition(key), key, text)
+    terms = written(terms.withColumn("size", F.sum("n").over(Window.partitionBy(key))), "terms")
     df = terms.groupBy("term").agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*").alias("total"))
-    rows = terms.join(sizes, key).join(df, "term").crossJoin(F.broadcast(total))
+    rows = terms.where(F.col(key).isNotNull()).join(df, "term").crossJoin(F.broadcast(total))
     return rows.select(key, "term", F.round(F.col("n") / F.col("size") * (F.log((F.col("total") + 1) / (1 + F.col("df"))) + 1), 6).alias("tfidf"))
 
 
@@ -138,8 +143,11 @@ def tfidf_cosine(vectors: DataFrame, key: str, by: str) -> DataFrame:
 
 
 def top_keywords(docs: DataFrame, key: str, k: int = 10, stop: tuple[str, ...] = (), least_chars: int = 3) -> DataFrame:
-    """(key, rank, term, score): frequency, plus 5 for a capital, 3 for digits and a tenth a letter."""
-    ws = docs.select(key, F.posexplode(F.regexp_extract_all("text", F.lit(r"[\p{L}0-9']+"), 0)).alias("at", "w"))
+    """(key, rank, term, score): frequency, plus 5 for a capital, 3 for digits and a tenth a letter.
+
+    Texts move by key before they become words; the terms are counted and ranked where the text lies.
+    """
+    ws = docs.select(key, "text").repartition(key).select(key, F.posexplode(F.regexp_extract_all("text", F.lit(r"[\p{L}0-9']+"), 0)).alias("at", "w"))
     capital = F.max((F.col("w").rlike(r"^\p{Lu}") & (F.col("at") > 0)).cast("int"))
     terms = ws.withColumn("term", F.lower("w")).where(F.length("term") >= least_chars)
     if stop:
