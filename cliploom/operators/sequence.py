@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cliploom.operators.joins import next_eos, ordered_text, prev_eos, segment_window_text
 from cliploom.operators import large
 from cliploom.operators.patterns import islands, ordered_fold, range_join
+from cliploom.operators.written import written
 
 ENDS = r"[.!?]$"
 CLOSED = r"[.!?][\"')\]\u201D\u2019\u00BB\u203A]*\s*$"
@@ -141,7 +142,10 @@ def eos_from_gaps(segments: DataFrame, gap_ms: int = 300, words_after: int = 8)
 
 
 def thin_marks(marks: DataFrame, tolerance_ms: int = 250, large_group: int = large.LARGE_GROUP) -> DataFrame:
-    """Marks of which each is more than the tolerance after the last one kept."""
+    """Marks of which each is more than the tolerance after the last one kept.
+
+    The marks are written once, as their groups are counted before they are read.
+    """
 
     def step(kept: Column, x: Column) -> Column:
         near = (F.size(kept) > 0) & (x["t_ms"] - F.element_at(kept, -1) <= tolerance_ms)
@@ -161,14 +165,14 @@ def thin_marks(marks: DataFrame, tolerance_ms: int = 250, large_group: int = lar
 
         return take, lambda: ()
 
-    rows = marks.where("t_ms is not null").select("episode_id", F.col("t_ms").cast("long").alias("t_ms")).distinct()
+    rows = written(marks.where("t_ms is not null").select("episode_id", F.col("t_ms").cast("long").alias("t_ms")).distinct(), "marks")
     return large.by_size(rows, "episode_id", fold, lambda r: large.ordered_stream(r, "episode_id", [F.col("t_ms")], ["t_ms"], begin, "t_ms long"), large_group)
 
 
 def unify_marks(marks: DataFrame, word_marks: DataFrame, tolerance_ms: int = 250) -> DataFrame:
     """Both sets as one, thinned, each mark moved to the nearest word-based mark within the tolerance."""
-    kept = thin_marks(marks.select("episode_id", "t_ms").union(word_marks.select("episode_id", "t_ms")), tolerance_ms)
-    words = word_marks.select("episode_id", "t_ms")
+    words = written(word_marks.select("episode_id", "t_ms"), "word-marks")
+    kept = thin_marks(marks.select("episode_id", "t_ms").union(words), tolerance_ms)
     rows = prev_eos(next_eos(kept.withColumnRenamed("t_ms", "at_ms"), words, "at_ms"), words, "at_ms")
     ahead, behind = F.col("next_ms") - F.col("at_ms"), F.col("at_ms") - F.col("prev_ms")
     use_prev = F.coalesce(behind <= tolerance_ms, F.lit(False)) & (F.col("next_ms").isNull() | (behind <= ahead))
