@@ -144,11 +144,23 @@ def vectors(docs: DataFrame, terms: list[str], carried: str = "doc_id long") ->
     return docs.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in carried.split(", ")], "text").mapInArrow(count, f"{carried}, at array<int>, n array<int>")
 
 
+def document_frequencies(counted: DataFrame, size: int) -> DataFrame:
+    """t, n: texts of each batch that hold term t. A task gives at most `size` rows a batch, however many terms its texts hold."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.bincount(batch.column("at").flatten().to_numpy(zero_copy_only=False), minlength=size)
+            held = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(n[held], pa.int64())], names=["t", "n"])
+
+    return counted.select("at").mapInArrow(count, "t int, n long")
+
+
 def idf_of(counted: DataFrame, size: int, total: int) -> np.ndarray:
     """Inverse document frequency of each known term, over all `total` documents."""
     df = np.zeros(size)
-    for r in counted.select(F.explode("at").alias("t")).groupBy("t").count().collect():
-        df[r.t] = r["count"]
+    for r in document_frequencies(counted, size).groupBy("t").agg(F.sum("n").alias("n")).collect():
+        df[r.t] = r.n
     return np.log((1 + total) / (1 + df)) + 1
 
 

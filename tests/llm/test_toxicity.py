@@ -65,3 +65,13 @@ def test_odd_rows(spark):
     for d, l in ((docs.limit(0), labels), (docs, labels.limit(0))):
         model, counted = toxicity.fit(spark, d, l)
         assert {r.score for r in toxicity.score(spark, counted, model).collect()} <= {0.0}
+
+
+def test_frequencies_move_once_a_term(spark):
+    """Many copies of texts with all the terms: rows grow with the terms and batches, not with what the copies hold."""
+    at = [list(range(40))] * 900 + [[3], [], [7, 39]] * 100
+    counted = spark.createDataFrame([(a,) for a in at], "at array<int>").coalesce(2)
+    moved = toxicity.document_frequencies(counted, 41)
+    assert moved.count() <= 2 * 41
+    df = np.array([900 + 100 * (t == 3) + 100 * (t in (7, 39)) for t in range(40)] + [0])
+    assert np.allclose(toxicity.idf_of(counted, 41, len(at)), np.log((1 + len(at)) / (1 + df)) + 1)
