@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from cliploom.operators.features import clamp, sigmoid
 from cliploom.operators.large import LARGE_GROUP
 from cliploom.operators.quantiles import order_statistics, quantiles
 from cliploom.operators.written import written
 
+#: Bytes of text whose runs of words are counted together inside a task.
+NGRAM_BYTES = 8 << 20
+
 
 def znorm(df: DataFrame, by: str, column: str = "final_score") -> DataFrame:
     """sigmoid(2 z) of a column in its group; min-max where it hardly varies, 0.5 where it does not."""
@@ -173,25 +182,49 @@ def ngrams(docs: DataFrame, n: int, key: str | None = None, stop: tuple[str, ...
 def ngram_table(docs: DataFrame, lengths: tuple[int, ...] = (1, 2, 3), key: str | None = None, stop: tuple[str, ...] = (), least: int = 1) -> DataFrame:
     """(key, n, ngram, count): runs of each of `lengths` words whose ends are no stop words, from one pass over the texts.
 
-    All lengths leave the scan as rows (n, ngram) of one exchange and are summed on the map side before it.
+    Spark cuts the words. Runs are numbered and counted in slices of the Arrow batches, so each distinct run of a slice leaves
+    it once, with its count; one exchange sums them.
     """
-    ws = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}0-9']+"), 0)
+    said = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}0-9']+", " "))
     keys = [key] if key else []
-    rows = docs.select(*keys, ws.alias("ws"))
-
-    # Runs of n words are those of n - 1 with the next word each.
-    runs, levels = F.col("ws"), {}
+    schema = StructType([*(docs.schema[k] for k in keys), StructField("n", IntegerType()), StructField("ngram", StringType()), StructField("count", LongType())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("said")
+            ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+            cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(NGRAM_BYTES, ends[-1] if len(ends) else 0, NGRAM_BYTES)) + 1, len(texts)])
+            for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                for n, row, ngram, times in _ngrams(texts.slice(low, high - low), lengths, bool(key), stop):
+                    kept = [batch.column(k).take(pa.array(row + low)) for k in keys]
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array(np.full(len(times), n, np.int32)), ngram, pa.array(times, pa.int64())], names=schema.names)
+
+    listed = docs.select(*keys, said.alias("said")).mapInArrow(count, schema)
+    return listed.groupBy(*keys, "n", "ngram").agg(F.sum("count").alias("count")).where(F.col("count") >= least)
+
+
+def _ngrams(texts: pa.Array, lengths: tuple[int, ...], apart: bool, stop: tuple[str, ...]) -> Iterator[tuple[int, np.ndarray, pa.Array, np.ndarray]]:
+    """(n, row, ngram, count) of the distinct runs of words in texts of words between single spaces; of each text, if `apart`."""
+    lists = pc.split_pattern(texts, " ")
+    words, owner = lists.flatten(), np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    spoken = pc.not_equal(words, "")
+    words, owner = words.filter(spoken), owner[spoken.to_numpy(zero_copy_only=False)]
+    coded = words.dictionary_encode()
+    code, size = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
+    inner = ~pc.is_in(coded.dictionary, pa.array(stop, pa.string())).to_numpy(zero_copy_only=False)[code]
+    run = code
     for n in range(1, max(lengths) + 1):
         if n > 1:
-            shorter = F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0)))
-            runs = F.zip_with(shorter, F.slice("ws", n, F.greatest(F.size("ws"), F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-        rows = rows.withColumn(f"g{n}", runs)
-        runs = F.col(f"g{n}")
-        inner = (lambda n: lambda g, i: ~F.get("ws", i).isin(*stop) & ~F.get("ws", i + (n - 1)).isin(*stop))(n)
-        levels[n] = F.filter(runs, inner) if stop else runs
-    listed = rows.select(*keys, F.explode(F.array(*(F.struct(F.lit(n).alias("n"), levels[n].alias("grams")) for n in lengths))).alias("g"))
-    listed = listed.select(*keys, F.col("g.n").alias("n"), F.explode("g.grams").alias("ngram"))
-    return listed.groupBy(*keys, "n", "ngram").agg(F.count("*").alias("count")).where(F.col("count") >= least)
+            # A run of n words is one of n - 1, by its number, with the next word.
+            pair = run[: max(len(code) - n + 1, 0)] * size + code[n - 1 :]
+            run = np.unique(pair, return_inverse=True)[1].astype(np.int64)
+        at = np.flatnonzero((owner[: len(run)] == owner[n - 1 :]) & inner[: len(run)] & inner[n - 1 :])
+        if n not in lengths or not len(at):
+            continue
+        name = run[at] + owner[at] * (int(run.max()) + 1) if apart else run[at]
+        _, first, times = np.unique(name, return_index=True, return_counts=True)
+        first = at[first]
+        yield n, owner[first], pc.binary_join_element_wise(*(words.take(pa.array(first + i)) for i in range(n)), " ") if n > 1 else words.take(pa.array(first)), times
 
 
 def anchor_phrases(docs: DataFrame, key: str, anchors: dict[str, str], stop: tuple[str, ...] = (), reach: int = 6) -> DataFrame:

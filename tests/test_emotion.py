@@ -64,3 +64,14 @@ def test_nfkc(spark):
     table = str.maketrans("‘’‚“”„‐‑‒–—− ", "'''\"\"\"------ ")
     assert [r.t for r in rows] == [None if t is None else unicodedata.normalize("NFKC", t).translate(table).replace("…", "...") for t in texts]
     assert rows[0].t == "été" and rows[1].t.startswith("fish 1 123")
+
+
+def test_ngrams_leave_a_slice_once(spark, monkeypatch):
+    """Copies are counted before they move, and slices cut between texts add up."""
+    docs = spark.createDataFrame([("one two one two",), ("",), ("two",), (None,)] * 500, "text string").coalesce(1)
+    want = {(1, "one"): 1_000, (1, "two"): 1_500, (2, "one two"): 1_000, (2, "two one"): 500, (3, "one two one"): 500, (3, "two one two"): 500}
+    for size in (stats.NGRAM_BYTES, 100):
+        monkeypatch.setattr(stats, "NGRAM_BYTES", size)
+        found = stats.ngram_table(docs)
+        assert {(r.n, r.ngram): r["count"] for r in found.collect()} == want
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString() and "Generate" not in found._jdf.queryExecution().executedPlan().toString()
