@@ -293,8 +293,13 @@ def hook_v5_enhanced(
     more for a strong start within six words, less for hedges (half of that before strong words) and greetings; 0.20
     at most without evidence; a little more for arousal and questions. Texts under 8 characters 0."""
     text = F.translate(whole(text), "‘’‛‚", "''''")
-    t = F.lower(text)
-    toks = F.slice(F.regexp_extract_all(t, F.lit(r"[a-z0-9%$'()*+,\-.]+"), 0), 1, most)
+    toks = F.slice(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9%$'()*+,\-.]+"), 0), 1, most)
+    # The rule reads the tokens inside lambdas, which would cut the text again for every token; as a lambda's variable they are cut once.
+    cut = F.array(F.struct(text.alias("text"), toks.alias("toks")))
+    return F.get(F.transform(cut, lambda x: _hook_of_tokens(x["text"], x["toks"], families, arousal, q_list, k, early)), 0)
+
+
+def _hook_of_tokens(text: Column, toks: Column, families: list[tuple[str, str, float]], arousal: Column | None, q_list: Column | None, k: float, early: int) -> Column:
     window = lambda i: F.array_join(F.slice(toks, F.greatest(i - 1, F.lit(1)), i + 3 - F.greatest(i - 2, F.lit(0))), " ")
     found = lambda p: total(F.transform(toks, lambda w, i: F.when(window(i).rlike(f"(?i){p}"), 0.25 * F.exp(-i / k)).otherwise(0.0)))
     sums = [(found(p), w) for _, p, w in families]

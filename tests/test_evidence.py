@@ -89,3 +89,9 @@ def test_spelled_out_domains(spark):
 
 def test_contradiction_and_doubled_cue(spark):
     assert values(spark, lambda t: F.round(features.hook_v4(t), 6), ["zzz", "the secret", "most think but actually"]) == [0.2, 0.5, 0.35]
+
+
+def test_hook_cuts_its_tokens_once(spark):
+    text = spark.createDataFrame([("Why does nobody tell you? I built this, what if it grew 40%? Here's the truth.",)], "text string")
+    rows = text.select(E.hook_v5_enhanced(F.col("text"), [("a", r"\bwhat if\b", 0.2), ("b", r"\bi built\b", 0.1)]).alias("x"))
+    assert rows._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(") == 1 and 0 < rows.first().x < 1
