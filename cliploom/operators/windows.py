@@ -261,8 +261,13 @@ def _at_places(cells: Column, places: Column, reach: Callable[[Column], tuple[Co
     return F.transform(places, one)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once: inside lambdas Spark would compute it again wherever it is named."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _holds(text: Column, cues) -> Column:
-    return reduce(lambda a, b: a | b, (text.contains(c) for c in cues)).cast("int")
+    return _once(text, lambda x: reduce(lambda a, b: a | b, (x.contains(c) for c in cues)).cast("int"))
 
 
 def _place(here: Column, t: Column) -> tuple[Column, Column]:
@@ -305,10 +310,11 @@ def refine_by_cues(clips: DataFrame, words: DataFrame, reach_ms: int = 1_000, st
     def end_value(x: Column) -> Column:
         t = x["t"]
         gap, stop = _place(x["here"], t)
-        tail = _said(x["heard"])
-        open_ = _holds(F.lower(F.when(F.length(tail) > 120, F.substring(tail, -120, 120)).otherwise(tail)), OPEN_CUES)
-        close = _said(F.filter(x["heard"], lambda c: c["until"] >= F.greatest("_start", t - 1_400)))
-        closing = _holds(F.lower(close), PAYOFF_CUES) * _share(0.25) + close.rlike("[.!?]$").cast("int") * _share(0.12) - close.rlike(r"(?<![\p{L}\p{N}_])([A-Z][a-z]+|[0-9]+)$").cast("int") * _share(0.15)
+        last = _once(_said(x["heard"]), lambda tail: F.lower(F.when(F.length(tail) > 120, F.substring(tail, -120, 120)).otherwise(tail)))
+        open_ = _holds(last, OPEN_CUES)
+        ends = lambda close: close.rlike("[.!?]$").cast("int") * _share(0.12) - close.rlike(r"(?<![\p{L}\p{N}_])([A-Z][a-z]+|[0-9]+)$").cast("int") * _share(0.15)
+        closes = lambda close: _holds(F.lower(close), PAYOFF_CUES) * _share(0.25) + ends(close)
+        closing = _once(_said(F.filter(x["heard"], lambda c: c["until"] >= F.greatest("_start", t - 1_400))), closes)
         return gap * (_share(0.55) // 220) + stop * _share(0.35) + open_ * _share(0.0625) + closing - far(t, F.col("end_ms"))
 
     def best(cells: str, lo: Column, hi: Column, reach, value, otherwise: str) -> Column:

@@ -109,3 +109,9 @@ def test_refine_grid_counts_the_joined_text_and_moves_no_text(spark):
     refined = sequence.refine_grid(clips, segments)
     assert "text" not in [line for line in refined._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line or "Generate" in line].__str__()
     assert {r.clip_id: (r.value, -r.start_ms, -r.end_ms) for r in refined.collect()} == {k: v for k, v in want.items() if v}
+
+
+def test_cues_read_their_text_once(spark):
+    texts = spark.createDataFrame([("Never MIND",), ("mind",)], "w string")
+    found = texts.select(windows._holds(F.lower("w"), ("never", "why", "how")).alias("x"))
+    assert found._jdf.queryExecution().analyzed().toString().count("lower(") == 1 and [r.x for r in found.collect()] == [1, 0]
