@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cliploom.operators import experiments, features, joins, scores, selection, sequence, stats
+from cliploom.operators.written import written
 from cliploom.plans import sql as S
 from cliploom.plans.cued import CUED, KEYS, columns, cued
 from cliploom.plans.queries import clips, docs, events, query, segments, words
@@ -277,8 +278,13 @@ def f24(spark, d):
 # --- selection ---------------------------------------------------------------------------------------------------
 
 
-def chosen(spark, d, n=3):
-    return selection.rank_clips(clips(spark, d)).where(F.col("place") <= n).drop("place")
+def pool(spark, d):
+    """Clips without their texts, scored once and written, as the rules below read them many times."""
+    return written(clips(spark, d).drop("text"), "clips")
+
+
+def chosen(rows, n=3):
+    return selection.rank_clips(rows).where(F.col("place") <= n).drop("place")
 
 
 PICKED = "p as (select *, row_number() over (partition by episode_id order by final_score desc, start_ms, clip_id) as place from clips), ch as (select * exclude (place) from p where place <= 3)"
@@ -287,20 +293,22 @@ WEAKEST = "weak as (select episode_id, clip_id, row_number() over (partition by
 
 @query("g09_diversity_swap")
 def g09(spark, d):
-    return selection.diversity_swap(chosen(spark, d), clips(spark, d), 4_000, 0.2).select("episode_id", "clip_id")
+    rows = pool(spark, d)
+    return selection.diversity_swap(chosen(rows), rows, 4_000, 0.2).select("episode_id", "clip_id")
 
 
 @query("g10_length_mix", f"""with {S.CLIPS}, {PICKED}, st as (select episode_id, max(final_score) as top, bool_or(end_ms - start_ms >= 30000) as has from ch group by 1), b as (select c.*, row_number() over (partition by c.episode_id order by c.final_score desc, c.clip_id) as rn from clips c join st on st.episode_id = c.episode_id where c.end_ms - c.start_ms >= 30000 and not has and c.final_score >= 0.8::double * top),
     best as (select * from b where rn = 1), {WEAKEST} select * from res""")
 def g10(spark, d):
-    return selection.length_mix(chosen(spark, d), clips(spark, d)).select("episode_id", "clip_id")
+    rows = pool(spark, d)
+    return selection.length_mix(chosen(rows), rows).select("episode_id", "clip_id")
 
 
 @query("g11_finished_backstop", f"""with {S.CLIPS}, {PICKED}, st as (select episode_id, min(final_score) as low, bool_or(n_words % 10 = 0) as has from ch group by 1), b as (select c.*, row_number() over (partition by c.episode_id order by c.final_score desc, c.clip_id) as rn from clips c join st on st.episode_id = c.episode_id where c.n_words % 10 = 0 and not has and c.final_score >= low - 0.05::double),
     best as (select * from b where rn = 1), {WEAKEST} select * from res""")
 def g11(spark, d):
-    ends = F.col("n_words") % 10 == 0
-    return selection.finished_backstop(chosen(spark, d).withColumn("finished", ends), clips(spark, d).withColumn("finished", ends)).select("episode_id", "clip_id")
+    rows = pool(spark, d).withColumn("finished", F.col("n_words") % 10 == 0)
+    return selection.finished_backstop(chosen(rows), rows).select("episode_id", "clip_id")
 
 
 @query("g12_payoff_rescue")

@@ -30,3 +30,11 @@ def test_marks_are_written_before_they_are_thinned_and_met(spark):
     found = sequence.unify_marks(marks(100, 1_000, 5_000), marks(1_100, 5_200))
     assert any("word-marks-" in f for f in found.inputFiles())
     assert sorted(r.t_ms for r in found.collect()) == [100, 1_100, 5_200]
+
+
+def test_rules_of_chosen_clips_read_scores_and_not_texts(spark):
+    from cliploom.plans import catalog
+
+    for name in ("g09_diversity_swap", "g10_length_mix", "g11_finished_backstop"):
+        found = catalog.queries()[name](spark, "/root/testdata/sf0.001")
+        assert all("/clips-" in f for f in found.inputFiles()) and found.count() > 0
