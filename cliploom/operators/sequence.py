@@ -449,17 +449,20 @@ def vtt_cues(words: DataFrame, most_chars: int = 38, gap_ms: int = 350) -> DataF
 
 
 def hop_features(words: DataFrame, hop_ms: int = 500, half_ms: int = 2_000) -> DataFrame:
-    """Light counts of the words that start within ±2 s of each half second: each word goes to the hops it touches."""
+    """Light counts of the words that start within ±2 s of each half second: words are counted once where they touch the
+    same hops, and their counts, not the words, go to each hop."""
     low = F.greatest(F.ceil((F.col("start_ms") - half_ms) / hop_ms), F.lit(0))
     high = F.floor((F.col("start_ms") + half_ms) / hop_ms)
     last = words.groupBy("episode_id").agg(F.floor(F.max("end_ms") / hop_ms).alias("last_hop"))
-    rows = words.select("episode_id", "w", F.explode(F.sequence(low, high)).alias("hop")).join(last, "episode_id").where("hop <= last_hop")
-    word = F.col("w")
-    counts = rows.groupBy("episode_id", "hop").agg(
+    word, names = F.col("w"), ("n_words", "chars", "shouts", "asks", "numbers", "capitals")
+    alike = words.groupBy("episode_id", low.alias("low"), high.alias("high")).agg(
         F.count("*").alias("n_words"), F.sum(F.length(word)).alias("chars"), F.sum(F.regexp_count(word, F.lit(r"[!]"))).alias("shouts"),
         F.sum(F.regexp_count(word, F.lit(r"[?]"))).alias("asks"), F.sum(F.regexp_count(word, F.lit(r"\d+"))).alias("numbers"),
         F.sum(F.regexp_count(word, F.lit(r"\p{Lu}"))).alias("capitals"),
     )
+    rows = alike.join(last, "episode_id").withColumn("high", F.least("high", "last_hop")).where("low <= high")
+    rows = rows.select("episode_id", F.explode(F.sequence("low", "high")).alias("hop"), *names)
+    counts = rows.groupBy("episode_id", "hop").agg(*(F.sum(c).alias(c) for c in names))
     info = F.least(F.lit(1.0), (F.col("n_words") / 20) * (F.col("chars") / F.col("n_words") / 5))
     arousal = F.least(F.lit(1.0), F.col("shouts") * 0.2 + F.col("capitals") / F.greatest(F.col("chars") + F.col("n_words") - 1, F.lit(1)) * 0.1)
     return counts.select(

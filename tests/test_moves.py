@@ -38,3 +38,12 @@ def test_rules_of_chosen_clips_read_scores_and_not_texts(spark):
     for name in ("g09_diversity_swap", "g10_length_mix", "g11_finished_backstop"):
         found = catalog.queries()[name](spark, "/root/testdata/sf0.001")
         assert all("/clips-" in f for f in found.inputFiles()) and found.count() > 0
+
+
+def test_hops_take_counts_and_not_words(spark):
+    words = spark.createDataFrame([(1, "Ab!", 0, 250), (1, "7?", 300, 550), (1, "c", 4_000, 4_250)], "episode_id long, w string, start_ms long, end_ms long")
+    found = sequence.hop_features(words)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(sequence(" in plan and plan.index("explode(sequence(") < plan.index("regexp_extract_all(")
+    got = {r.hop: (r.hook, r.payoff) for r in found.collect()}
+    assert len(got) == 9 and got[0] == (0.15, 0.05) and got[8] == (0.0, 0.0)
