@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cliploom.operators.patterns import asof_join, iou, jaccard, range_join
+from cliploom.operators.patterns import asof_join, gather, iou, jaccard, range_join
 from cliploom.operators.phrases import few, phrase_hits, substring_hits
 from cliploom.operators.vectors import distinct_vectors, similar_pairs
 from cliploom.operators.written import written
@@ -36,15 +36,24 @@ def words_contained_in(words: DataFrame, clips: DataFrame, tolerance_ms: int = 8
 
 
 def words_clamped_to_clip(words: DataFrame, clips: DataFrame) -> DataFrame:
-    """Words of each clip on the clip's own clock (t, d in seconds, two decimals), cut at its ends, slivers gone."""
-    touch = lambda a, b: (F.col("start_ms") < F.col("clip_end")) & (F.col("end_ms") > F.col("clip_start"))
-    rows = range_join(words, _clips(clips), "episode_id", ("start_ms", "end_ms"), ("clip_start", "clip_end"), touch)
-    start = F.greatest("start_ms", "clip_start") - F.col("clip_start")
-    size = F.least("end_ms", "clip_end") - F.greatest("start_ms", "clip_start")
-    rows = rows.withColumn("t", F.round(start / 1000, 2)).withColumn("d", F.round(size / 1000, 2)).where(size > 1)
-    last = F.lead("word_idx").over(Window.partitionBy("episode_id", "clip_id").orderBy("word_idx")).isNull()
-    room = F.round((F.col("clip_end") - F.col("clip_start")) / 1000, 2) - F.col("t")
-    return rows.withColumn("d", F.when(last, F.least(F.col("d"), F.round(room, 2))).otherwise(F.col("d")))
+    """Words of each clip on the clip's own clock (t, d in seconds, two decimals), cut at its ends, slivers gone.
+
+    A clip finds its words in the array of its stretch of the episode, so no word moves for each clip that holds it.
+    """
+    others = [c for c in words.columns if c not in ("episode_id", "word_idx")]
+    rows = gather(words, _clips(clips), "episode_id", ("start_ms", "end_ms"), ("clip_start", "clip_end"), ["word_idx", *others])
+    cut = lambda start, end: F.least(end, "clip_end") - F.greatest(start, "clip_start")
+    # More than a sliver of the word lies in the clip; plain comparisons, as they are interpreted for each word near the clip.
+    rows = rows.where("clip_end - clip_start > 1").withColumn("_low", F.col("clip_start") + 1).withColumn("_high", F.col("clip_end") - 1)
+    inside = F.filter("_near", lambda x: (x["end_ms"] > F.col("_low")) & (x["start_ms"] < F.col("_high")) & (x["end_ms"] - x["start_ms"] > 1))
+    found = F.flatten(F.transform(F.array(inside), lambda own: F.transform(own, lambda x, i: F.struct(x.alias("x"), (i + 1 == F.size(own)).alias("last")))))
+    rows = rows.select("episode_id", "clip_id", "clip_start", "clip_end", F.explode(found).alias("_w"))
+    rows = rows.select("episode_id", *(F.col(f"_w.x.{c}").alias(c) for c in words.columns if c != "episode_id"), "clip_id", "clip_start", "clip_end", F.col("_w.last").alias("_last"))
+    # Hundredths of whole milliseconds, none below 0: F.round on doubles goes through decimals, three times for each row.
+    hundredths = lambda ms: F.floor((ms + 5) / 10) / 100
+    rows = rows.withColumn("t", hundredths(F.greatest("start_ms", "clip_start") - F.col("clip_start"))).withColumn("d", hundredths(cut("start_ms", "end_ms")))
+    room = hundredths(F.col("clip_end") - F.col("clip_start")) - F.col("t")
+    return rows.withColumn("d", F.when(F.col("_last"), F.least(F.col("d"), F.round(room, 2))).otherwise(F.col("d"))).drop("_last")
 
 
 def ordered_text(order: str, text: str) -> Column:
@@ -52,36 +61,50 @@ def ordered_text(order: str, text: str) -> Column:
     return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, text))), lambda x: x[text]), " ")
 
 
-def clip_transcript(clips: DataFrame, words: DataFrame, segments: DataFrame) -> DataFrame:
-    """Each clip's text from its words, else from segments it overlaps, else its own; with the source and coverage."""
-    spoken = words_contained_in(words, clips, drop_fillers=False).groupBy("episode_id", "clip_id").agg(
-        ordered_text("word_idx", "w").alias("word_text"), F.count("*").alias("n_words"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("spoken_ms")
-    )
+def clip_transcript(clips: DataFrame, words: DataFrame, segments: DataFrame, tolerance_ms: int = 80) -> DataFrame:
+    """Each clip's text from its words, else from segments it overlaps, else its own; with the source and coverage.
+
+    Words come from the array of the clip's stretch of the episode. Segments and own texts are read for clips without words only.
+    """
+    near = gather(words, _padded(clips, tolerance_ms), "episode_id", ("start_ms", "end_ms"), ("lo", "hi"), ["word_idx", "w", "start_ms", "end_ms"])
+    inside = F.filter("_near", lambda x: (x["start_ms"] >= F.col("lo")) & (x["end_ms"] <= F.col("hi")))
+    spoken = lambda own: F.aggregate(own, F.lit(0).cast("long"), lambda s, x: s + x["end_ms"] - x["start_ms"])
+    said = lambda own: F.struct(F.array_join(F.transform(own, lambda x: x["w"]), " ").alias("text"), F.size(own).cast("long").alias("n"), spoken(own).alias("ms"))
+    one = near.select("episode_id", "clip_id", F.col("clip_start").alias("start_ms"), F.col("clip_end").alias("end_ms"), F.transform(F.array(inside), said)[0].alias("_own"))
+    count, ms = F.coalesce("_own.n", F.lit(0)).cast("long"), F.coalesce("_own.ms", F.lit(0))
+    coverage = F.round(F.least(ms / F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(1)), F.lit(1.0)), 6)
+    spaced = lambda t: F.regexp_replace(t, r"\s+([,.!?;:])", "$1")
+    has = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    rows = one.select("episode_id", "clip_id", spaced(F.nullif("_own.text", F.lit(""))).alias("word_text"), count.alias("n_words"), coverage.alias("coverage"), "start_ms", "end_ms")
+    rows = written(rows, "spoken")
+    done = rows.where("word_text is not null").select("episode_id", "clip_id", F.col("word_text").alias("transcript"), F.lit("words").alias("source"), "n_words", "coverage")
+    silent = rows.where("word_text is null").drop("word_text")
+    if silent.isEmpty():
+        return done
+    ids = silent.select("episode_id", "clip_id").distinct()
     told = range_join(
-        segments.select("episode_id", "seg_idx", "start_ms", "end_ms", "text"), _clips(clips), "episode_id", ("start_ms", "end_ms"), ("clip_start", "clip_end"),
+        segments.select("episode_id", "seg_idx", "start_ms", "end_ms", "text"), _clips(silent), "episode_id", ("start_ms", "end_ms"), ("clip_start", "clip_end"),
         lambda a, b: (F.col("start_ms") < F.col("clip_end")) & (F.col("end_ms") > F.col("clip_start")),
     ).groupBy("episode_id", "clip_id").agg(ordered_text("seg_idx", "text").alias("segment_text"))
-    rows = clips.select("episode_id", "clip_id", "start_ms", "end_ms", "text").join(spoken, ["episode_id", "clip_id"], "left").join(told, ["episode_id", "clip_id"], "left")
-    has = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
-    text = F.when(has("word_text"), F.col("word_text")).when(has("segment_text"), F.col("segment_text")).otherwise(F.coalesce("text", F.lit("")))
-    source = F.when(has("word_text"), "words").when(has("segment_text"), "segments").otherwise("clip")
-    coverage = F.coalesce(F.col("spoken_ms"), F.lit(0)) / F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(1))
-    spaced = F.regexp_replace(text, r"\s+([,.!?;:])", "$1")
-    return rows.select(
-        "episode_id", "clip_id", spaced.alias("transcript"), source.alias("source"),
-        F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"), F.round(F.least(coverage, F.lit(1.0)), 6).alias("coverage"),
-    )
+    own = clips.select("episode_id", "clip_id", "start_ms", "end_ms", "text").join(ids, ["episode_id", "clip_id"], "left_semi")
+    same = [silent[c].eqNullSafe(own[c]) for c in ("episode_id", "clip_id", "start_ms", "end_ms")]
+    rest = silent.join(own.distinct(), same, "left").select(silent["*"], own["text"]).join(told, ["episode_id", "clip_id"], "left")
+    text = F.when(has("segment_text"), F.col("segment_text")).otherwise(F.coalesce("text", F.lit("")))
+    source = F.when(has("segment_text"), "segments").otherwise("clip")
+    return done.unionByName(rest.select("episode_id", "clip_id", spaced(text).alias("transcript"), source.alias("source"), "n_words", "coverage"))
 
 
 def segment_window_text(segments: DataFrame, windows: DataFrame, least_ms: int = 500) -> DataFrame:
-    """Text of the segments that overlap a window (episode_id, clip_id, start_ms, end_ms) by more than `least_ms`."""
-    more = lambda a, b: F.least("end_ms", "clip_end") - F.greatest("start_ms", "clip_start") > least_ms
-    rows = range_join(
-        segments.select("episode_id", "seg_idx", "start_ms", "end_ms", "text"), _clips(windows), "episode_id", ("start_ms", "end_ms"), ("clip_start", "clip_end"), more
-    )
-    return rows.groupBy("episode_id", "clip_id", F.col("clip_start").alias("start_ms"), F.col("clip_end").alias("end_ms")).agg(
-        ordered_text("seg_idx", "text").alias("text"), F.count("*").alias("n_segments")
-    )
+    """Text of the segments that overlap a window (episode_id, clip_id, start_ms, end_ms) by more than `least_ms`.
+
+    Equal windows are one row, which holds its segments once for each. Texts move by stretches of an episode, not by windows.
+    """
+    once = _clips(windows).groupBy("episode_id", "clip_id", "clip_start", "clip_end").agg(F.count("*").cast("int").alias("_times"))
+    near = gather(segments, once, "episode_id", ("start_ms", "end_ms"), ("clip_start", "clip_end"), ["seg_idx", "text", "start_ms", "end_ms"])
+    more = F.filter("_near", lambda x: F.least(x["end_ms"], "clip_end") - F.greatest(x["start_ms"], "clip_start") > least_ms)
+    told = lambda own: F.struct(F.array_join(F.flatten(F.transform(own, lambda x: F.array_repeat(x["text"], F.col("_times")))), " ").alias("text"), (F.size(own) * F.col("_times")).cast("long").alias("n"))
+    rows = near.select("episode_id", "clip_id", F.col("clip_start").alias("start_ms"), F.col("clip_end").alias("end_ms"), F.explode(F.transform(F.filter(F.array(more), lambda own: F.size(own) > 0), told)).alias("_own"))
+    return rows.select("episode_id", "clip_id", "start_ms", "end_ms", "_own.text", F.col("_own.n").alias("n_segments"))
 
 
 def attach_words(segments: DataFrame, words: DataFrame) -> DataFrame:

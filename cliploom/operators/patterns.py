@@ -16,6 +16,8 @@ from cliploom.operators import large
 
 #: Width of a time bin of the range join. An interval is repeated for each bin it touches.
 BIN_MS = 30_000
+#: Bins whose ranges meet their rows together in `gather`.
+HOME_BINS = 4
 
 
 def _bins(start: Column, end: Column, width: int) -> Column:
@@ -47,6 +49,27 @@ def range_join(
     return joined.unionByName(missing, allowMissingColumns=True)
 
 
+def gather(
+    left: DataFrame, right: DataFrame, by: str, left_span: tuple[str, str], right_span: tuple[str, str], fields: Sequence[str], bin_ms: int = BIN_MS, home_bins: int = HOME_BINS
+) -> DataFrame:
+    """`right` with `_near`: the rows of `left` (structs of `fields`, sorted) that may touch it, null where there are none.
+
+    For ranges that overlap each other, where `range_join` would move a copy of a row for each range: ranges that begin in the
+    same `home_bins` bins meet once all rows that any of them reaches, so a row moves once for its bin and once or twice for
+    its homes. A home holds the rows of its time only, so an episode of any length spreads over tasks. The caller filters
+    `_near` by its own condition, which must ask that the intervals touch.
+    """
+    first = lambda span: F.floor(F.col(span[0]) / bin_ms)
+    last = lambda span: F.floor(F.greatest(*span) / bin_ms)
+    spans = right.withColumn("_home", F.floor(first(right_span) / home_bins))
+    regions = spans.groupBy(F.col(by).alias("_key"), F.col("_home").alias("_to_home")).agg(F.min(first(right_span)).alias("_from"), F.max(last(right_span)).alias("_to"))
+    regions = regions.withColumn("_other", F.explode(F.sequence("_from", "_to"))).drop("_to")
+    rows = left.select(by, F.struct(*fields).alias("_row"), first(left_span).alias("_first"), F.explode(_bins(F.col(left_span[0]), F.col(left_span[1]), bin_ms)).alias("_bin"))
+    sent = rows.join(regions.hint("merge"), (F.col(by) == F.col("_key")) & (F.col("_bin") == F.col("_other")) & (F.col("_bin") == F.greatest("_first", "_from")))
+    near = sent.groupBy("_key", "_to_home").agg(F.sort_array(F.collect_list("_row")).alias("_near"))
+    return spans.join(near.hint("merge"), (F.col(by) == F.col("_key")) & (F.col("_home") == F.col("_to_home")), "left").drop("_home", "_key", "_to_home")
+
+
 def asof_join(
     left: DataFrame, marks: DataFrame, by: str, left_time: str, mark_time: str, forward: bool = True, strict: bool = False, out: str = "mark_ms"
 ) -> DataFrame:

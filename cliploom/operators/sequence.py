@@ -247,19 +247,23 @@ def natural_boundaries(docs: DataFrame, key: str = "episode_id") -> DataFrame:
 
     A lone "?" is a sentence end, as that rule comes first; a rule for questions and answers after it could never hold.
     """
-    rows = docs.select(key, F.split(F.trim("text"), r"\s+").alias("ws")).select(key, F.size("ws").alias("n"), F.posexplode("ws").alias("at", "w"))
-    window = Window.partitionBy(key).orderBy("at")
-    near = lambda a, b: F.concat_ws(" ", F.collect_list("w").over(window.rowsBetween(a, b)))
-    rows = rows.withColumn("five", near(-2, 2)).withColumn("three", near(-1, 1)).withColumn("ahead", near(1, 5)).withColumn("seven", near(-3, 3))
-    inside = (F.col("at") > 5) & (F.col("at") < F.col("n") - 5)
-    kind = (
-        F.when(F.col("w").rlike("[.!?:;]$"), F.lit("sentence_end"))
-        .when(any_of(F.col("five"), TOPIC_SHIFTS), F.lit("topic_shift"))
-        .when(any_of(F.col("three"), INSIGHT_PHRASES), F.lit("insight_marker"))
-        .when((F.col("w") == ",") & inside & any_of(F.col("seven"), ("first", "second", "third", "also", "additionally", "furthermore")), F.lit("comma_boundary"))
-    )
+    rows = docs.select(key, F.split(F.trim("text"), r"\s+").alias("ws"))
+    n = F.size("ws")
+
+    def kind(w: Column, i: Column) -> Column:
+        near = lambda a, b: F.array_join(F.slice("ws", F.greatest(i + a, F.lit(0)) + 1, F.greatest(F.least(i + b, n - 1) - F.greatest(i + a, F.lit(0)) + 1, F.lit(0))), " ")
+        return (
+            F.when(w.rlike("[.!?:;]$"), F.lit("sentence_end"))
+            .when(any_of(near(-2, 2), TOPIC_SHIFTS), F.lit("topic_shift"))
+            .when(any_of(near(-1, 1), INSIGHT_PHRASES), F.lit("insight_marker"))
+            .when((w == ",") & (i > 5) & (i < n - 5) & any_of(near(-3, 3), ("first", "second", "third", "also", "additionally", "furthermore")), F.lit("comma_boundary"))
+        )
+
+    # The neighbours of a word are read from the text's own array, so words do not move and only boundaries leave a row.
+    found = F.filter(F.transform("ws", lambda w, i: F.struct(i.alias("at"), kind(w, i).alias("kind"), n.alias("n"))), lambda x: x["kind"].isNotNull())
+    rows = rows.select(key, F.explode(found).alias("x")).select(key, "x.*")
     after = F.col("kind").isin("sentence_end", "comma_boundary").cast("int")
-    rows = rows.withColumn("kind", kind).where("kind is not null").withColumn("position", F.col("at") + after).where("position > 0 and position < n")
+    rows = rows.withColumn("position", F.col("at") + after).where("position > 0 and position < n")
     first = F.row_number().over(Window.partitionBy(key, "position").orderBy("at"))
     sure = F.when(F.col("kind") == "sentence_end", 0.9).when(F.col("kind") == "topic_shift", 0.6).when(F.col("kind") == "insight_marker", 0.7).otherwise(0.5)
     return rows.withColumn("first", first).where("first = 1").select(key, F.col("position").cast("long").alias("position"), "kind", sure.alias("confidence"))
@@ -291,7 +295,7 @@ def dynamic_segments(segments: DataFrame, least_ms: int = 8_000) -> DataFrame:
     spans = rows.select("episode_id", at(F.col("position")).alias("start_ms"), at(to).alias("cut_ms"), "last")
     end = F.least(F.greatest(F.col("cut_ms"), F.col("start_ms") + least_ms), F.col("last"))
     spans = spans.select("episode_id", F.concat_ws("-", "start_ms", end).alias("clip_id"), "start_ms", end.alias("end_ms"))
-    return segment_window_text(segments, spans)
+    return segment_window_text(segments, written(spans, "spans"))
 
 
 def merge_short_seeds(segments: DataFrame, gap_ms: int = 250, least_ms: int = 16_000, most_ms: int = 28_000, large_group: int = large.LARGE_GROUP) -> DataFrame:

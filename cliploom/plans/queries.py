@@ -164,7 +164,8 @@ def b02(spark, d):
     from clips c join words w on w.episode_id = c.episode_id and w.start_ms < c.end_ms and w.end_ms > c.start_ms)
     select episode_id, clip_id, count(*) as n, round(sum(d), 2) as total, max(t) as last_t from (select *, case when r = 1 then least(d, round(round(size / 1000.0, 2) - t, 2)) else d end as d2 from x) group by 1, 2""")
 def b03(spark, d):
-    return joins.words_clamped_to_clip(words(spark, d), clips(spark, d)).groupBy("episode_id", "clip_id").agg(F.count("*").alias("n"), F.round(F.sum("d"), 2).alias("total"), F.max("t").alias("last_t"))
+    spoken = words(spark, d).select("episode_id", "word_idx", "start_ms", "end_ms")
+    return joins.words_clamped_to_clip(spoken, clips(spark, d)).groupBy("episode_id", "clip_id").agg(F.count("*").alias("n"), F.round(F.sum("d"), 2).alias("total"), F.max("t").alias("last_t"))
 
 
 @query("b04_clip_transcript", f"""with {S.WORDS}, {S.CLIPS[len(S.SEGMENTS) + 2:]} select c.episode_id, c.clip_id, regexp_replace(string_agg(w, ' ' order by word_idx), '\\s+([,.!?;:])', '\\1', 'g') as transcript, 'words' as source, count(*) as n_words,

@@ -2,7 +2,7 @@
 
 import math
 
-from cliploom.operators import sequence, stats
+from cliploom.operators import joins, sequence, stats
 
 DOCS = [(1, "The cat and the Dog"), (1, "the end 2024"), (2, "cat"), (3, ""), (4, None)]
 
@@ -47,3 +47,54 @@ def test_hops_take_counts_and_not_words(spark):
     assert "Generate explode(sequence(" in plan and plan.index("explode(sequence(") < plan.index("regexp_extract_all(")
     got = {r.hop: (r.hook, r.payoff) for r in found.collect()}
     assert len(got) == 9 and got[0] == (0.15, 0.05) and got[8] == (0.0, 0.0)
+
+
+def spoken(spark, episode=1, n=200):
+    words = spark.createDataFrame([(episode, i, f"w{i}", 1_000 * i, 1_000 * i + 900) for i in range(n)], "episode_id long, word_idx long, w string, start_ms long, end_ms long")
+    clips = spark.createDataFrame([(episode, f"c{a}-{b}", a, b, "own") for a, b in ((0, 2_500), (500, 1_000), (29_500, 130_500), (118_000, 121_950), (150_000, 150_001), (900_000, 950_000))], "episode_id long, clip_id string, start_ms long, end_ms long, text string")
+    return words, clips
+
+
+def nothing_moves_after_the_join(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return " Exchange " not in plan[: plan.index("SortMergeJoin")]
+
+
+def test_clamped_words_do_not_move_for_each_clip(spark):
+    words, clips = spoken(spark)
+    found = joins.words_clamped_to_clip(words, clips)
+    assert nothing_moves_after_the_join(found)
+    got = {}
+    for r in found.orderBy("word_idx").collect():
+        got.setdefault(r.clip_id, []).append((r.w, r.t, r.d))
+    assert got["c0-2500"] == [("w0", 0.0, 0.9), ("w1", 1.0, 0.9), ("w2", 2.0, 0.5)] and got["c500-1000"] == [("w0", 0.0, 0.4)]
+    assert [w for w, _, _ in got["c29500-130500"]] == [f"w{i}" for i in range(29, 131)] and got["c118000-121950"][-1] == ("w121", 3.0, 0.9)
+    assert set(got) == {"c0-2500", "c500-1000", "c29500-130500", "c118000-121950"}
+
+
+def test_transcripts_do_not_move_words_for_each_clip(spark):
+    words, clips = spoken(spark)
+    segments = spark.createDataFrame([(1, 1, 149_000, 152_000, "Told , so"), (1, 0, 148_000, 151_000, "First")], "episode_id long, seg_idx long, start_ms long, end_ms long, text string")
+    got = {r.clip_id: (r.transcript, r.source, r.n_words, r.coverage) for r in joins.clip_transcript(clips, words, segments).collect()}
+    assert got["c0-2500"] == ("w0 w1", "words", 2, 0.72) and got["c29500-130500"][0] == " ".join(f"w{i}" for i in range(30, 130))
+    assert got["c150000-150001"] == ("First Told, so", "segments", 0, 0.0) and got["c900000-950000"] == ("own", "clip", 0, 0.0) and len(got) == 6
+    spoken_only = joins.clip_transcript(clips.where("end_ms < 150000 and start_ms != 500"), words, segments)
+    assert all("spoken-" in f for f in spoken_only.inputFiles()) and spoken_only.count() == 3
+
+
+def test_window_texts_do_not_move_for_each_window(spark):
+    rows = [(1, i, 10_000 * i, 10_000 * i + 9_000, f"s{i}" if i != 4 else None) for i in range(20)]
+    segments = spark.createDataFrame(rows, "episode_id long, seg_idx long, start_ms long, end_ms long, text string")
+    spans = [("a", 0, 25_000), ("b", 5_000, 125_000), ("c", 9_200, 9_900), ("d", 30_000, 45_000), ("e", 62_000, 75_000), ("e", 62_000, 75_000)]
+    windows = spark.createDataFrame([(1, *s) for s in spans], "episode_id long, clip_id string, start_ms long, end_ms long")
+    found = joins.segment_window_text(segments, windows)
+    assert nothing_moves_after_the_join(found)
+    got = {r.clip_id: (r.text, r.n_segments) for r in found.collect()}
+    assert got == {"a": ("s0 s1 s2", 3), "b": (" ".join(f"s{i}" for i in range(13) if i != 4), 13), "d": ("s3", 2), "e": ("s6 s6 s7 s7", 4)}
+
+
+def test_boundaries_do_not_move_words(spark):
+    docs = spark.createDataFrame([(1, "It is so. But , then here's the thing we saw , also one two three four five six"), (2, ""), (3, None)], "episode_id long, text string")
+    found = sequence.natural_boundaries(docs)
+    assert not any("five" in line or "ahead" in line for line in exchanges(found))
+    assert [(r.position, r.kind) for r in found.orderBy("position").collect()][:2] == [(1, "topic_shift"), (3, "sentence_end")]
