@@ -18,7 +18,12 @@ from pyspark.sql import functions as F
 
 def words(text: Column) -> Column:
     """Whitespace tokens; none of an empty text."""
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.array_remove(F.split(text, r"\s+"), "")
+
+
+def n_capitals(text: Column, least: int) -> Column:
+    """How many words are all capitals A to Z, of `least` letters or more; a line separator may end such a word."""
+    return F.regexp_count(text, F.lit(rf"(?<!\S)[A-Z]{{{least},}}(?=[\u0085\u2028\u2029]?(?!\S))"))
 
 
 def n_words(text: Column) -> Column:
@@ -105,10 +110,10 @@ LINK = r"\b(?:(?:https?://|www\.)\S+|(?:bit\.ly|t\.co|tinyurl\.com|linktr\.ee|ln
 def basics(text: Column) -> dict[str, Column]:
     ws = words(text)
     n = F.size(ws)
-    chars = F.aggregate(ws, F.lit(0), lambda s, w: s + F.length(w))
+    chars = F.length(F.array_join(ws, ""))
     return {
         "word_count": n.cast("long"), "sentence_count": F.regexp_count(text, F.lit(r"[.!?]+")).cast("long"),
-        "ends_sentence": F.rtrim(text).rlike("[.!?]$"), "caps_words": F.size(F.filter(ws, lambda w: w.rlike("^[A-Z]{2,}$"))).cast("long"),
+        "ends_sentence": F.rtrim(text).rlike("[.!?]$"), "caps_words": n_capitals(text, 2).cast("long"),
         "digits": F.regexp_count(text, F.lit("[0-9]")).cast("long"), "shouts": F.regexp_count(text, F.lit("!")).cast("long"),
         "asks": F.regexp_count(text, F.lit(r"\?")).cast("long"), "mean_word": F.when(n > 0, F.round(chars / n, 6)).otherwise(0.0),
     }
@@ -156,7 +161,7 @@ def prerank_score(text: Column, s: Column) -> Column:
 
 def arousal(text: Column) -> Column:
     t, shouts = F.lower(text), F.regexp_count(text, F.lit("!"))
-    caps = F.size(F.filter(words(text), lambda w: w.rlike("^[A-Z]{3,}$")))
+    caps = n_capitals(text, 3)
     score = F.when(shouts >= 3, 0.35).when(shouts >= 1, 0.2).otherwise(0.0) + F.least(caps * 0.1, F.lit(0.3))
     score += F.least(hits(t, INTENSE) * 0.1, F.lit(0.3)) + text.contains("?").cast("int") * 0.1 + F.least(hits(t, URGENT) * 0.05, F.lit(0.15))
     return clamp(score)
@@ -168,22 +173,28 @@ def info_density(text: Column) -> Column:
     base = F.least(F.lit(0.3), n_words(text) * 0.012)
     penalty = F.least(hits(t, FILLERS) * 0.08, F.lit(0.4))
     numbers = F.regexp_count(text, F.lit(r"\b\d+\b|[\$\d,]+|\d+%|\d+\.\d+"))
-    proper = F.size(F.filter(words(text), lambda w: w.rlike(r"^\p{Lu}") & (F.length(w) > 2)))
+    proper = F.regexp_count(text, F.lit(r"(?<!\S)\p{Lu}\S{2,}"))
     return F.when(F.length(F.trim(text)) < 8, 0.1).otherwise(clamp(base - penalty + F.least(numbers * 0.15 + proper * 0.12, F.lit(0.6)), 0.1))
 
 
 def info_density_v2(text: Column, s: Column) -> Column:
     """Content share, variety, pace and detail, each taking its part of what is left; repeated pairs take away."""
-    ws = F.transform(words(text), lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}0-9']", "")))
-    n = F.size(ws)
-    content = F.size(F.filter(ws, lambda w: F.length(w) > 3)) / F.greatest(n, F.lit(1))
-    variety = F.size(F.array_distinct(ws)) / (n + 10.0)
-    pace = info_proxy(F.when(s > 0, n / s).otherwise(0.0))
-    detail = F.tanh((F.regexp_count(text, F.lit(r"\d+")) + F.size(F.filter(words(text), lambda w: w.rlike(r"^\p{Lu}\p{Ll}{2,}")))) / 6.0)
-    pairs = F.zip_with(F.slice(ws, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(ws, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    again = 1 - F.size(F.array_distinct(pairs)) / F.greatest(F.size(pairs), F.lit(1))
-    score = saturate([0.45 * content, 0.35 * variety, 0.35 * pace, 0.40 * detail]) - F.least(0.3 * F.when(n > 1, again).otherwise(0.0), F.lit(0.25))
-    return F.when(n < 3, 0.1).otherwise(clamp(score))
+    # Words hold no spaces, so all are cleaned at once and cut again; the cut words are read as a lambda's variable.
+    cleaned = F.lower(F.regexp_replace(F.array_join(words(text), " "), r"[^\p{L}0-9' ]", ""))
+    names = F.regexp_count(text, F.lit(r"(?<!\S)\p{Lu}\p{Ll}{2,}"))
+    detail = F.tanh((F.regexp_count(text, F.lit(r"\d+")) + names) / 6.0)
+
+    def score(ws: Column) -> Column:
+        n = F.size(ws)
+        content = F.size(F.filter(ws, lambda w: F.length(w) > 3)) / F.greatest(n, F.lit(1))
+        variety = F.size(F.array_distinct(ws)) / (n + 10.0)
+        pace = info_proxy(F.when(s > 0, n / s).otherwise(0.0))
+        pairs = F.zip_with(F.slice(ws, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(ws, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+        again = F.transform(F.array(pairs), lambda p: 1 - F.size(F.array_distinct(p)) / F.greatest(F.size(p), F.lit(1)))[0]
+        whole = saturate([0.45 * content, 0.35 * variety, 0.35 * pace, 0.40 * detail]) - F.least(0.3 * F.when(n > 1, again).otherwise(0.0), F.lit(0.25))
+        return F.when(n < 3, 0.1).otherwise(clamp(whole))
+
+    return F.transform(F.array(F.split(cleaned, " ")), score)[0]
 
 
 def aha_density(text: Column, s: Column) -> Column:

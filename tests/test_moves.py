@@ -2,7 +2,9 @@
 
 import math
 
-from cliploom.operators import joins, sequence, stats
+from pyspark.sql import functions as F
+
+from cliploom.operators import features, joins, sequence, stats
 
 DOCS = [(1, "The cat and the Dog"), (1, "the end 2024"), (2, "cat"), (3, ""), (4, None)]
 
@@ -98,3 +100,22 @@ def test_boundaries_do_not_move_words(spark):
     found = sequence.natural_boundaries(docs)
     assert not any("five" in line or "ahead" in line for line in exchanges(found))
     assert [(r.position, r.kind) for r in found.orderBy("position").collect()][:2] == [(1, "topic_shift"), (3, "sentence_end")]
+
+
+def test_words_are_counted_without_a_function_for_each(spark):
+    texts = ["AB cd ABC  A1 AB   ÀB  ABCD", " NASA\tÉté Éa Zoë's\nX Yz1 don't-stop ΟΔΟΣ ΟΔΟΣ' - -- !", "", " ", None, "a b", "One two one two One two 3rd", " AB AB\u0085 𐐀𐐨𐐨x"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    text = F.col("text")
+    ws = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    count = lambda p: F.size(F.filter(ws, lambda w: w.rlike(p))).cast("long")
+    table = docs.select("id", *(c.alias(k) for k, c in features.basics(text).items()), features.n_capitals(text, 3).alias("caps3"))
+    assert "lambda" not in table._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.id: r for r in table.collect()}
+    clean = F.transform(ws, lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}0-9']", "")))
+    want = docs.select("id", F.size(ws).alias("n"), count("^[A-Z]{2,}$").alias("caps"), count("^[A-Z]{3,}$").alias("caps3"), F.aggregate(ws, F.lit(0), lambda s, w: s + F.length(w)).alias("chars"), clean.alias("clean"))
+    cleaned = docs.select("id", F.split(F.lower(F.regexp_replace(F.array_join(features.words(text), " "), r"[^\p{L}0-9' ]", "")), " ").alias("c"))
+    cut = {r.id: r.c for r in cleaned.collect()}
+    for r in want.where("text is not null").collect():
+        g = got[r.id]
+        assert (g.word_count, g.caps_words, g.caps3) == (r.n, r.caps, r.caps3) and g.mean_word == (round(r.chars / r.n, 6) if r.n else 0.0), texts[r.id]
+        assert cut[r.id] == (r.clean or [""])
