@@ -98,30 +98,46 @@ def context_seeds(spans: DataFrame, least_ms: int = 8_000, more: int = 3, reach_
     return ends.withColumnRenamed("seed_start", "start_ms").withColumnRenamed("seed_end", "end_ms")
 
 
+def word_gaps(words: DataFrame, by: tuple[str, ...] = ("episode_id",), kinds: bool = False) -> DataFrame:
+    """(by, t_ms, gap, named): each word's end, the gap after it in its group, and whether it ends a sentence or is a closer;
+    with `kinds` also its kind of `eos_strong_weak`. One window over the words, written without texts, as it is read thrice."""
+    order = Window.partitionBy(*by).orderBy("word_idx")
+    rows = words.withColumn("gap", F.lead("start_ms").over(order) - F.col("end_ms"))
+    named = F.coalesce(F.col("w").rlike(ENDS_WIDE) | F.lower("w").isin(*CLOSERS), F.lit(False)).alias("named")
+    kind = [mark_kind(F.lead("w").over(order)).alias("kind")] if kinds else []
+    return written(rows.select(*by, F.col("end_ms").alias("t_ms"), "gap", named, *kind), "gaps")
+
+
 def eos_from_words(words: DataFrame, base_ms: int = 280) -> DataFrame:
     """Marks at word ends: final punctuation, a gap of max(base, median + central median gap), spoken closers."""
-    order = _by("word_idx")
-    rows = words.withColumn("gap", F.lead("start_ms").over(order) - F.col("end_ms"))
-    stats = rows.where("gap > 0").groupBy("episode_id").agg(F.percentile("gap", 0.5).alias("mid"), F.stddev_samp("gap").alias("dev"))
-    central = rows.where("gap > 0").join(stats, "episode_id").where(F.abs(F.col("gap") - F.col("mid")) <= F.col("dev"))
-    central = central.groupBy("episode_id").agg(F.percentile("gap", 0.5).alias("near"))
-    limits = stats.join(central, "episode_id", "left").select(
-        "episode_id", F.greatest(F.lit(float(base_ms)), F.col("mid") + F.coalesce("near", "mid")).alias("limit_ms")
-    )
-    rows = rows.where("gap is not null").join(limits, "episode_id", "left")
-    limit = F.coalesce("limit_ms", F.lit(float(base_ms)))
-    marks = rows.where(F.col("w").rlike(ENDS_WIDE) | (F.col("gap") >= limit) | F.lower("w").isin(*CLOSERS))
-    return marks.select("episode_id", F.col("end_ms").alias("t_ms"), F.lit("words").alias("source")).distinct()
+    return marks_of_gaps(word_gaps(words), base_ms)
+
+
+def marks_of_gaps(gaps: DataFrame, base_ms: int = 280, by: tuple[str, ...] = ("episode_id",)) -> DataFrame:
+    """Marks of `eos_from_words`. Equal gaps of a group are counted before their median is taken."""
+    by = list(by)
+    counts = gaps.where("gap > 0").groupBy(*by, "gap").agg(F.count("*").alias("n"))
+    spread = gaps.where("gap > 0").groupBy(*by).agg(F.stddev_samp("gap").alias("dev"))
+    stats = counts.groupBy(*by).agg(F.percentile("gap", 0.5, F.col("n")).alias("mid")).join(spread, by)
+    central = counts.join(stats, by).where(F.abs(F.col("gap") - F.col("mid")) <= F.col("dev"))
+    central = central.groupBy(*by).agg(F.percentile("gap", 0.5, F.col("n")).alias("near"))
+    limits = stats.join(central, by, "left").select(*by, F.greatest(F.lit(float(base_ms)), F.col("mid") + F.coalesce("near", "mid")).alias("limit_ms"))
+    rows = gaps.where("gap is not null").join(limits, by, "left")
+    marks = rows.where(F.col("named") | (F.col("gap") >= F.coalesce("limit_ms", F.lit(float(base_ms)))))
+    return marks.select("episode_id", "t_ms", F.lit("words").alias("source")).distinct()
+
+
+def mark_kind(next_w: Column, pause_ms: int = 500) -> Column:
+    strong = F.col("w").rlike(ENDS) & (next_w.isNull() | next_w.rlike(r"^\p{Lu}"))
+    weak = F.col("w").rlike("[,;:]$") & (F.col("gap") > pause_ms)
+    return F.when(strong, "strong").when(weak, "weak")
 
 
 def eos_strong_weak(words: DataFrame, pause_ms: int = 500) -> DataFrame:
     """Marks after . ! ? where the next word has a capital or there is none, and after , ; : before a pause."""
     order = _by("word_idx")
     rows = words.withColumn("next_w", F.lead("w").over(order)).withColumn("gap", F.lead("start_ms").over(order) - F.col("end_ms"))
-    strong = F.col("w").rlike(ENDS) & (F.col("next_w").isNull() | F.col("next_w").rlike(r"^\p{Lu}"))
-    weak = F.col("w").rlike("[,;:]$") & (F.col("gap") > pause_ms)
-    kind = F.when(strong, "strong").when(weak, "weak")
-    return rows.select("episode_id", F.col("end_ms").alias("t_ms"), kind.alias("source")).where("source is not null")
+    return rows.select("episode_id", F.col("end_ms").alias("t_ms"), mark_kind(F.col("next_w"), pause_ms).alias("source")).where("source is not null")
 
 
 def eos_from_text(segments: DataFrame) -> DataFrame:
@@ -211,11 +227,13 @@ def eos_waterfall(
     spoken = words.groupBy("episode_id").agg(F.count("*").alias("n")) if words is not None else none
     if words is not None:
         enough = words.join(spoken.where(F.col("n") >= least_words).select("episode_id"), "episode_id", "left_semi")
-        parts.append(unify_marks(eos_from_words(enough), eos_strong_weak(enough)).withColumn("source", F.lit("episode+enhanced")))
+        gaps = word_gaps(enough, kinds=True)
+        parts.append(unify_marks(marks_of_gaps(gaps), gaps.where("kind is not null")).withColumn("source", F.lit("episode+enhanced")))
     by_segment = none
     if segment_words is not None:
-        single = eos_from_words(segment_words.withColumn("episode_id", F.struct("episode_id", "seg_idx")))
-        parts.append(single.select(F.col("episode_id.episode_id").alias("episode_id"), "t_ms").distinct().withColumn("source", F.lit("segment")))
+        inside = ("episode_id", "seg_idx")
+        single = marks_of_gaps(word_gaps(segment_words, inside), by=inside)
+        parts.append(single.select("episode_id", "t_ms").withColumn("source", F.lit("segment")))
         by_segment = segment_words.groupBy("episode_id").agg(F.count("*").alias("n"))
     parts.append(eos_from_text(segments.where(F.trim("text") != "")).withColumn("source", F.lit("fallback")))
     parts.append(segments.where("end_ms > 0").select("episode_id", F.col("end_ms").cast("long").alias("t_ms")).distinct().withColumn("source", F.lit("segment_boundary")))

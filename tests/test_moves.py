@@ -119,3 +119,16 @@ def test_words_are_counted_without_a_function_for_each(spark):
         g = got[r.id]
         assert (g.word_count, g.caps_words, g.caps3) == (r.n, r.caps, r.caps3) and g.mean_word == (round(r.chars / r.n, 6) if r.n else 0.0), texts[r.id]
         assert cut[r.id] == (r.clean or [""])
+
+
+def test_gaps_are_counted_from_a_table_without_texts(spark):
+    rows = [(e, s, 10 * s + i, w, 1_000 * i + 7 * i * (i % 3), 1_000 * i + 7 * i * (i % 3) + 250) for e in (1, 2) for s in (0, 1) for i, w in enumerate(["a", "B.", "c,", "d", "right?", "E", "f", "g"])]
+    words = spark.createDataFrame(rows, "episode_id long, seg_idx long, word_idx long, w string, start_ms long, end_ms long")
+    gaps = sequence.word_gaps(words, ("episode_id", "seg_idx"), kinds=True)
+    assert gaps.columns == ["episode_id", "seg_idx", "t_ms", "gap", "named", "kind"] and all("gaps-" in f for f in gaps.inputFiles())
+    mid = gaps.where("gap > 0").groupBy("episode_id", "seg_idx").agg(F.percentile("gap", 0.5).alias("mid"), F.stddev_samp("gap").alias("dev"))
+    near = gaps.join(mid, ["episode_id", "seg_idx"]).where("gap > 0 and abs(gap - mid) <= dev").groupBy("episode_id", "seg_idx").agg(F.percentile("gap", 0.5).alias("near"))
+    limits = {(r.episode_id, r.seg_idx): max(280.0, r.mid + r.near) for r in mid.join(near, ["episode_id", "seg_idx"]).collect()}
+    want = {(r.episode_id, r.t_ms) for r in gaps.collect() if r.gap is not None and (r.named or r.gap >= limits[r.episode_id, r.seg_idx])}
+    found = sequence.marks_of_gaps(gaps, by=("episode_id", "seg_idx"))
+    assert {(r.episode_id, r.t_ms) for r in found.collect()} == want and len(want) >= 4
