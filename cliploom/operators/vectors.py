@@ -23,6 +23,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from cliploom.operators.written import written
 
 BLOCK_ROWS = 2_000
+#: Cosines that a task holds at once, and pairs of a batch that it sends on.
+COSINES = 500_000
+PAIRS = 50_000
 #: Pivots of one group, and bytes of all pivots that may be sent to executors; beyond these bytes blocks are drawn by hash alone.
 MOST_PIVOTS = 256
 PIVOT_BYTES = 64 << 20
@@ -40,6 +43,31 @@ def distinct_vectors(embeddings: DataFrame, key: str, block: str, vector: str) -
     return once.withColumn("_n", length).where("_n > 0 and not isnan(_n)").select("g", "id", "ids", F.transform("v", lambda e: e / F.col("_n")).alias("x"))
 
 
+def arrays_of(column: pa.Array) -> list[np.ndarray]:
+    """The vectors of a batch as arrays of doubles, without a Python number for each element."""
+    values, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.diff(column.offsets.to_numpy()))
+    return [values[low:high] for low, high in zip(np.r_[0, ends[:-1]], ends)]
+
+
+def pairs_of(left: list[tuple], right: list[tuple], least: float, ident: pa.DataType) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
+    """(a, b, cosine) of rows (side, id, vector) of two sides with cosine `least` or more, a slice of the product at a time.
+    Rows of side 2 stand on both sides and are paired with larger ids only."""
+    ids = sorted({r[1] for r in left} | {r[1] for r in right})
+    place, known = {v: i for i, v in enumerate(ids)}, pa.array(ids, ident)
+    one, two = (np.array([place[r[1]] for r in side], np.int64) for side in (left, right))
+    inside = np.array([r[0] == 2 for r in left])
+    first, second = np.array([r[2] for r in left]), np.array([r[2] for r in right]).T
+    step = max(1, COSINES // len(right))
+    for at in range(0, len(left), step):
+        cosines = first[at : at + step] @ second
+        i, j = np.nonzero(cosines >= least - 1e-12)
+        a, b = one[at + i], two[j]
+        kept = np.flatnonzero(~inside[at + i] | (a < b))
+        for low in range(0, len(kept), PAIRS):
+            k = kept[low : low + PAIRS]
+            yield known.take(pa.array(np.minimum(a[k], b[k]))), known.take(pa.array(np.maximum(a[k], b[k]))), cosines[i[k], j[k]]
+
+
 def pivots_of(rows: DataFrame, sizes: DataFrame, block_rows: int) -> dict:
     """Pivots of the groups that need more than one block (group to matrix); bounded, else none."""
     wanted = sizes.where(F.col("n") > block_rows).select(F.col("g").alias("_g"), F.least(F.lit(MOST_PIVOTS), F.ceil(F.col("n") / block_rows)).alias("k"), "n")
@@ -60,7 +88,7 @@ def in_blocks(rows: DataFrame, pivots: dict, block_rows: int) -> DataFrame:
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            groups, vectors = batch.column("g").to_pylist(), batch.column("x").to_pylist()
+            groups, vectors = batch.column("g").to_pylist(), arrays_of(batch.column("x"))
             cell, angle = [-1] * len(groups), [math.pi] * len(groups)
             held: dict = {}
             for i, (g, x) in enumerate(zip(groups, vectors)):
@@ -111,26 +139,11 @@ def similar_pairs(rows: DataFrame, least: float, block_rows: int = BLOCK_ROWS) -
     dealt = blocks.join(met, blocks.g.eqNullSafe(F.col("_g")) & (blocks.cell == F.col("_cell")) & (blocks.part == F.col("_part"))).select("pair", "side", "g", "id", "x")
     g, ident = (rows.schema[c].dataType.simpleString() for c in ("g", "id"))
 
-    def multiplied(group: list[tuple]) -> Iterator[tuple]:
-        """Pairs of a meeting: of the two sides, or inside the one."""
-        by_length: dict[int, list[tuple]] = {}
-        for row in group:
-            by_length.setdefault(len(row[4]), []).append(row)
-        for part in by_length.values():
-            left, right = [r for r in part if r[1] != 1], [r for r in part if r[1] != 0]
-            if not left or not right:
-                continue
-            cosines = np.array([r[4] for r in left]) @ np.array([r[4] for r in right]).T
-            for i, j in zip(*np.nonzero(cosines >= least - 1e-12)):
-                a, b = left[i], right[j]
-                if a[1] != 2 or a[3] < b[3]:
-                    yield a[2], min(a[3], b[3]), max(a[3], b[3]), float(cosines[i, j])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def meeting() -> Iterator[list[tuple]]:
             group: list[tuple] = []
             for batch in batches:
-                for row in zip(*(c.to_pylist() for c in batch.columns)):
+                for row in zip(*(batch.column(c).to_pylist() for c in ("pair", "side", "g", "id")), arrays_of(batch.column("x"))):
                     if group and group[-1][0] != row[0]:
                         yield group
                         group = []
@@ -139,9 +152,14 @@ def similar_pairs(rows: DataFrame, least: float, block_rows: int = BLOCK_ROWS) -
                 yield group
 
         for group in meeting():
-            found = list(multiplied(group))
-            for at in range(0, len(found), 50_000):
-                yield pa.RecordBatch.from_pydict(dict(zip(("g", "a", "b", "similarity"), map(list, zip(*found[at : at + 50_000])))), schema=schema)
+            by_length: dict[int, list[tuple]] = {}
+            for _, side, _, id_, x in group:
+                by_length.setdefault(len(x), []).append((side, id_, x))
+            for part in by_length.values():
+                left, right = [r for r in part if r[0] != 1], [r for r in part if r[0] != 0]
+                if left and right:
+                    for one, two, cosine in pairs_of(left, right, least, schema.field("a").type):
+                        yield pa.RecordBatch.from_arrays([pa.array([group[0][2]] * len(one), schema.field("g").type), one, two, pa.array(cosine)], schema=schema)
 
     ddl = f"g {g}, a {ident}, b {ident}, similarity double"
     schema = to_arrow_schema(rows.sparkSession.createDataFrame([], ddl).schema)

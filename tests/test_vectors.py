@@ -69,3 +69,33 @@ def test_chain_is_settled_in_order(spark):
     links = spark.createDataFrame([(None, i, i + 1) for i in range(9)] + [(1, 5, 6), (1, 5, 7), (1, 6, 8)], "g long, a long, b long")
     assert {tuple(r) for r in vectors.first_kept(links).collect()} == {(None, i) for i in (1, 3, 5, 7, 9)} | {(1, 6), (1, 7)}
     assert vectors.first_kept(links.limit(0)).count() == 0
+
+
+def test_pairs_come_in_slices(monkeypatch):
+    """At a low limit most pairs of a block are alike; no more of them are held than a slice, whatever the block's size."""
+    import pyarrow as pa
+
+    from cliploom.operators import vectors
+
+    monkeypatch.setattr(vectors, "COSINES", 600)
+    monkeypatch.setattr(vectors, "PAIRS", 100)
+    make = np.random.default_rng(4)
+    x = make.normal(size=(60, 5)) + 1
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for sides in ([2] * 60, [0] * 25 + [1] * 35):
+        rows = [(s, 1_000 - i, v) for i, (s, v) in enumerate(zip(sides, x))]
+        left, right = [r for r in rows if r[0] != 1], [r for r in rows if r[0] != 0]
+        slices = list(vectors.pairs_of(left, right, 0.2, pa.int64()))
+        assert len(slices) > 5 and all(len(a) == len(b) == len(c) <= 100 for a, b, c in slices)
+        got = {(p, q): c for a, b, cs in slices for p, q, c in zip(a.to_pylist(), b.to_pylist(), cs)}
+        want = {(min(p, q), max(p, q)): v @ w for s, p, v in left for t, q, w in right if (s != 2 or p < q) and v @ w >= 0.2}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_vectors_of_a_sliced_batch():
+    import pyarrow as pa
+
+    from cliploom.operators import vectors
+
+    column = pa.array([[1.0, 2.0], [], [3.0], [4.0, 5.0, 6.0]], pa.list_(pa.float64()))[1:]
+    assert [v.tolist() for v in vectors.arrays_of(column)] == [[], [3.0], [4.0, 5.0, 6.0]]
