@@ -238,14 +238,16 @@ class BlockMaxIndex:
 
 
 def isotonic(votes: np.ndarray, labels: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A rising curve through (vote, share of label 1): pools neighbours that fall; a vote of either label is added at the ends."""
-    order = np.argsort(votes, kind="stable")
-    x = np.r_[0.0, votes[order], 1.0]
-    y = np.r_[0.0, (labels * times)[order].astype(float), 1.0]
+    """A rising curve through (vote, share of label 1): pools neighbours that fall; a vote of either label is added at the ends.
+
+    Equal votes are summed first: a few clean ones at a vote of toxic ones must not join the pool below before these are counted.
+    """
+    x, place = np.unique(np.r_[0.0, votes, 1.0], return_inverse=True)
+    y = np.bincount(place, np.r_[0.0, labels * times, 1.0])
     pools: list[list[float]] = []
-    for at, value, n in zip(x, y, np.r_[1, times[order], 1]):
+    for at, value, n in zip(x, y, np.bincount(place, np.r_[1, times, 1])):
         pools.append([value, float(n), at, at])
-        while len(pools) > 1 and (pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1] or pools[-2][3] == pools[-1][2]):
+        while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
             s, n, _, high = pools.pop()
             pools[-1][0] += s
             pools[-1][1] += n

@@ -40,6 +40,27 @@ def test_curve_rises_through_the_shares():
     assert np.interp(0.4, x, y) == 1 / 3
 
 
+def test_curve_keeps_equal_votes_together():
+    """Votes that part the labels but for two clean examples among toxic ones: the curve once fell into one pool, and no text was toxic."""
+    for votes, labels, times in (([0.0, 1.0, 1.0], [0, 0, 1], [15_000, 2, 1_700]), ([1.0, 0.0, 1.0, 0.0], [1, 1, 0, 0], [1_700, 3, 2, 15_000])):
+        x, y = toxicity.isotonic(np.array(votes), np.array(labels), np.array(times))
+        assert (np.diff(y) >= 0).all() and (np.diff(x) >= 0).all() and np.interp(0.0, x, y) < 0.01
+        assert np.isclose(np.interp(1.0, x, y), 1_701 / 1_703)
+    x, y = toxicity.isotonic(np.zeros(0), np.zeros(0, int), np.zeros(0, int))
+    assert list(np.interp([0.0, 1.0], x, y)) == [0.0, 1.0]
+
+
+def test_clean_text_among_toxic_words(spark):
+    """A clean example that holds the telling words must not make every toxic text clean."""
+    make = random.Random(4)
+    words = ["calm", "river", "stone", "cloud", "grass"]
+    rows = [(i, " ".join(make.choices(words, k=8)) + (" awfulword vileword" if i % 3 == 0 else "")) for i in range(300)]
+    labels = [(i, int(i % 3 == 0 and i != 3)) for i in range(300)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model, counted = toxicity.fit(spark, docs, known)
+    assert all((r.score >= 0.5) == (r.doc_id % 3 == 0) for r in toxicity.score(spark, counted, model).collect())
+
+
 def test_held_out_accuracy(spark):
     model, counted = toxicity.fit(spark, *(spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels")))
     got = {r.doc_id: (r.score, r.evidence) for r in toxicity.score(spark, counted, model).collect()}
