@@ -2,7 +2,8 @@
 
 A text is scored by the `NEIGHBOURS` labelled examples with the highest TF-IDF cosine. Near ones weigh more in the
 vote, and the share of the vote is turned into a probability by an isotonic curve that was fitted on the examples
-themselves, each held against the others. The neighbours are the evidence.
+themselves, each held against the others. The neighbours are the evidence. Each term's weight holds how far it tells the labels
+apart (the log of its odds ratio), so a few telling words decide in a long text, not the common words beside them.
 
 Search is exact. Each term's postings are cut at blocks of `BLOCK` examples and hold the highest weight of each block; the
 sum of these is a bound on the cosine of all examples of a block. Blocks are read from the highest bound down until no
@@ -41,6 +42,8 @@ TERMS = 5_000
 CHANCE_TERMS = 5
 #: Fewest examples that hold a term.
 LEAST_EXAMPLES = 3
+#: A term's log odds ratio counts as so much at least, so that every known term has a weight.
+LEAST_ODDS = 0.01
 #: Terms are words and their first letters (as "abcd*"), so that compounds and inflected forms meet.
 PREFIXES = (4, 5)
 FOLDS = 5
@@ -95,12 +98,12 @@ def term_counts(examples: DataFrame) -> DataFrame:
     return examples.select("toxic", "text").mapInArrow(count, "term string, toxic int, n long")
 
 
-def vocabulary(examples: DataFrame, bound: int = TERMS) -> list[str]:
-    """Terms by falling G statistic of term against label (natively computed; the list is bounded)."""
+def vocabulary(examples: DataFrame, bound: int = TERMS) -> tuple[list[str], np.ndarray]:
+    """Terms by falling G statistic of term against label (natively computed; the list is bounded), and the size of each one's log odds ratio."""
     sizes = {r.toxic: r.n for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = float(sizes.get(1, 0)), float(sizes.get(0, 0))
     if not bad or not good:
-        return []
+        return [], np.zeros(0)
     total = bad + good
     a, b = F.col("a"), F.col("b")
 
@@ -111,10 +114,12 @@ def vocabulary(examples: DataFrame, bound: int = TERMS) -> list[str]:
     g = 2 * (part(a, held, F.lit(bad)) + part(b, held, F.lit(good)) + part(bad - a, without, F.lit(bad)) + part(good - b, without, F.lit(good)))
     per_term = term_counts(examples).groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n"))).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n"))).alias("b"))
     scored = per_term.select("term", F.coalesce(a, F.lit(0)).cast("double").alias("a"), F.coalesce(b, F.lit(0)).cast("double").alias("b"))
-    tested = stash(scored.where(held >= LEAST_EXAMPLES).select("term", F.round(g, 6).alias("g")), "tested")
-    best = tested.where("g > 0").orderBy(F.desc("g"), "term").limit(bound).select("term", "g").collect()
+    odds = F.abs(F.log((a + 0.5) * (good - b + 0.5) / ((b + 0.5) * (bad - a + 0.5))))
+    tested = stash(scored.where(held >= LEAST_EXAMPLES).select("term", F.round(g, 6).alias("g"), F.greatest(odds, F.lit(LEAST_ODDS)).alias("odds")), "tested")
+    best = tested.where("g > 0").orderBy(F.desc("g"), "term").limit(bound).collect()
     least = 2 * math.log(1 + tested.count() / CHANCE_TERMS)
-    return [r.term for r in best if r.g >= least]
+    best = [r for r in best if r.g >= least]
+    return [r.term for r in best], np.array([r.odds for r in best])
 
 
 def vectors(docs: DataFrame, terms: list[str], carried: str = "doc_id long") -> DataFrame:
@@ -165,7 +170,7 @@ def idf_of(counted: DataFrame, size: int, total: int) -> np.ndarray:
 
 
 def weights(at: list[int], n: list[int], idf: np.ndarray) -> np.ndarray:
-    """TF-IDF weights of unit length."""
+    """TF-IDF weights of unit length; `idf` may hold another factor of each term."""
     w = (1 + np.log(np.asarray(n, float))) * idf[at]
     return w / np.sqrt((w * w).sum())
 
@@ -271,10 +276,10 @@ class Model:
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
     """The classifier and the counted terms of all documents (doc_id, at, n), written to the shared folder."""
     examples = stash(examples_of(docs, labels), "examples")
-    terms = vocabulary(examples)
+    terms, odds = vocabulary(examples)
     counted = stash(vectors(docs, terms), "terms")
     total = counted.count()
-    idf = idf_of(counted, len(terms), total)
+    idf = idf_of(counted, len(terms), total) * odds
     # The counts are small beside the time that a search takes, so they are dealt out by rows, not by bytes.
     counted = counted.repartition(max(spark.sparkContext.defaultParallelism, -(-total // ROWS_A_TASK)))
     known = stash(vectors(examples, terms, "doc_id long, toxic int"), "known")

@@ -50,17 +50,6 @@ def test_curve_keeps_equal_votes_together():
     assert list(np.interp([0.0, 1.0], x, y)) == [0.0, 1.0]
 
 
-def test_clean_text_among_toxic_words(spark):
-    """A clean example that holds the telling words must not make every toxic text clean."""
-    make = random.Random(4)
-    words = ["calm", "river", "stone", "cloud", "grass"]
-    rows = [(i, " ".join(make.choices(words, k=8)) + (" awfulword vileword" if i % 3 == 0 else "")) for i in range(300)]
-    labels = [(i, int(i % 3 == 0 and i != 3)) for i in range(300)]
-    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
-    model, counted = toxicity.fit(spark, docs, known)
-    assert all((r.score >= 0.5) == (r.doc_id % 3 == 0) for r in toxicity.score(spark, counted, model).collect())
-
-
 def test_held_out_accuracy(spark):
     model, counted = toxicity.fit(spark, *(spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels")))
     got = {r.doc_id: (r.score, r.evidence) for r in toxicity.score(spark, counted, model).collect()}
@@ -96,3 +85,23 @@ def test_frequencies_move_once_a_term(spark):
     assert moved.count() <= 2 * 41
     df = np.array([900 + 100 * (t == 3) + 100 * (t in (7, 39)) for t in range(40)] + [0])
     assert np.allclose(toxicity.idf_of(counted, 41, len(at)), np.log((1 + len(at)) / (1 + df)) + 1)
+
+
+def test_few_words_in_long_texts(spark):
+    """Long texts are toxic more often, so common words pass the G test; two telling words among thousands of these must still decide."""
+    make = random.Random(5)
+    common, calm, bad = [f"com{i}mon" for i in range(30)], [f"ca{i}lm" for i in range(300)], ["awful", "vile", "nasty"]
+    rows, labels = [], []
+    for i in range(3000):
+        toxic = make.random() < 0.1
+        long = make.random() < (0.6 if toxic else 0.2)
+        words = make.choices(common, [1 / (k + 1) for k in range(30)], k=600) if long else make.choices(calm, k=12)
+        for word in make.sample(bad, 2) if toxic else ():
+            words.insert(make.randrange(len(words)), word)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model, counted = toxicity.fit(spark, docs, known)
+    got = {r.doc_id: r.score >= 0.5 for r in toxicity.score(spark, counted, model).collect()}
+    held = [(got[i], y) for i, y in labels if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum(p for p, y in held if y) >= 0.95 * sum(y for _, y in held) and sum(p for p, y in held if not y) <= 0.02 * len(held)
