@@ -199,16 +199,20 @@ def unify_marks(marks: DataFrame, word_marks: DataFrame, tolerance_ms: int = 250
 
 def eos_index(words: DataFrame, segments: DataFrame, least_words: int = 100, least_marks: int = 10, per_word: float = 0.015) -> DataFrame:
     """Marks of the best source of each episode: words where there are enough of them, else the text; gaps are added
-    where the marks are few for the words."""
+    where the marks are few for the words.
+
+    The best marks are written, as they are counted and read: Spark takes a union of sides dealt by episode as dealt by episode
+    itself and may drop that while it runs, when groups and joins above it no longer hold.
+    """
     counts = words.groupBy("episode_id").agg(F.count("*").alias("n_words"))
     by_words = eos_from_words(words).join(counts, "episode_id").where(F.col("n_words") >= least_words)
     by_text = eos_from_text(segments).join(counts, "episode_id", "left").where(F.coalesce("n_words", F.lit(0)) < least_words)
-    best = by_words.unionByName(by_text)
+    best = written(by_words.unionByName(by_text).select("episode_id", "t_ms", "source"), "best-marks")
     sparse = counts.join(best.groupBy("episode_id").agg(F.count("*").alias("n_marks")), "episode_id", "left")
     marks = F.coalesce("n_marks", F.lit(0))
     sparse = sparse.where((marks < least_marks) | (marks < per_word * F.col("n_words"))).select("episode_id")
     extra = eos_from_gaps(segments).join(sparse, "episode_id", "left_semi")
-    both = best.select("episode_id", "t_ms", "source").unionByName(extra)
+    both = best.unionByName(extra)
     return both.groupBy("episode_id", "t_ms").agg(F.max("source").alias("source"))
 
 

@@ -1,6 +1,11 @@
 """An episode for each source of end marks."""
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+
 from cliploom.operators import sequence
+from cliploom.plans import catalog
 
 SEGMENTS = "episode_id long, seg_idx int, start_ms long, end_ms long, text string, n_words long"
 WORDS = "episode_id long, seg_idx int, word_idx long, w string, start_ms long, end_ms long"
@@ -41,3 +46,32 @@ def test_thin_marks_either_way(spark):
     marks = spark.createDataFrame([(e, (i * i * 37) % 5_000) for e in range(3) for i in range(60)] + [(1, None)], "episode_id long, t_ms long")
     fold, stream = (sorted(map(tuple, sequence.thin_marks(marks, large_group=n).collect())) for n in (1_000, 0))
     assert fold == stream and len(fold) > 20
+
+
+@pytest.fixture
+def talks(tmp_path):
+    """Episode 1 has words enough; 2 to 4 have not, and so few marks that gaps join them, in 2 and 4 at times that the text marks too."""
+    turns = {1: ["One two three four. Five"] * 30, 2: ["a b c d e f g"] * 3 + ["H. i j!"], 3: ["Aa bb. Cc"], 4: ["a. b c d e f g"] * 2 + ["h i j k l m n o"], 5: ["", None]}
+    rows = [(e, i, "user", t) for e, ts in turns.items() for i, t in enumerate(ts)]
+    pq.write_table(pa.table(dict(zip(("conv_id", "turn", "role", "text"), map(pa.array, zip(*rows))))), tmp_path / "conversations.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("joined", ["10485760", "-1"])
+@pytest.mark.parametrize("parts", ["8", "3"])
+def test_index_has_each_mark_once_from_the_best_source(spark, talks, parts, joined):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", joined)
+    try:
+        rows = [tuple(r) for r in catalog.queries()["c10_eos_index"](spark, talks).collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    end = lambda i: 300 * i + 550 * (i // 7) + 250
+    at = lambda first, last, pos, size: end(first) - 250 + (end(last) - end(first) + 250) * pos // size
+    want = {(1, end(i), "words") for i in range(149) if i % 5 == 3 or i % 7 == 6}
+    want |= {(2, end(i), "text") for i in (6, 13, 20, 23)} | {(2, at(21, 23, pos, 7), "text") for pos in (1, 6)}
+    want |= {(3, at(0, 2, 5, 9), "text"), (3, end(2), "text")}
+    want |= {(4, end(i), "text") for i in (6, 13, 21)} | {(4, at(i, i + 6, 1, 14), "text") for i in (0, 7)}
+    assert len(rows) == len(want) and set(rows) == want
