@@ -201,13 +201,16 @@ def eos_index(words: DataFrame, segments: DataFrame, least_words: int = 100, lea
     """Marks of the best source of each episode: words where there are enough of them, else the text; gaps are added
     where the marks are few for the words.
 
-    The best marks are written, as they are counted and read: Spark takes a union of sides dealt by episode as dealt by episode
+    The gaps hold a row for each word, so words are counted there, and only texts of episodes with few words are searched. These
+    and the best marks are written, as they are read twice: Spark takes a union of sides dealt by episode as dealt by episode
     itself and may drop that while it runs, when groups and joins above it no longer hold.
     """
-    counts = words.groupBy("episode_id").agg(F.count("*").alias("n_words"))
-    by_words = eos_from_words(words).join(counts, "episode_id").where(F.col("n_words") >= least_words)
-    by_text = eos_from_text(segments).join(counts, "episode_id", "left").where(F.coalesce("n_words", F.lit(0)) < least_words)
-    best = written(by_words.unionByName(by_text).select("episode_id", "t_ms", "source"), "best-marks")
+    gaps = word_gaps(words)
+    counts = gaps.groupBy("episode_id").agg(F.count("*").alias("n_words"))
+    by_words = marks_of_gaps(gaps).join(counts, "episode_id").where(F.col("n_words") >= least_words)
+    few = segments.select("episode_id", "start_ms", "end_ms", "text").join(counts, "episode_id", "left").where(F.coalesce("n_words", F.lit(0)) < least_words)
+    by_text = eos_from_text(written(few.drop("n_words"), "few-words"))
+    best = written(by_words.drop("n_words").unionByName(by_text), "best-marks")
     sparse = counts.join(best.groupBy("episode_id").agg(F.count("*").alias("n_marks")), "episode_id", "left")
     marks = F.coalesce("n_marks", F.lit(0))
     sparse = sparse.where((marks < least_marks) | (marks < per_word * F.col("n_words"))).select("episode_id")

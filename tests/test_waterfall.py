@@ -75,3 +75,12 @@ def test_index_has_each_mark_once_from_the_best_source(spark, talks, parts, join
     want |= {(3, at(0, 2, 5, 9), "text"), (3, end(2), "text")}
     want |= {(4, end(i), "text") for i in (6, 13, 21)} | {(4, at(i, i + 6, 1, 14), "text") for i in (0, 7)}
     assert len(rows) == len(want) and set(rows) == want
+
+
+def test_index_counts_words_by_their_gaps_and_searches_few_texts(spark, talks, monkeypatch):
+    kept, write = {}, sequence.written
+    monkeypatch.setattr(sequence, "written", lambda df, name: kept.setdefault(name, write(df, name)))
+    found = catalog.queries()["c10_eos_index"](spark, talks)
+    assert "explode" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.episode_id for r in kept["few-words"].collect()} == {2, 3, 4} and kept["gaps"].count() == 150 + 24 + 3 + 22
+    assert set(kept) == {"gaps", "few-words", "best-marks"}
